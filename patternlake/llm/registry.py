@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patternlake.llm import packing
+from patternlake.llm import flac, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_flac": flac.op3_flac,
     "op8_packing": packing.op8_packing,
 }
 
