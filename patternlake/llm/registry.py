@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patternlake.llm import flac, packing, simhash
+from patternlake.llm import flac, packing, simhash, suffixdedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_flac": flac.op3_flac,
+    "op5_suffixdedup": suffixdedup.op5_suffixdedup,
     "op6_simhash": simhash.op6_simhash,
     "op8_packing": packing.op8_packing,
 }
