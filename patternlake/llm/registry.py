@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patternlake.llm import flac, packing, simhash, suffixdedup
+from patternlake.llm import classifier, flac, licenses, packing, simhash, suffixdedup, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_flac": flac.op3_flac,
+    "op4_urlfilter": urlfilter.op4_urlfilter,
     "op5_suffixdedup": suffixdedup.op5_suffixdedup,
     "op6_simhash": simhash.op6_simhash,
     "op8_packing": packing.op8_packing,
+    "op9_licenses": licenses.op9_licenses,
+    "op10_quality": classifier.op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_urlfilter": urlfilter.ORACLE,
+    "op9_licenses": licenses.ORACLE,
+}
