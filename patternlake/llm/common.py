@@ -44,3 +44,13 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; nulls become empty."""
     return [b or b"" for b in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
+
+
+def blank_trimmed(text: Column) -> Column:
+    """Text without white space (of the word contracts) at either end; null counts as empty."""
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+
+
+def word_count(text: Column) -> Column:
+    trimmed = blank_trimmed(text)
+    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, f"{SPACE}+"))).cast("long")

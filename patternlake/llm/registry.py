@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patternlake.llm import classifier, flac, licenses, packing, simhash, suffixdedup, urlfilter
+from patternlake.llm import classifier, flac, licenses, mixing, packing, quality, simhash, suffixdedup, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": mixing.op1_mixing,
+    "op2_quality": quality.op2_quality,
     "op3_flac": flac.op3_flac,
     "op4_urlfilter": urlfilter.op4_urlfilter,
     "op5_suffixdedup": suffixdedup.op5_suffixdedup,
@@ -19,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": mixing.ORACLE,
+    "op2_quality": quality.ORACLE,
     "op4_urlfilter": urlfilter.ORACLE,
     "op9_licenses": licenses.ORACLE,
 }
