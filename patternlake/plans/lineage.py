@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -28,3 +29,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and read it back."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
+    """``df`` marked for broadcast if it has ``most_rows`` rows at most, else as it is.
+
+    Call it on something cheap to count, such as a checkpoint.  Beyond the bound the join
+    that uses ``df`` shuffles both sides and adaptive execution splits skewed keys.
+    """
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
