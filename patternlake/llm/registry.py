@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from patternlake.llm import classifier, flac, licenses, mixing, packing, quality, simhash, suffixdedup, urlfilter
+from patternlake.llm import classifier, flac, licenses, linededup, mixing, packing, quality, simhash, suffixdedup, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_urlfilter": urlfilter.op4_urlfilter,
     "op5_suffixdedup": suffixdedup.op5_suffixdedup,
     "op6_simhash": simhash.op6_simhash,
+    "op7_linededup": linededup.op7_linededup,
     "op8_packing": packing.op8_packing,
     "op9_licenses": licenses.op9_licenses,
     "op10_quality": classifier.op10_quality,
@@ -24,5 +25,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
     "op2_quality": quality.ORACLE,
     "op4_urlfilter": urlfilter.ORACLE,
+    "op7_linededup": linededup.ORACLE,
     "op9_licenses": licenses.ORACLE,
 }
