@@ -81,7 +81,7 @@ def fit(rows: list[np.ndarray], labels: list[int], dims: int, *, c: float = 1.0,
     for found, label in zip(rows, y, strict=True):
         counts[int(label > 0), found] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    values = [ratio[f] / max(float(np.sqrt((ratio[f] ** 2).sum())), 1e-12) for f in rows]
+    values = [(ratio[f] / max(float(np.sqrt((ratio[f] ** 2).sum())), 1e-12)).astype(np.float32) for f in rows]
     w, bias, alpha = np.zeros(dims), 0.0, np.zeros(len(y))
     square = [float(v @ v) + 1.0 for v in values]
     rng = np.random.default_rng(seed)
@@ -112,10 +112,10 @@ def _indicator_rows(df: DataFrame, dims: int) -> DataFrame:
         indicators = Indicators(dims)
         for batch in batches:
             for part in slices(batch, "text", _SLICE_BYTES):
-                found = [indicators.of(t).astype(np.int32) for t in utf8(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("rank"), part.column("label"), pa.array(found, pa.list_(pa.int32()))], names=["rank", "label", "found"])
+                found = [indicators.of(t).astype("<i4").tobytes() for t in utf8(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("rank"), part.column("label"), pa.array(found, pa.binary())], names=["rank", "label", "found"])
 
-    return df.select("rank", "label", "text").mapInArrow(run, "rank long, label int, found array<int>")
+    return df.select("rank", "label", "text").mapInArrow(run, "rank long, label int, found binary")
 
 
 def train(df: DataFrame, labels: DataFrame, *, label_col: str, max_train: int = 6000, dims: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -126,8 +126,8 @@ def train(df: DataFrame, labels: DataFrame, *, label_col: str, max_train: int =
     chosen = known.select(id_col, "label", rank.alias("rank")).orderBy("rank", id_col).limit(max_train)
     # At most max_train short rows: small enough to go to every executor.
     rows = _indicator_rows(df.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col), dims).collect()
-    rows = sorted(((r["rank"], r["label"], r["found"]) for r in rows), key=lambda r: (r[0], r[1], len(r[2]), r[2]))
-    return fit([np.array(r[2], np.int64) for r in rows], [r[1] for r in rows], dims)
+    rows = sorted((r["rank"], r["label"], bytes(r["found"])) for r in rows)
+    return fit([np.frombuffer(r[2], "<i4") for r in rows], [r[1] for r in rows], dims)
 
 
 def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
