@@ -101,20 +101,27 @@ def _dominated(df: DataFrame, contents: DataFrame, min_words: int) -> DataFrame:
     same = (F.xxhash64("normal") == F.col("h1")) & (F.xxhash64(F.lit(1), "normal") == F.col("h2"))
     found = cut(found.filter(same).dropDuplicates(["h1", "h2"]).select("h1", "h2", "place", F.split("normal", " ").alias("words")))
 
-    # 40-bit hashes: sums of some eight million words fit a long.
+    # 40-bit hashes: sums of some eight million words fit a long.  Sums over (place, word) tell
+    # replacements, sums over words and over neighbouring pairs tell insertions.
     hashed = lambda *c: F.shiftrightunsigned(F.xxhash64(*c), 24)
+    pair = lambda a, b: hashed(F.coalesce(a, F.lit("")), F.lit(2), F.coalesce(b, F.lit("")))
     total = lambda f: F.aggregate(F.transform("words", f), F.lit(0).cast("long"), lambda a, x: a + x)
+    at = lambda i: F.get("words", i)
     sums = found.select(
         "h1", "h2", "place", "words", F.size("words").alias("n"),
-        total(lambda w, i: hashed(i, w)).alias("s1"), total(lambda w, i: hashed(w, i)).alias("s2"),
-        total(lambda w: hashed(w)).alias("t1"), total(lambda w: hashed(F.lit(1), w)).alias("t2"),
+        total(lambda w, i: hashed(i, w)).alias("s1"), total(lambda w, i: hashed(w, i)).alias("s2"), total(lambda w: hashed(w)).alias("t1"),
+        (total(lambda w, i: pair(at(i - 1), w)) + pair(F.element_at("words", -1), F.lit(None))).alias("t2"),
     )
-    variants = sums.select("h1", "h2", "place", "n", "s1", "s2", "t1", "t2", F.posexplode("words").alias("i", "w"))
-    w, i = F.col("w"), F.col("i")
-    replaced = F.xxhash64(i, "n", F.col("s1") - hashed(i, w), F.col("s2") - hashed(w, i))
-    shorter = F.xxhash64(F.col("n") - 1, F.col("t1") - hashed(w), F.col("t2") - hashed(F.lit(1), w))
 
-    replaced = variants.select("h1", "h2", "place", "i", replaced.alias("key"))
+    def variant(w: Column, i: Column) -> Column:
+        before, after = at(i - 1), at(i + 1)
+        replaced = F.xxhash64(i, "n", F.col("s1") - hashed(i, w), F.col("s2") - hashed(w, i))
+        shorter = F.xxhash64(F.col("n") - 1, F.col("t1") - hashed(w), F.col("t2") - pair(before, w) - pair(w, after) + pair(before, after))
+        # Any word of a run of equal ones gives the same shorter line.
+        return F.struct(replaced.alias("replaced"), F.when(~F.coalesce(before == w, F.lit(False)), shorter).alias("shorter"))
+
+    variants = sums.select("h1", "h2", "place", F.posexplode(F.transform("words", variant)).alias("i", "keys"))
+    replaced = variants.select("h1", "h2", "place", "i", F.col("keys.replaced").alias("key"))
     first = replaced.groupBy("key").agg(F.min(F.struct("place", "h1", "h2")).alias("e"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     # The earliest content of a key is one edit from all others of it.
     pairs = replaced.join(cut(first.select("key", "e")), "key").filter((F.col("h1") != F.col("e.h1")) | (F.col("h2") != F.col("e.h2")))
@@ -124,7 +131,7 @@ def _dominated(df: DataFrame, contents: DataFrame, min_words: int) -> DataFrame:
     checked = pairs.join(words, ["h1", "h2"]).join(earlier, ["e1", "e2"])
     checked = checked.filter(_without(F.col("words"), F.col("i")) == _without(F.col("e_words"), F.col("i"))).select("h1", "h2")
 
-    longer = variants.select("h1", "h2", "place", "i", shorter.alias("key"))
+    longer = variants.select("h1", "h2", "place", "i", F.col("keys.shorter").alias("key")).filter("key IS NOT NULL")
     own = sums.select(F.xxhash64("n", "t1", "t2").alias("key"), F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("place").alias("e_place"))
     matched = longer.join(own, "key").join(words, ["h1", "h2"]).join(earlier, ["e1", "e2"])
     matched = matched.filter(_without(F.col("words"), F.col("i")) == F.concat_ws(" ", "e_words"))
@@ -167,9 +174,11 @@ def dedup(df: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id",
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     removed = cut(_removed(rows, min_words)).select(F.col("id").alias("_line_id"), F.col("removed").alias("_line_removed"))
     found = df.join(removed, df[id_col].eqNullSafe(F.col("_line_id")), "left")
-    gone = F.map_from_arrays("_line_removed", "_line_removed")
-    kept = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.map_contains_key(gone, i))
-    found = found.withColumn("_line_kept", F.when(F.col("_line_removed").isNotNull(), kept))
+    found = found.withColumn("_line_all", F.when(F.col("_line_removed").isNotNull(), F.split(text_col, "\n")))
+    places = F.array_except(F.sequence(F.lit(0), F.size("_line_all") - 1), "_line_removed")
+    # A generator of one row keeps the arrays out of the filter's and the columns' expressions.
+    kept = F.when(F.col("_line_all").isNotNull(), F.transform(places, lambda i: F.get("_line_all", i)))
+    found = found.select("*", F.explode(F.array(F.struct(kept.alias("kept")))).alias("_line")).withColumn("_line_kept", F.col("_line.kept"))
     found = found.filter("_line_kept IS NULL OR size(_line_kept) > 0")
     text = F.when(F.col("_line_kept").isNotNull(), F.array_join("_line_kept", "\n")).otherwise(F.col(text_col))
     out = {text_col: text}

@@ -84,7 +84,10 @@ def with_counts(df: DataFrame, text_col: str, prefix: str = "") -> DataFrame:
         "n_lines": F.size(f"{p}_l"),
         "n_capitals": F.length(F.regexp_replace(text, r"[^A-Z]+", "")),
     }
-    return out.withColumns({f"{p}{k}": v.cast("long") for k, v in counts.items()}).drop(*(f"{p}_{c}" for c in "wlgr"))
+    # A generator of one row: filters on the counts stay above it, so that the optimizer
+    # doesn't put the arrays' expressions into one another.
+    one = F.explode(F.array(F.struct(*[v.cast("long").alias(k) for k, v in counts.items()]))).alias(f"{p}_q")
+    return out.select(*df.columns, one).select(*df.columns, *[F.col(f"{p}_q.{k}").alias(f"{p}{k}") for k in COUNTS])
 
 
 def base_failed(prefix: str = "") -> Column:

@@ -248,5 +248,16 @@ def near_duplicates(df: DataFrame, *, shingle: int = 4, radius: int = 4, id_col:
     return prints.join(label, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def representatives(df: DataFrame, *, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, whose id is the smallest of their component.
+
+    Rows that repeat that id are one document and stay together; rows without an id stay if
+    no row of their component has one.
+    """
+    found = near_duplicates(df, shingle=shingle, radius=radius, id_col=id_col, text_col=text_col)
+    kept = cut(found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept_id")).distinct())
+    return df.join(kept, df[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
