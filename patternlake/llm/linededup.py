@@ -29,14 +29,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternlake.llm.common import SPACE, blank_trimmed, table
+from patternlake.llm.common import table
 from patternlake.plans.lineage import cut
 
 MIN_WORDS = 8
 
 
+def _spaced(text: Column) -> Column:
+    """Text whose white space is single spaces, line feeds apart; one pass that rarely copies."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09\x0B-\x0D]|\x20[\x09\x0B-\x0D\x20]+", " ")
+
+
 def _normal(line: Column) -> Column:
-    return F.regexp_replace(blank_trimmed(line), f"{SPACE}+", " ")
+    """A line of a spaced text as its words with single spaces."""
+    return F.regexp_replace(F.btrim(line), "  +", " ")
 
 
 def _count(normal: Column) -> Column:
@@ -59,9 +65,8 @@ def _identity(normal: Column) -> list[Column]:
 
 def _lines(df: DataFrame, min_words: int) -> DataFrame:
     """(id, line, normal, n) of the lines that take part; ``df``: id, text."""
-    found = df.select("id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "raw"))
-    found = found.select("id", "line", _normal(F.col("raw")).alias("normal")).select("*", _count(F.col("normal")).alias("n"))
-    return found.filter(F.col("n") >= min_words)
+    found = df.select("id", F.posexplode(F.transform(F.split(_spaced(F.col("text")), "\n"), lambda line: F.btrim(line))).alias("line", "normal"))
+    return found.select("id", "line", "normal", _count(F.col("normal")).alias("n")).filter(F.col("n") >= min_words)
 
 
 def _place(id_: str = "id", line: str = "line") -> Column:
@@ -90,12 +95,12 @@ def _without(words: Column, i: Column) -> Column:
 
 def _dominated(df: DataFrame, contents: DataFrame, min_words: int) -> DataFrame:
     """(h1, h2) of the contents that are one edit from an earlier one."""
-    keys = contents.select("h1", "h2", F.explode(F.array_compact(F.array(*[f"k{i}" for i in range(4)]))).alias("key"))
+    keys = contents.select("h1", F.explode(F.array_compact(F.array(*[f"k{i}" for i in range(4)]))).alias("key"))
     shared = cut(keys.groupBy("key").count().filter("count > 1").select("key"))
-    near = keys.join(shared, "key", "left_semi").select("h1", "h2").distinct()
-    near = contents.join(near, ["h1", "h2"], "left_semi").select("h1", "h2", "place")
+    near = keys.join(shared, "key", "left_semi").select("h1").distinct()
+    near = contents.join(near, "h1", "left_semi").select("h1", "h2", "place")
     wanted = near.groupBy(F.col("place.id").alias("w_id")).agg(F.collect_list(F.struct("place.line", "h1", "h2", "place")).alias("wanted"))
-    found = df.join(cut(wanted), F.col("id").eqNullSafe(F.col("w_id"))).select(F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), "wanted")
+    found = df.join(cut(wanted), F.col("id").eqNullSafe(F.col("w_id"))).select(F.split(_spaced(F.col("text")), "\n").alias("lines"), "wanted")
     found = found.select("lines", F.explode("wanted").alias("w")).select("w.h1", "w.h2", "w.place", _normal(F.get("lines", F.col("w.line"))).alias("normal"))
     # Rows with equal ids: only the text that holds the line counts, and only once.
     same = (F.xxhash64("normal") == F.col("h1")) & (F.xxhash64(F.lit(1), "normal") == F.col("h2"))
