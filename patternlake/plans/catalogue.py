@@ -1,16 +1,222 @@
-"""The registered queries of the pattern engine and their SQL equivalents."""
+"""The registered queries of the pattern engine and their SQL equivalents.
+
+SQL runs RE2 patterns.  Where RE2 has no equivalent (look-around, references), a query has
+no SQL and is tested by hand-written cases.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from patternlake import functions as R
+from patternlake.authoring import PATTERNS, Builder, Composer, Macros
+from patternlake.authoring.library import extract_all, validates
+from patternlake.authoring.lint import complexity_columns, lint_report
+from patternlake.authoring.macros import COMMON
+from patternlake.dialect import compile_pattern
+from patternlake.functions import sql as S
+from patternlake.operators import explode_matches, match_counts, pattern_anti_join, pattern_join, pattern_semi_join, top_matches
+from patternlake.sources import grep, grep_counts
+from patternlake.streaming import windowed_counts
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+#: White space of the dialect in RE2.
+_S = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_PHONE = PATTERNS["phoneUS"]
+
+
+def _re2(pattern: str) -> str:
+    """A library pattern in RE2: only its white space differs."""
+    return pattern.replace(r"[-.\s]", "[-." + _S[1:]).replace("'", "''")
+
+
+def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _add(name: str, query: Query, oracle: str | None = None) -> None:
+    QUERIES[name] = query
+    if oracle is not None:
+        ORACLE_SQL[name] = oracle
+
 
 def phones_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pattern = r"\(?\d{3}\)?[-. \t]?\d{3}[-. \t]?\d{4}"
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count_if(F.regexp_like("text", F.lit(pattern))).alias("documents"))
+    """US phone numbers: documents with one, and all of them, per language."""
+    return match_counts(_table("documents")(spark, sf_dir), "text", _PHONE, ["lang"])
+
+
+def _counts(name: str, pattern: str, flags: str = "", re2: str | None = "", *, table: str = "documents", text: str = "text", by: str = "lang") -> None:
+    """Register counts per group; ``re2`` is '' where the pattern is RE2 as it stands, None for no SQL."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _table(table)(spark, sf_dir).select(F.col(by), F.expr(text).alias("t"))
+        return match_counts(rows, "t", pattern, [by], flags)
+
+    if re2 is None:
+        _add(name, query)
+        return
+    p = (re2 or pattern).replace("'", "''")
+    _add(name, query, f"SELECT {by}, count(*) AS texts, count(*) FILTER (regexp_matches({text}, '{p}')) AS texts_with_match, coalesce(sum(len(regexp_extract_all({text}, '{p}'))), 0)::BIGINT AS matches FROM {table} GROUP BY {by}")
+
+
+# ---------------------------------------------------------------- verbs
+
+_add("phones_by_language", phones_by_language, f"SELECT lang, count(*) AS texts, count(*) FILTER (regexp_matches(text, '{_re2(_PHONE)}')) AS texts_with_match, sum(len(regexp_extract_all(text, '{_re2(_PHONE)}')))::BIGINT AS matches FROM documents GROUP BY lang")
+
+
+def _project(name: str, table: str, key: str, columns: Callable[[], dict[str, Column]], oracle: str | None, where: Callable[[], Column] | None = None) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _table(table)(spark, sf_dir)
+        rows = rows if where is None else rows.filter(where())
+        return rows.select(F.col(key), *[c.alias(n) for n, c in columns().items()])
+
+    _add(name, query, oracle)
+
+
+_project("is_match", "documents", "doc_id", lambda: {"hit": R.is_match("text", r"[a-z]+@[a-z]+\.com")}, "SELECT doc_id, regexp_matches(text, '[a-z]+@[a-z]+\\.com') AS hit FROM documents")
+_project("is_match_literal", "documents", "doc_id", lambda: {"lang": F.col("lang")}, "SELECT doc_id, lang FROM documents WHERE contains(text, 'license')", lambda: R.is_match("text", "license"))
+_project("find_text", "documents", "doc_id", lambda: {"found": R.find_text("text", r"[A-Z][a-z]+, [a-z]+")}, "SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Z][a-z]+, [a-z]+') THEN regexp_extract(text, '[A-Z][a-z]+, [a-z]+') END AS found FROM documents")
+_project("find_struct", "pages", "page_id", lambda: {k: R.find("url", r"/([a-z]{2})/(\d+)")[k] for k in ("match", "start", "end")} | {"lang": R.find("url", r"/([a-z]{2})/(\d+)")["captures"][0], "lang_start": R.find("url", r"/([a-z]{2})/(\d+)")["capture_spans"][0]["start"]},
+         r"SELECT page_id, m AS match, s AS start, s + length(m) AS end, regexp_extract(m, '/([a-z]{2})', 1) AS lang, s + 1 AS lang_start FROM (SELECT page_id, nullif(regexp_extract(url, '/[a-z]{2}/\d+'), '') AS m, length(regexp_extract(url, '^(.*?)/[a-z]{2}/\d+', 1))::INTEGER AS s FROM pages)")
+_project("find_from", "documents", "doc_id", lambda: {"found": R.find_from("text", "[a-z]{5}", 40)["match"]}, "SELECT doc_id, CASE WHEN regexp_matches(text, '(?s)\\A.{40}.*?([a-z]{5})') THEN regexp_extract(text, '(?s)\\A.{40}.*?([a-z]{5})', 1) END AS found FROM documents")
+_add("find_all_rows", lambda spark, sf_dir: explode_matches(_table("pages")(spark, sf_dir).select("page_id", "url"), "url", r"[a-z]+\.(?:com|org|net)|\d+").drop("captures"),
+     r"""WITH f AS (SELECT page_id, regexp_extract_all(url, '[a-z]+\.(?:com|org|net)|\d+') AS m, regexp_split_to_array(url, '[a-z]+\.(?:com|org|net)|\d+') AS g FROM pages),
+k AS (SELECT *, unnest(range(len(m)))::INTEGER AS ordinal FROM f),
+p AS (SELECT page_id, ordinal, m[ordinal + 1] AS match, (coalesce(list_sum(list_transform(g[1:ordinal + 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:ordinal], lambda x: length(x))), 0))::INTEGER AS start FROM k)
+SELECT page_id, ordinal, match, start, (start + length(match))::INTEGER AS end FROM p""")
+_add("iterate", lambda spark, sf_dir: _table("events")(spark, sf_dir).select("event_id", F.posexplode(R.find_all_text("props", r"\w+")).alias("ordinal", "match")),
+     r"SELECT event_id, (unnest(range(len(m))))::INTEGER AS ordinal, unnest(m) AS match FROM (SELECT event_id, regexp_extract_all(props, '\w+') AS m FROM events)")
+_project("count", "documents", "doc_id", lambda: {"n": R.count("text", r"\w+")}, r"SELECT doc_id, len(regexp_extract_all(text, '\w+'))::BIGINT AS n FROM documents")
+_project("count_prefiltered", "documents", "doc_id", lambda: {"n": R.count("text", r"\w+tion\b")}, r"SELECT doc_id, len(regexp_extract_all(text, '\w+tion\b'))::BIGINT AS n FROM documents")
+_project("count_matching_lines", "documents", "doc_id", lambda: {"n": R.count_matching_lines("text", r"^The\b")}, r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^The\b')))::BIGINT AS n FROM documents")
+_add("count_lines_total", lambda spark, sf_dir: _table("documents")(spark, sf_dir).agg(F.sum(R.count_matching_lines("text", r"[0-9]")).alias("n")), "SELECT sum(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[0-9]'))))::BIGINT AS n FROM documents")
+_add("matching_lines", lambda spark, sf_dir: R.matching_lines(_table("documents")(spark, sf_dir).select("doc_id", "text"), "text", r"@|\d{3}-\d{4}"),
+     r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), k AS (SELECT *, unnest(range(len(x)))::INTEGER AS line_no FROM l),
+p AS (SELECT doc_id, line_no, x[line_no + 1] AS line, (coalesce(list_sum(list_transform(x[1:line_no], lambda y: strlen(y) + 1)), 0))::INTEGER AS start FROM k)
+SELECT doc_id, line_no, line, start, (start + strlen(line))::INTEGER AS end FROM p WHERE regexp_matches(line, '@|\d{3}-\d{4}')""")
+_project("replace", "pages", "page_id", lambda: {"out": R.replace("url", r"([a-z]+)\.example\.(com|org)", "$2:$1")}, r"SELECT page_id, regexp_replace(url, '([a-z]+)\.example\.(com|org)', '\2:\1') AS out FROM pages")
+_project("replace_all", "documents", "doc_id", lambda: {"out": F.md5(R.replace_all("text", r"(\w)(\w+)", "$2$1$$"))}, r"SELECT doc_id, md5(regexp_replace(text, '(\w)(\w+)', '\2\1$', 'g')) AS out FROM documents")
+_project("split", "pages", "page_id", lambda: {"n": F.size(R.split("url", r"[/?#]")), "last": F.element_at(R.split("url", r"[/?#]"), -1)}, "SELECT page_id, len(p)::INTEGER AS n, p[-1] AS last FROM (SELECT page_id, regexp_split_to_array(url, '[/?#]') AS p FROM pages)")
+_project("captures", "pages", "page_id", lambda: {"host": R.capture("url", r"://([^/]+)/(\w+)", 1), "section": R.capture("url", r"://([^/]+)/(\w+)", 2)}, r"SELECT page_id, regexp_extract(url, '://([^/]+)/(\w+)', 1) AS host, regexp_extract(url, '://([^/]+)/(\w+)', 2) AS section FROM pages")
+_project("named_captures", "orders", "o_orderkey", lambda: {k: R.named_captures(F.col("o_orderdate").cast("string"), r"(?<year>\d{4})-(?P<month>\d\d)-(?<day>\d\d)")[k] for k in ("year", "month", "day")},
+         r"SELECT o_orderkey, c.year AS year, c.month AS month, c.day AS day FROM (SELECT o_orderkey, regexp_extract(o_orderdate::VARCHAR, '(?P<year>\d{4})-(?P<month>\d\d)-(?P<day>\d\d)', ['year', 'month', 'day']) AS c FROM orders)")
+
+# ---------------------------------------------------------------- constructs
+
+_counts("construct_literal", "tion")
+_counts("construct_unicode_literal", "é")
+_counts("construct_dot", "th.s", re2=r"th[^\n\r\x{2028}\x{2029}\x{10000}-\x{10FFFF}]s")
+_counts("construct_concat", "the of")
+_counts("construct_alternation", "and|the|of")
+_counts("construct_alternation_empty", "x(?:y|)z?")
+_counts("construct_star", "ab*l")
+_counts("construct_plus_lazy", "e+?[rn]")
+_counts("construct_optional", "colou?r|th?e")
+_counts("construct_bounds", r"[a-z]{3,5}\b")
+_counts("construct_bounds_lazy", "[a-z]{2,4}?t")
+_counts("construct_swap_greedy", r"(?U:[a-z]+)t", re2="[a-z]+?t")
+_counts("construct_class", "[aeiou][^aeiou\\s]", re2="[aeiou][^aeiou" + _S[1:])
+_counts("construct_digit_word", r"\d\w\D", re2=r"\d\w[^0-9]")
+_counts("construct_space", r"\s\S+\s", re2=_S + "[^" + _S[1:] + "+" + _S)
+_counts("construct_posix", "[[:upper:]][[:lower:]]+[[:punct:]]")
+_counts("construct_class_sets", "[[a-z]--[aeiou]]{2}", "v", re2="[b-df-hj-np-tv-z]{2}")
+_counts("construct_class_intersection", "[\\w&&[^0-9_]]{4}", "v", re2="[a-zA-Z]{4}")
+_counts("construct_class_strings", r"[\q{tion|ing|z}x]", "v", re2="(?:tion|ing|[xz])")
+_counts("construct_property", r"\p{Lu}\p{Ll}+", "u")
+_counts("construct_property_script", r"\p{Script=Latin}+", "u", re2=r"\p{Latin}+")
+_counts("construct_property_binary", r"\p{ASCII}{3}", "u", re2=r"[\x{0}-\x{7F}]{3}")
+_counts("construct_groups", "(th)(e|is)", re2="(?:th)(?:e|is)")
+_counts("construct_noncapturing", "(?:re)+a")
+_counts("construct_named_group", "(?<head>[A-Z])(?P<tail>[a-z]+)", re2="[A-Z][a-z]+")
+_counts("construct_lookahead", "th(?=e)", re2=None)
+_counts("construct_negative_lookahead", "th(?!e)", re2=None)
+_counts("construct_lookbehind", "(?<=th)e", re2=None)
+_counts("construct_negative_lookbehind", "(?<!th)e", re2=None)
+_counts("construct_backreference", r"\b(\w+) \1\b", re2=None)
+_counts("construct_named_backreference", r"(?<c>[a-z])\k<c>", re2="aa|bb|cc|dd|ee|ff|gg|hh|ii|jj|kk|ll|mm|nn|oo|pp|qq|rr|ss|tt|uu|vv|ww|xx|yy|zz")
+_counts("construct_anchors", "^[A-Z]|[.]$", re2=r"\A[A-Z]|[.]\z")
+_counts("construct_anchors_multiline", "^[A-Z]\\w*", "m", re2="(?m)^[A-Z]\\w*")
+_counts("construct_text_anchors", r"\A\w+|\w+[.]\z")
+_counts("construct_word_boundary", r"\b[a-z]+\b")
+_counts("construct_not_word_boundary", r"\Bt\B")
+_counts("construct_inline_flags", "(?i:the) (?-i:a)|(?i)OF", re2="(?i:the) a|(?i:of)")
+_counts("construct_ignore_case", "the", "i", re2="(?i)the")
+_counts("construct_extended", "t h  # comment\n e", "x", re2="the")
+_counts("construct_dot_all", "[.].[A-Z]", "s", re2="(?s)[.].[A-Z]")
+_counts("construct_escapes", r"\x2e\u000a\x41?", re2=r"\x2e\n\x41?")
+_counts("construct_braced_escape", r"\u{e9}\w", "u", re2=r"\x{e9}\w")
+_counts("construct_identity_escape", r"t\h\e", re2="the")
+
+# ---------------------------------------------------------------- authoring
+
+_LIBRARY = {
+    "email": ("documents", "text", "lang"), "url": ("pages", "url", None), "ipv4": ("documents", "text", "lang"), "phoneUS": ("documents", "text", "lang"), "dateISO": ("orders", "cast(o_orderdate AS string)", "o_orderstatus"),
+    "time24": ("events", "cast(ts AS string)", "event_type"), "hexColor": ("documents", "text", "lang"), "creditCard": ("documents", "text", "lang"), "uuid": ("documents", "text", "lang"),
+    "integer": ("events", "props", "event_type"), "decimal": ("documents", "text", "lang"), "identifier": ("documents", "text", "lang"),
+}
+for _name, (_from, _text, _by) in _LIBRARY.items():
+    if _by is not None:
+        _counts(f"library_{_name}", PATTERNS[_name], re2=_re2(PATTERNS[_name]).replace("''", "'"), table=_from, text=_text, by=_by)
+_project("library_url", "pages", "page_id", lambda: {"found": F.array_join(extract_all("url", "url"), " "), "whole": validates("url", "url")},
+         f"SELECT page_id, array_to_string(regexp_extract_all(url, '{_re2(PATTERNS['url'])}'), ' ') AS found, regexp_full_match(url, '{_re2(PATTERNS['url'])}') AS whole FROM pages")
+_project("library_validate", "customer", "c_custkey", lambda: {"identifier": validates("identifier", "c_name"), "integer": validates("integer", F.col("c_custkey").cast("string"))},
+         "SELECT c_custkey, regexp_full_match(c_name, '[a-zA-Z_][a-zA-Z0-9_]*') AS identifier, regexp_full_match(c_custkey::VARCHAR, '[0-9]+') AS integer FROM customer")
+_counts("builder", Builder().word_boundary().char_range("A", "Z").start_non_capturing_group().char_class("a-z").one_or_more().end_group().repeat_range(1, 2).literal(".").build(), re2=r"\b[A-Z](?:[a-z]+){1,2}\.")
+_counts("composer", Composer().add("the [a-z]+").add("of [a-z]+").alternatives(), re2="the [a-z]+|of [a-z]+")
+_counts("macros", Macros(COMMON).expand("${upper}${lower}+[.]"), re2="[A-Z][a-z]+[.]")
+_project("lint_complexity", "pages", "page_id", lambda: complexity_columns(F.col("html")),
+         r"""WITH c AS (SELECT page_id, html, unnest(range(1, length(p) + 1)) AS i, p FROM (SELECT page_id, html, regexp_replace(html, '[^()]', '', 'g') AS p FROM pages)),
+r AS (SELECT page_id, i, sum(CASE WHEN p[i] = '(' THEN 1 ELSE -1 END) OVER (PARTITION BY page_id ORDER BY i) AS s FROM c),
+d AS (SELECT page_id, max(s - least(0, low)) AS depth FROM (SELECT *, min(s) OVER (PARTITION BY page_id ORDER BY i) AS low FROM r) GROUP BY page_id),
+n AS (SELECT p.page_id, strlen(html) AS length, greatest(coalesce(depth, 0), 0)::BIGINT AS nesting, len(regexp_extract_all(html, '\(')) AS groups, len(regexp_extract_all(html, '[+*?]')) AS quantifiers, len(regexp_extract_all(html, '\|')) AS alternations, len(regexp_extract_all(html, '\[')) AS classes FROM pages p LEFT JOIN d ON p.page_id = d.page_id),
+s AS (SELECT *, length // 10 + 5 * nesting + 2 * groups + quantifiers + 2 * alternations + classes AS score FROM n)
+SELECT *, CASE WHEN score < 10 THEN 'low' WHEN score < 25 THEN 'medium' WHEN score < 50 THEN 'high' ELSE 'very_high' END AS level FROM s""")
+_add("lint_report", lambda spark, sf_dir: lint_report(spark, [*PATTERNS.values(), "(a+)+", "a**", "(|x)"]))
+_add("pattern_facts", lambda spark, sf_dir: spark.createDataFrame([(n, c.min_length, c.max_length, c.can_match_empty, c.group_count, c.required_literal, c.risk.level) for n, c in ((n, compile_pattern(p)) for n, p in PATTERNS.items())], "name string, min_length int, max_length int, can_match_empty boolean, groups int, required_literal string, risk string"))
+
+# ---------------------------------------------------------------- sources, joins, SQL, windows
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table("pages")(spark, sf_dir).select(F.col("url").alias("path"), F.col("html").alias("text"))
+
+
+_add("grep", lambda spark, sf_dir: grep(_files(spark, sf_dir), r"<h\d>|href="),
+     r"SELECT path, line_no, line FROM (SELECT url AS path, unnest(range(1, len(l) + 1))::INTEGER AS line_no, unnest(l) AS line FROM (SELECT url, string_split(html, chr(10)) AS l FROM pages)) WHERE regexp_matches(line, '<h\d>|href=')")
+_add("grep_counts", lambda spark, sf_dir: grep_counts(_files(spark, sf_dir), r"<p>", "i"), "SELECT url AS path, len(list_filter(string_split(html, chr(10)), lambda x: regexp_matches(x, '(?i)<p>')))::BIGINT AS n FROM pages")
+_JOINED = {"email": PATTERNS["email"], "phone": r"\d{3}-\d{4}", "license": "license", "ing": r"\b[a-z]+ing\b"}
+_JOIN_RE2 = {n: p.replace("'", "''") for n, p in _JOINED.items()}
+_any = " OR ".join(f"regexp_matches(text, '{p}')" for n, p in _JOIN_RE2.items() if n != "ing")
+_rare = {n: p for n, p in _JOINED.items() if n != "ing"}
+_add("pattern_join", lambda spark, sf_dir: pattern_join(_table("documents")(spark, sf_dir).select("doc_id", "text"), "text", _JOINED).select("doc_id", "pattern_name"),
+     " UNION ALL ".join(f"SELECT doc_id, '{n}' AS pattern_name FROM documents WHERE regexp_matches(text, '{p}')" for n, p in _JOIN_RE2.items()))
+_add("pattern_semi_join", lambda spark, sf_dir: pattern_semi_join(_table("documents")(spark, sf_dir), "text", _rare).select("doc_id"), f"SELECT doc_id FROM documents WHERE {_any}")
+_add("pattern_anti_join", lambda spark, sf_dir: pattern_anti_join(_table("documents")(spark, sf_dir), "text", _rare).select("doc_id"), f"SELECT doc_id FROM documents WHERE NOT coalesce({_any}, FALSE)")
+_add("top_matches", lambda spark, sf_dir: top_matches(_table("documents")(spark, sf_dir), "text", r"\b[a-z]{4,}\b", 20),
+     r"SELECT match, count(*) AS times FROM (SELECT unnest(regexp_extract_all(text, '\b[a-z]{4,}\b')) AS match FROM documents) GROUP BY match ORDER BY times DESC, match LIMIT 20")
+
+
+def _by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    S.register(spark, "pl_count_words", "count", r"\w+")
+    S.register(spark, "pl_has_digits", "is_match", r"\d{2,}")
+    _table("conversations")(spark, sf_dir).createOrReplaceTempView("pl_conversations")
+    return spark.sql("SELECT role, count(*) AS turns, sum(pl_count_words(text)) AS words, count_if(pl_has_digits(text)) AS with_digits FROM pl_conversations GROUP BY role")
+
+
+_add("sql_functions", _by_sql, r"SELECT role, count(*) AS turns, sum(len(regexp_extract_all(text, '\w+')))::BIGINT AS words, count(*) FILTER (regexp_matches(text, '\d{2,}')) AS with_digits FROM conversations GROUP BY role")
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = windowed_counts(_table("events")(spark, sf_dir), "props", "ts", r'"k": [0-9]*7', by=("event_type",))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return found.select(text("window_start").alias("window_start"), text("window_end").alias("window_end"), "event_type", "rows", "rows_with_match", "matches")
+
+
+_add("windowed_counts", _windows, """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(w + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, event_type, count(*) AS rows,
+count(*) FILTER (regexp_matches(props, '"k": [0-9]*7')) AS rows_with_match, sum(len(regexp_extract_all(props, '"k": [0-9]*7')))::BIGINT AS matches FROM (SELECT *, date_trunc('hour', ts) AS w FROM events) GROUP BY w, event_type""")
