@@ -18,7 +18,7 @@ def expression(verb: str, text: str, pattern: str | CompiledPattern, flags: str
     java = quoted(p.java)
     known = {
         "is_match": f"regexp_like({text}, {java})",
-        "find": f"regexp_substr({text}, {java})",
+        "find": f"CASE WHEN regexp_like({text}, {java}) THEN regexp_extract({text}, {java}, 0) END",
         "find_all": f"regexp_extract_all({text}, {java}, 0)",
         "count": f"cast(regexp_count({text}, {java}) AS BIGINT)",
         "replace_all": f"regexp_replace({text}, {java}, {quoted(p.java_template(template))})",

@@ -34,7 +34,11 @@ def is_match(text: Column | str, pattern: Pattern, flags: FlagsLike = None) -> C
 
 def find_text(text: Column | str, pattern: Pattern, flags: FlagsLike = None) -> Column:
     """The text of the leftmost match, null for none."""
-    return F.regexp_substr(_col(text), F.lit(compile_pattern(pattern, flags).java))
+    p, text = compile_pattern(pattern, flags), _col(text)
+    if not p.can_match_empty:
+        return F.regexp_substr(text, F.lit(p.java))
+    # The built-in gives null for empty matches.
+    return F.when(F.regexp_like(text, F.lit(p.java)), _group(text, F.lit(p.java), 0))
 
 
 def _lead(java: str) -> str:

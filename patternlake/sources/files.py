@@ -1,7 +1,7 @@
 """Searching files.
 
 ``read_tree`` finds files below a path as Spark does: recursively, without names that begin
-with a dot or underscore.  Binary files (a zero byte in the first KiB) are left out.
+with a dot or underscore; empty files have no row.  Binary files (a zero byte in the first KiB) are left out.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ from patternlake.plans.pushdown import existence
 def windowed_counts(df: DataFrame, text: str, time: str, pattern: str | CompiledPattern, flags: str | Flags | None = None, *, width: str = "1 hour", slide: str | None = None, late: str = "1 hour", by: tuple[str, ...] = ()) -> DataFrame:
     """Rows, rows with a match and matches per window (and group); streams drop rows later than ``late``."""
     p = compile_pattern(pattern, flags)
-    rows = df.withWatermark(time, late) if df.isStreaming else df
+    # Watermarks need a time zone; local times are read in the session's.
+    rows = df.withColumn(time, F.col(time).cast("timestamp")) if df.schema[time].dataType.typeName() == "timestamp_ntz" else df
+    rows = rows.withWatermark(time, late) if df.isStreaming else rows
     window = F.window(time, width, slide) if slide else F.window(time, width)
     found = rows.groupBy(window.alias("w"), *by).agg(F.count(F.lit(1)).alias("rows"), F.count_if(existence(F.col(text), p)).alias("rows_with_match"), F.sum(count(text, p)).alias("matches"))
     return found.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "rows", "rows_with_match", "matches")
