@@ -9,8 +9,8 @@ cutoffs of each stratum (language) come from labelled texts of good quality:
   the rules together reject a share of alpha of a stratum's good texts at most.
 * Within a rule and stratum, cutoffs are tested from the loosest on and testing stops at
   the first that fails, which needs no further correction (fixed-sequence testing).
-* Of the certified cutoffs the one is taken that rejects most bad texts over good ones, the
-  loosest on ties; a rule that rejects no more bad than good texts is not used.
+* Of the certified cutoffs the one is taken that rejects most bad texts, less
+  ``GOOD_WEIGHT`` for each good one, the loosest on ties; a rule without a gain is not used.
 
 With probability 1 - delta all chosen cutoffs hold their bound.  The calibration table has
 strata * rules * cutoffs rows; texts are read by column expressions, and only counts are
@@ -51,6 +51,8 @@ RULES = (
     Rule("repeats", "n_repeat_words", "n_words"),
 )
 ALPHA, DELTA = 0.1, 0.1
+#: A good text lost weighs as much as so many bad ones kept, among certified cutoffs.
+GOOD_WEIGHT = 20
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 
 
@@ -146,7 +148,7 @@ def cutoffs(labelled: DataFrame, *, alpha: float = ALPHA, delta: float = DELTA)
     tested = grid.crossJoin(F.broadcast(strata))  # one row
     certified = binomial_cdf(F.col("k"), F.col("n"), alpha / len(RULES)) * F.col("strata") * len(RULES) <= delta
     order = Window.partitionBy("stratum", "rule").orderBy("level")
-    tested = tested.select("stratum", "rule", "level", (F.col("bad") - F.col("k")).alias("gain"), F.min(F.when(certified, 1).otherwise(0)).over(order).alias("ok"))
+    tested = tested.select("stratum", "rule", "level", (F.col("bad") - GOOD_WEIGHT * F.col("k")).alias("gain"), F.min(F.when(certified, 1).otherwise(0)).over(order).alias("ok"))
     best = Window.partitionBy("stratum", "rule").orderBy(F.desc("gain"), "level")
     chosen = tested.filter("ok = 1 AND gain > 0").withColumn("place", F.row_number().over(best)).filter("place = 1")
     return chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r.name, F.get(levels, F.col("level")))).alias(r.name) for r in RULES])
@@ -213,7 +215,7 @@ labelled AS (SELECT b.*, good FROM based b JOIN (SELECT doc_id, max(quality) = 1
 cutoffs(cutoff, level) AS (VALUES {", ".join(f"({c}, {i})" for i, c in enumerate(CUTOFFS))}),
 per_rule AS ({rule_rows}),
 grid AS (SELECT stratum, rule, cutoff, level, count(*) FILTER (good) AS n, count(*) FILTER (good AND 1000 * a > cutoff * b) AS k, count(*) FILTER (NOT good AND 1000 * a > cutoff * b) AS bad FROM per_rule, cutoffs GROUP BY ALL),
-tested AS (SELECT *, bad - k AS gain, CASE WHEN k >= n * {p} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) END AS tail FROM grid),
+tested AS (SELECT *, bad - {GOOD_WEIGHT} * k AS gain, CASE WHEN k >= n * {p} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) END AS tail FROM grid),
 sequence AS (SELECT *, bool_and(tail * (SELECT count(DISTINCT stratum) FROM labelled) * {rules} <= {DELTA}) OVER (PARTITION BY stratum, rule ORDER BY level) AS ok FROM tested),
 chosen AS (SELECT stratum, rule, cutoff FROM sequence WHERE ok AND gain > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, level) = 1),
 picked AS (SELECT stratum, {picked} FROM chosen GROUP BY stratum)

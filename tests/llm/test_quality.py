@@ -42,12 +42,13 @@ def test_chosen_cutoffs_are_certified(spark):
     rows = []
     for i in range(4000):
         good, lang = rnd.random() < 0.85, "en" if i % 4 else "de"
-        symbols = rnd.randint(0, 12) if good and rnd.random() < 0.9 else rnd.randint(0, 150)
+        symbols = rnd.randint(0, 12) if good and rnd.random() < 0.997 else rnd.randint(0, 150)
         rows.append((lang, good, 100, 500, symbols, 0, 0, 10, 20))
     df = spark.createDataFrame(rows, "stratum string, good boolean, " + ", ".join(f"{c} long" for c in COUNTS))
     got = {r.stratum: r for r in cutoffs(df).collect()}
     level = quality.ALPHA / len(RULES)
-    cdf = lambda k, n: sum(math.comb(n, j) * level**j * (1 - level) ** (n - j) for j in range(k + 1))
+    log = lambda j, n: math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(level) + (n - j) * math.log(1 - level)
+    cdf = lambda k, n: sum(math.exp(log(j, n)) for j in range(k + 1))
     for lang in ("en", "de"):
         own = [(g, 1000 * s / w) for la, g, w, _, s, *_ in rows if la == lang]
         n, best, gain = sum(g for g, _ in own), None, 0
@@ -55,8 +56,8 @@ def test_chosen_cutoffs_are_certified(spark):
             k, bad = sum(g and x > c for g, x in own), sum(not g and x > c for g, x in own)
             if cdf(k, n) * 2 * len(RULES) > quality.DELTA:
                 break
-            if bad - k > gain:
-                best, gain = c, bad - k
+            if bad - quality.GOOD_WEIGHT * k > gain:
+                best, gain = c, bad - quality.GOOD_WEIGHT * k
         assert (got[lang].symbols if lang in got else None) == best
         assert lang not in got or got[lang].lines is None
 
