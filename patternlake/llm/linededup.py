@@ -95,16 +95,18 @@ def _without(words: Column, i: Column) -> Column:
 
 def _dominated(df: DataFrame, contents: DataFrame, min_words: int) -> DataFrame:
     """(h1, h2) of the contents that are one edit from an earlier one."""
-    keys = contents.select("h1", F.explode(F.array_compact(F.array(*[f"k{i}" for i in range(4)]))).alias("key"))
-    shared = cut(keys.groupBy("key").count().filter("count > 1").select("key"))
-    near = keys.join(shared, "key", "left_semi").select("h1").distinct()
-    near = contents.join(near, "h1", "left_semi").select("h1", "h2", "place")
-    wanted = near.groupBy(F.col("place.id").alias("w_id")).agg(F.collect_list(F.struct("place.line", "h1", "h2", "place")).alias("wanted"))
+    keys = contents.select("h1", "n", F.explode(F.array_compact(F.array(*[f"k{i}" for i in range(4)]))).alias("key"))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.max("n").alias("most")).filter("c > 1")
+    shared = cut(shared.select("key", (F.col("least") < F.col("most")).alias("varied")))
+    # Contents whose keys are shared by lines of one length only can't be one insertion apart.
+    near = keys.join(shared, "key").groupBy("h1").agg(F.max("varied").alias("varied"))
+    near = contents.join(near, "h1").select("h1", "h2", "place", "varied")
+    wanted = near.groupBy(F.col("place.id").alias("w_id")).agg(F.collect_list(F.struct("place.line", "h1", "h2", "place", "varied")).alias("wanted"))
     found = df.join(cut(wanted), F.col("id").eqNullSafe(F.col("w_id"))).select(F.split(_spaced(F.col("text")), "\n").alias("lines"), "wanted")
-    found = found.select("lines", F.explode("wanted").alias("w")).select("w.h1", "w.h2", "w.place", _normal(F.get("lines", F.col("w.line"))).alias("normal"))
+    found = found.select("lines", F.explode("wanted").alias("w")).select("w.h1", "w.h2", "w.place", "w.varied", _normal(F.get("lines", F.col("w.line"))).alias("normal"))
     # Rows with equal ids: only the text that holds the line counts, and only once.
     same = (F.xxhash64("normal") == F.col("h1")) & (F.xxhash64(F.lit(1), "normal") == F.col("h2"))
-    found = cut(found.filter(same).dropDuplicates(["h1", "h2"]).select("h1", "h2", "place", F.split("normal", " ").alias("words")))
+    found = cut(found.filter(same).dropDuplicates(["h1", "h2"]).select("h1", "h2", "place", "varied", F.split("normal", " ").alias("words")))
 
     # 40-bit hashes: sums of some eight million words fit a long.  Sums over (place, word) tell
     # replacements, sums over words and over neighbouring pairs tell insertions.
@@ -113,7 +115,7 @@ def _dominated(df: DataFrame, contents: DataFrame, min_words: int) -> DataFrame:
     total = lambda f: F.aggregate(F.transform("words", f), F.lit(0).cast("long"), lambda a, x: a + x)
     at = lambda i: F.get("words", i)
     sums = found.select(
-        "h1", "h2", "place", "words", F.size("words").alias("n"),
+        "h1", "h2", "place", "varied", "words", F.size("words").alias("n"),
         total(lambda w, i: hashed(i, w)).alias("s1"), total(lambda w, i: hashed(w, i)).alias("s2"), total(lambda w: hashed(w)).alias("t1"),
         (total(lambda w, i: pair(at(i - 1), w)) + pair(F.element_at("words", -1), F.lit(None))).alias("t2"),
     )
@@ -123,22 +125,26 @@ def _dominated(df: DataFrame, contents: DataFrame, min_words: int) -> DataFrame:
         replaced = F.xxhash64(i, "n", F.col("s1") - hashed(i, w), F.col("s2") - hashed(w, i))
         shorter = F.xxhash64(F.col("n") - 1, F.col("t1") - hashed(w), F.col("t2") - pair(before, w) - pair(w, after) + pair(before, after))
         # Any word of a run of equal ones gives the same shorter line.
-        return F.struct(replaced.alias("replaced"), F.when(~F.coalesce(before == w, F.lit(False)), shorter).alias("shorter"))
-
-    variants = sums.select("h1", "h2", "place", F.posexplode(F.transform("words", variant)).alias("i", "keys"))
-    replaced = variants.select("h1", "h2", "place", "i", F.col("keys.replaced").alias("key"))
-    first = replaced.groupBy("key").agg(F.min(F.struct("place", "h1", "h2")).alias("e"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+        return F.struct(replaced.alias("replaced"), F.when(F.col("varied") & ~F.coalesce(before == w, F.lit(False)), shorter).alias("shorter"))
+
+    variants = sums.select("h1", F.posexplode(F.transform("words", variant)).alias("i", "keys"))
+    replaced = variants.select("h1", "i", F.col("keys.replaced").alias("key"))
+    # Slim rows find the keys that two contents share; only those take places along.
+    met = replaced.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b")
+    met = cut(replaced.join(cut(met.select("key")), "key", "left_semi"))
+    met = met.join(found.select("h1", "h2", "place"), "h1")
+    first = met.groupBy("key").agg(F.min(F.struct("place", "h1", "h2")).alias("e"))
     # The earliest content of a key is one edit from all others of it.
-    pairs = replaced.join(cut(first.select("key", "e")), "key").filter((F.col("h1") != F.col("e.h1")) | (F.col("h2") != F.col("e.h2")))
+    pairs = met.join(cut(first), "key").filter((F.col("h1") != F.col("e.h1")) | (F.col("h2") != F.col("e.h2")))
     pairs = pairs.filter(F.col("place") > F.col("e.place")).select("h1", "h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"), "i")
     words = found.select("h1", "h2", "words")
     earlier = words.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("words").alias("e_words"))
     checked = pairs.join(words, ["h1", "h2"]).join(earlier, ["e1", "e2"])
     checked = checked.filter(_without(F.col("words"), F.col("i")) == _without(F.col("e_words"), F.col("i"))).select("h1", "h2")
 
-    longer = variants.select("h1", "h2", "place", "i", F.col("keys.shorter").alias("key")).filter("key IS NOT NULL")
-    own = sums.select(F.xxhash64("n", "t1", "t2").alias("key"), F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("place").alias("e_place"))
-    matched = longer.join(own, "key").join(words, ["h1", "h2"]).join(earlier, ["e1", "e2"])
+    longer = variants.select("h1", "i", F.col("keys.shorter").alias("key")).filter("key IS NOT NULL")
+    own = sums.filter("varied").select(F.xxhash64("n", "t1", "t2").alias("key"), F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("place").alias("e_place"))
+    matched = longer.join(own, "key").join(found.select("h1", "h2", "place", "words"), "h1").join(earlier, ["e1", "e2"])
     matched = matched.filter(_without(F.col("words"), F.col("i")) == F.concat_ws(" ", "e_words"))
     later = F.col("place") > F.col("e_place")
     matched = matched.select(F.when(later, F.col("h1")).otherwise(F.col("e1")).alias("h1"), F.when(later, F.col("h2")).otherwise(F.col("e2")).alias("h2"))
