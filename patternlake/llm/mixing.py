@@ -8,8 +8,8 @@ bounds its budget.  All budgets are whole numbers of tokens (words), rounded dow
 
 A leaf then takes whole epochs while its budget lasts and a token prefix of the next one, in
 the order of a seeded hash of epoch and document id.  To find where the prefix ends, a
-leaf's hash range is cut into buckets of some thousands of documents: token sums per bucket
-tell which bucket holds the end, and only that bucket is put in order.  So no task ever
+leaf's hash range is cut into as many buckets as a bucket holds documents: token sums tell
+which bucket holds the end, and only that bucket is put in order.  So no task ever
 sorts a whole leaf, and the text columns are never shuffled.
 
 Defined results: null domains, languages and sources are named ''; texts without words are
@@ -31,7 +31,9 @@ from patternlake.llm.common import SPACE, blank_trimmed, table, word_count
 from patternlake.plans.lineage import broadcast_if_small, cut
 
 LEVELS = ("domain", "lang", "source")
-_BUCKET_ROWS = 4096
+#: A leaf of n documents has n to this power buckets, so neither their number nor their size
+#: grows with n itself.
+_BUCKET_POWER = 0.5
 _HASH_BITS = 60
 
 
@@ -121,7 +123,7 @@ def plan(rows: DataFrame, mixture: Mixture) -> DataFrame:
     ``cut_share`` tokens (null: none of it).
     """
     leaves = rows.filter("n_tokens > 0").groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    taken = budgets(cut(leaves), mixture).select(*LEVELS, F.expr("budget div tokens").alias("epochs"), F.expr("budget % tokens").alias("rest"), F.expr(f"docs div {_BUCKET_ROWS} + 1").alias("buckets"))
+    taken = budgets(cut(leaves), mixture).select(*LEVELS, F.expr("budget div tokens").alias("epochs"), F.expr("budget % tokens").alias("rest"), F.ceil(F.pow("docs", F.lit(_BUCKET_POWER))).alias("buckets"))
     taken = cut(taken)
     keyed = rows.filter("n_tokens > 0").join(broadcast_if_small(taken.filter("rest > 0")), list(LEVELS))
     keyed = keyed.withColumn("key", mixture.key(F.col("epochs"), F.col("id")))

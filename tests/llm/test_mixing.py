@@ -42,7 +42,7 @@ def test_prefixes_fill_the_budgets(spark, monkeypatch):
         last = b.budget // b.tokens
         assert sum(r.take_tokens for r in own if r.epoch < last) == last * b.tokens
         assert sum(r.take_tokens < r.n_tokens for r in own) <= ties
-    monkeypatch.setattr(mixing, "_BUCKET_ROWS", 3)
+    monkeypatch.setattr(mixing, "_BUCKET_POWER", 0.9)
     assert sorted(select(df, mixture).collect(), key=str) == sorted(rows, key=str)
     other = select(df, Mixture(domains=mixture.domains, weights=mixture.weights, share=(13, 10), max_epochs=3, seed=6)).collect()
     assert sorted(other, key=str) != sorted(rows, key=str)
