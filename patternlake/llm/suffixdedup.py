@@ -45,8 +45,8 @@ from patternlake.llm.common import slices, table, utf8
 from patternlake.plans.lineage import cut
 
 _GRAM = 32
-_SHARD_BYTES = 2 << 20
-_SPLIT_BYTES = 4 << 20
+_SHARD_BYTES = 1 << 20
+_SPLIT_BYTES = 2 << 20
 _SLICE_BYTES = 512 << 10
 _CHUNK = 1 << 19
 _EMPTY = hashlib.sha256(b"").hexdigest()
