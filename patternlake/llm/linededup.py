@@ -26,6 +26,8 @@ an empty table gives no rows; other columns are ignored by ``removals`` and kept
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,8 +38,10 @@ MIN_WORDS = 8
 
 
 def _spaced(text: Column) -> Column:
-    """Text whose white space is single spaces, line feeds apart; one pass that rarely copies."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09\x0B-\x0D]|\x20[\x09\x0B-\x0D\x20]+", " ")
+    """Text whose white space is single spaces, line feeds apart; most texts are so already."""
+    text = F.coalesce(text, F.lit(""))
+    odd = reduce(lambda a, b: a | b, (F.contains(text, F.lit(c)) for c in ("  ", "\t", "\r", "\x0b", "\x0c")))
+    return F.when(odd, F.regexp_replace(text, r"[\x09\x0B-\x0D]|\x20[\x09\x0B-\x0D\x20]+", " ")).otherwise(text)
 
 
 def _normal(line: Column) -> Column:
