@@ -127,6 +127,10 @@ def find_all(text: Column | str, pattern: Pattern, flags: FlagsLike = None, *, o
 def count(text: Column | str, pattern: Pattern, flags: FlagsLike = None) -> Column:
     """The number of matches, as a long."""
     p, text = compile_pattern(pattern, flags), _col(text)
+    if p.exact_literal is not None and p.exact_literal[1:] == (False, False):
+        # Plain substrings need no pattern: what their removal takes off tells their number.
+        literal = F.lit(p.exact_literal[0])
+        return F.floor((F.octet_length(text) - F.octet_length(F.replace(text, literal, F.lit("")))) / F.octet_length(literal)).cast("long")
     found = F.regexp_count(text, F.lit(p.java)).cast("long")
     if len(p.required_literal) >= 2:
         return F.when(F.contains(text, F.lit(p.required_literal)), found).otherwise(F.when(text.isNotNull(), F.lit(0).cast("long")))

@@ -153,6 +153,26 @@ _counts("construct_escapes", r"\x2e\u000a\x41?", re2=r"\x2e\n\x41?")
 _counts("construct_braced_escape", r"\u{e9}\w", "u", re2=r"\x{e9}\w")
 _counts("construct_identity_escape", r"t\h\e", re2="the")
 
+# ---------------------------------------------------------------- throughput
+
+#: Patterns of published text-scan figures (fixed values).
+THROUGHPUT = {
+    "literal": "hello",
+    "literals": "hello|world|test",
+    "digits": r"\d+",
+    "words": r"\w+",
+    "letters": "[A-Za-z]+",
+    "digits_bounded": r"\d{1,3}",
+    "prefix": "foo[0-9]+",
+    "words_digit": r"\w+[0-9]",
+    "captures": "([a-z]+)([0-9]+)",
+    "dot": "a.c",
+    "ignore_case": "(?i)hello",
+}
+_THROUGHPUT_RE2 = {"captures": "[a-z]+[0-9]+", "dot": r"a[^\n\r\x{2028}\x{2029}\x{10000}-\x{10FFFF}]c"}
+for _name, _pattern in THROUGHPUT.items():
+    _counts(f"throughput_{_name}", _pattern, re2=_THROUGHPUT_RE2.get(_name, ""))
+
 # ---------------------------------------------------------------- authoring
 
 _LIBRARY = {
