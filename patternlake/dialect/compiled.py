@@ -66,6 +66,14 @@ class CompiledPattern:
     def literal_set(self) -> tuple[str, ...]:
         return facts.literal_set(self.tree)
 
+    @cached_property
+    def first_characters(self) -> tuple[str, ...]:
+        """Characters with which a match may begin, () where a class or an empty match is possible."""
+        prefix = self.literal_prefix[:1]
+        if prefix:
+            return (prefix,)
+        return tuple(sorted({s[:1] for s in self.literal_set})) if all(self.literal_set) else ()
+
     @property
     def captures_sticky(self) -> bool:
         """Captures of a repeated group may keep the value of an earlier iteration."""
@@ -127,3 +135,8 @@ def compile_pattern(pattern: str | CompiledPattern, flags: str | Flags | None =
     Raises ``PatternError`` for patterns that are invalid, too risky or not expressible.
     """
     return pattern if isinstance(pattern, CompiledPattern) else _compile(pattern, Flags.of(flags))
+
+
+def clear_cache() -> None:
+    """Forget the compiled patterns that are kept."""
+    _compile.cache_clear()

@@ -18,6 +18,7 @@ from patternlake.authoring.lint import complexity_columns, lint_report
 from patternlake.authoring.macros import COMMON
 from patternlake.dialect import compile_pattern
 from patternlake.functions import sql as S
+from patternlake.functions import unicode as U
 from patternlake.operators import explode_matches, match_counts, pattern_anti_join, pattern_join, pattern_semi_join, top_matches
 from patternlake.sources import grep, grep_counts
 from patternlake.streaming import windowed_counts
@@ -197,7 +198,16 @@ d AS (SELECT page_id, max(s - least(0, low)) AS depth FROM (SELECT *, min(s) OVE
 n AS (SELECT p.page_id, strlen(html) AS length, greatest(coalesce(depth, 0), 0)::BIGINT AS nesting, len(regexp_extract_all(html, '\(')) AS groups, len(regexp_extract_all(html, '[+*?]')) AS quantifiers, len(regexp_extract_all(html, '\|')) AS alternations, len(regexp_extract_all(html, '\[')) AS classes FROM pages p LEFT JOIN d ON p.page_id = d.page_id),
 s AS (SELECT *, length // 10 + 5 * nesting + 2 * groups + quantifiers + 2 * alternations + classes AS score FROM n)
 SELECT *, CASE WHEN score < 10 THEN 'low' WHEN score < 25 THEN 'medium' WHEN score < 50 THEN 'high' ELSE 'very_high' END AS level FROM s""")
+
+
+def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chars = _table("documents")(spark, sf_dir).select(F.explode(R.find_all_text("text", "[^]")).alias("char")).distinct().filter("char >= ' '")
+    category = U.general_category("char")
+    return chars.select("char", F.when(category.isin("Lu", "Ll"), category).otherwise("other").alias("category"), U.is_letter("char").alias("letter"), U.is_digit("char").alias("digit"))
+
+
 _add("lint_report", lambda spark, sf_dir: lint_report(spark, [*PATTERNS.values(), "(a+)+", "a**", "(|x)"]))
+_add("unicode_categories", _categories, r"""SELECT c AS char, CASE WHEN regexp_matches(c, '^\p{Lu}$') THEN 'Lu' WHEN regexp_matches(c, '^\p{Ll}$') THEN 'Ll' ELSE 'other' END AS category, regexp_matches(c, '^\p{L}$') AS letter, regexp_matches(c, '^\p{Nd}$') AS digit FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents) WHERE c >= ' '""")
 _add("pattern_facts", lambda spark, sf_dir: spark.createDataFrame([(n, c.min_length, c.max_length, c.can_match_empty, c.group_count, c.required_literal, c.risk.level) for n, c in ((n, compile_pattern(p)) for n, p in PATTERNS.items())], "name string, min_length int, max_length int, can_match_empty boolean, groups int, required_literal string, risk string"))
 
 # ---------------------------------------------------------------- sources, joins, SQL, windows

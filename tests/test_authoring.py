@@ -64,3 +64,43 @@ def test_printers():
     assert tree(p).splitlines()[0] == "concat" and "capture 1 y" in tree(p) and s_expression(p).startswith("(concat (capture 1 y")
     assert dot(p).count("->") == statistics(p)["nodes"] - 1
     assert p.describe()["names"] == {"y": 1}
+
+
+def test_simplify_keeps_matches(spark):
+    from pyspark.sql import functions as F
+
+    from patternlake.dialect.java import Emitter
+    from patternlake.dialect.simplify import simplify
+
+    cases = {"(?:a)": "a", "a{1}": "a", "(?:(?:a?)?)": "a?", "(?:a?)+": "a*", "b{0}a": "a", "(?:a|a)b": "ab", "(?:(?:ab))c": "abc", "(a)(?:)": "(a)"}
+    texts = spark.createDataFrame([(t,) for t in ("", "a", "aab", "b", "abc", "cab")], "t string")
+    for pattern, wanted in cases.items():
+        before, after = compile_pattern(pattern), Emitter(simplify(compile_pattern(pattern).tree))
+        assert len(after.text) <= len(before.java) and simplify(compile_pattern(wanted).tree) == simplify(before.tree), pattern
+        rows = texts.select(F.regexp_extract_all("t", F.lit(before.java), F.lit(0)).alias("a"), F.regexp_extract_all("t", F.lit(after.text), F.lit(0)).alias("b")).collect()
+        assert all(r.a == r.b for r in rows)
+
+
+def test_unicode_columns(spark):
+    from patternlake.functions import unicode as U
+
+    df = spark.createDataFrame([("A",), ("é",), ("٣",), (" ",), ("_",), ("ab",), ("€",), (None,)], "c string")
+    rows = df.select(U.general_category("c").alias("g"), U.is_letter("c").alias("l"), U.is_digit("c").alias("d"), U.is_alphanumeric("c").alias("n"), U.is_whitespace("c").alias("w"), U.matches_property("c", "Script=Latin").alias("s")).collect()
+    assert [r.g for r in rows] == ["Lu", "Ll", "Nd", "Zs", "Pc", None, "Sc", None]
+    assert [(r.l, r.d, r.n, r.w, r.s) for r in rows[:4]] == [(True, False, True, False, True), (True, False, True, False, True), (False, True, True, False, False), (False, False, False, True, False)]
+
+
+def test_observed_figures(spark):
+    from patternlake.plans.profile import observed
+
+    df, seen = observed(spark.createDataFrame([("a1",), ("b",), (None,), ("11",)], "t string"), "t", r"\d")
+    assert df.count() == 4 and seen.get == {"texts": 4, "characters": 5, "texts_with_match": 2, "matches": 3}
+
+
+def test_hints_and_cache():
+    from patternlake.dialect import clear_cache
+
+    p = compile_pattern("cat|dog|cow")
+    assert p.first_characters == ("c", "d") and compile_pattern("ab+").first_characters == ("a",) and compile_pattern(r"\d").first_characters == ()
+    clear_cache()
+    assert compile_pattern("cat|dog|cow") is not p
