@@ -103,9 +103,8 @@ def budgets(leaves: DataFrame, mixture: Mixture) -> DataFrame:
     """(domain, lang, source, tokens, docs, budget) from (domain, lang, source, tokens, docs)."""
     leaves = leaves.withColumn("cap", F.col("tokens") * mixture.max_epochs)
     a, b = mixture.share
-    total = leaves.agg((F.sum("tokens") * a / b).alias("x"), F.expr(f"(sum(tokens) * {a}) div {b}").alias("budget")).select("budget")
-    above = leaves.groupBy("domain").agg(F.sum("cap").alias("cap")).crossJoin(F.broadcast(total))  # one row
-    above = above.withColumn("root", F.lit(0))
+    total = leaves.agg(F.expr(f"(sum(tokens) * {a}) div {b}")).first()[0] or 0
+    above = leaves.groupBy("domain").agg(F.sum("cap").alias("cap")).withColumns({"budget": F.lit(total).cast("long"), "root": F.lit(0)})
     domain = _filled(above, ["root"], "domain", mixture).select("domain", "budget")
     lang = _filled(leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).join(domain, "domain"), ["domain"], "lang", mixture).select("domain", "lang", "budget")
     return _filled(leaves.join(lang, ["domain", "lang"]), ["domain", "lang"], "source", mixture).select(*LEVELS, "tokens", "docs", "budget")

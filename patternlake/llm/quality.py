@@ -144,11 +144,10 @@ def cutoffs(labelled: DataFrame, *, alpha: float = ALPHA, delta: float = DELTA)
     grid = cells.select("stratum", "rule", "over", "good", "bad", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("level"))
     above = F.col("level") > last - F.col("over")
     grid = grid.groupBy("stratum", "rule", "level").agg(F.sum("good").alias("n"), F.sum(F.when(above, F.col("good")).otherwise(0)).alias("k"), F.sum(F.when(above, F.col("bad")).otherwise(0)).alias("bad"))
-    strata = labelled.select("stratum").distinct().agg(F.count(F.lit(1)).alias("strata"))
-    tested = grid.crossJoin(F.broadcast(strata))  # one row
-    certified = binomial_cdf(F.col("k"), F.col("n"), alpha / len(RULES)) * F.col("strata") * len(RULES) <= delta
+    families = labelled.select("stratum").distinct().count() * len(RULES)
+    certified = binomial_cdf(F.col("k"), F.col("n"), alpha / len(RULES)) * families <= delta
     order = Window.partitionBy("stratum", "rule").orderBy("level")
-    tested = tested.select("stratum", "rule", "level", (F.col("bad") - GOOD_WEIGHT * F.col("k")).alias("gain"), F.min(F.when(certified, 1).otherwise(0)).over(order).alias("ok"))
+    tested = grid.select("stratum", "rule", "level", (F.col("bad") - GOOD_WEIGHT * F.col("k")).alias("gain"), F.min(F.when(certified, 1).otherwise(0)).over(order).alias("ok"))
     best = Window.partitionBy("stratum", "rule").orderBy(F.desc("gain"), "level")
     chosen = tested.filter("ok = 1 AND gain > 0").withColumn("place", F.row_number().over(best)).filter("place = 1")
     return chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r.name, F.get(levels, F.col("level")))).alias(r.name) for r in RULES])
@@ -175,7 +174,7 @@ def judge(df: DataFrame, labels: DataFrame, *, label_col: str = "quality", strat
     """``id_col``, the counts, base_failed and kept of each row."""
     rows = df.select(F.col(id_col).alias("id"), _stratum(stratum_col).alias("stratum"), F.col(text_col).alias("text"))
     counted = cut(with_counts(rows, "text").drop("text"))
-    chosen = broadcast_if_small(cut(cutoffs(_labelled(counted, labels, label_col, id_col))))
+    chosen = broadcast_if_small(cut(cutoffs(cut(_labelled(counted, labels, label_col, id_col)))))
     judged = counted.join(chosen, "stratum", "left").select(F.col("id").alias(id_col), *COUNTS, base_failed().alias("base_failed"), passes().alias("passed"))
     return judged.select(id_col, *COUNTS, "base_failed", (~F.col("base_failed") & F.col("passed")).alias("kept"))
 
