@@ -125,7 +125,9 @@ def train(df: DataFrame, labels: DataFrame, *, label_col: str, max_train: int =
     rank = F.xxhash64(F.col(id_col).cast("string"))
     chosen = known.select(id_col, "label", rank.alias("rank")).orderBy("rank", id_col).limit(max_train)
     # At most max_train short rows: small enough to go to every executor.
-    rows = _indicator_rows(df.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col), dims).collect()
+    found = _indicator_rows(df.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col), dims)
+    # Rows that repeat an id count once, so the bound holds for them as well.
+    rows = found.groupBy("rank", "label").agg(F.min("found").alias("found")).collect()
     rows = sorted((r["rank"], r["label"], bytes(r["found"])) for r in rows)
     return fit([np.frombuffer(r[2], "<i4") for r in rows], [r[1] for r in rows], dims)
 
