@@ -69,9 +69,9 @@ class Emitter:
         match node:
             case N.Empty():
                 return "(?:)"
-            case N.Char(code, fold):
+            case N.Char(code, fold, unicode):
                 if fold and chr(code).lower() != chr(code).upper():
-                    return f"(?{'i' if code < 128 else 'iu'}:{char(code)})"
+                    return f"(?{'i' if code < 128 and not unicode else 'iu'}:{char(code)})"
                 return char(code)
             case N.Dot(dot_all, unicode):
                 top = "10FFFF" if unicode or dot_all else "FFFF"

@@ -22,8 +22,11 @@ class Empty(Node):
 
 @dataclass(frozen=True)
 class Char(Node):
+    """``unicode`` folds by the full simple case folding, not within ASCII alone."""
+
     code: int
     fold: bool = False
+    unicode: bool = False
 
 
 @dataclass(frozen=True)
