@@ -182,9 +182,9 @@ def judge(df: DataFrame, labels: DataFrame, *, label_col: str = "quality", strat
 def keep_good(df: DataFrame, labels: DataFrame, *, label_col: str = "quality", stratum_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, that the rules keep; texts are not shuffled."""
     p = "_quality_"
-    marked = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("mark")).distinct()
     rows = df.select(F.col(id_col).alias("id"), _stratum(stratum_col).alias("stratum"), F.col(text_col).alias("text"))
-    chosen = cutoffs(cut(_labelled(with_counts(rows, "text"), labels.join(marked, F.col(id_col) == F.col("mark"), "left_semi"), label_col, id_col)))
+    # Texts are counted twice, for the cutoffs and for the filter, so that none is shuffled.
+    chosen = cutoffs(cut(_labelled(with_counts(rows, "text"), labels, label_col, id_col)))
     chosen = cut(chosen.select(F.col("stratum").alias(f"{p}stratum"), *[F.col(r.name).alias(f"{p}{r.name}") for r in RULES]))
     counted = with_counts(df, text_col, p).join(broadcast_if_small(chosen), _stratum(stratum_col) == F.col(f"{p}stratum"), "left")
     return counted.filter(~base_failed(p) & passes(p, p)).select(*[df[c] for c in df.columns])
