@@ -128,8 +128,8 @@ def train(df: DataFrame, labels: DataFrame, *, label_col: str, max_train: int =
     found = _indicator_rows(df.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col), dims)
     # Rows that repeat an id count once, so the bound holds for them as well.
     rows = found.groupBy("rank", "label").agg(F.min("found").alias("found")).collect()
-    rows = sorted((r["rank"], r["label"], bytes(r["found"])) for r in rows)
-    return fit([np.frombuffer(r[2], "<i4") for r in rows], [r[1] for r in rows], dims)
+    rows.sort(key=lambda r: (r["rank"], r["label"]))
+    return fit([np.frombuffer(r["found"], "<i4") for r in rows], [r["label"] for r in rows], dims)
 
 
 def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
