@@ -38,3 +38,4 @@ def test_stages_against_brute_force(spark, sf_dir):
         ids = b"".join(bytes(p.ids) for p in sorted(ps, key=lambda p: p.start))
         assert [int.from_bytes(ids[k : k + 4], "little") for k in range(0, len(ids), 4)] == tok.encode(mixed[i]["text"], add_special_tokens=False).ids + [1]
     assert sorted(map(str, corpus_pipeline.run(spark, sf_dir).drop("sequence_id").collect())) == sorted(map(str, states[-1].drop("sequence_id").collect()))
+    spark.catalog.clearCache()  # other tests look at plans over the same files
