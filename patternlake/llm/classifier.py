@@ -109,9 +109,12 @@ def held_out(doc_id: Column) -> Column:
 
 def _indicator_rows(df: DataFrame, dims: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indicators = Indicators(dims)
+        indicators, seen = Indicators(dims), set()
         for batch in batches:
             for part in slices(batch, "text", _SLICE_BYTES):
+                ranks = part.column("rank").to_pylist()
+                fresh = [k for k, r in enumerate(ranks) if not (r in seen or seen.add(r))]
+                part = part.take(pa.array(fresh, pa.int64()))
                 found = [indicators.of(t).astype("<i4").tobytes() for t in utf8(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("rank"), part.column("label"), pa.array(found, pa.binary())], names=["rank", "label", "found"])
 
@@ -126,9 +129,13 @@ def train(df: DataFrame, labels: DataFrame, *, label_col: str, max_train: int =
     chosen = known.select(id_col, "label", rank.alias("rank")).orderBy("rank", id_col).limit(max_train)
     # At most max_train short rows: small enough to go to every executor.
     found = _indicator_rows(df.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col), dims)
-    # Rows that repeat an id count once, so the bound holds for them as well.
-    rows = found.groupBy("rank", "label").agg(F.min("found").alias("found")).collect()
-    rows.sort(key=lambda r: (r["rank"], r["label"]))
+    # Rows that repeat an id count once: the first of a task, and the least of all tasks.
+    least: dict[int, tuple] = {}
+    for r in found.collect():
+        known = least.get(r["rank"])
+        if known is None or r["found"] < known["found"]:
+            least[r["rank"]] = r
+    rows = [least[rank] for rank in sorted(least)]
     return fit([np.frombuffer(r["found"], "<i4") for r in rows], [r["label"] for r in rows], dims)
 
 
