@@ -11,7 +11,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from patternlake.llm import linededup, mixing, packing, quality, simhash
+from patternlake.llm import linededup, mixing, neardup, packing, quality
 from patternlake.llm.common import table
 from patternlake.plans.lineage import cut
 
@@ -30,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.representatives(docs)
+    """One document of each group of near copies (Jaccard of five-word shingles from 0.8)."""
+    return neardup.representatives(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,181 @@
+"""Near duplicates by the Jaccard similarity of word shingles, without loss.
+
+Two texts are near copies if their sets of shingles (five words, ASCII letters lower-cased,
+as XXH64 hashes) have a Jaccard similarity of ``similarity`` or more.  Copies of copies are one
+component.
+
+1. Texts with equal sets collapse to one node.
+2. Prefix filter: under any fixed order of all shingles, two sets that are similar enough share
+   one of the first ``n - ceil(similarity * n) + 1`` shingles of either.  The order takes shingles that are
+   frequent in a sample last; the sample decides how much work there is, never what is found.
+3. The nodes of a shared shingle are compared with its smallest node, and the links make
+   components.  Where a shingle still has nodes of several components, all pairs across them
+   are compared whose sizes and places of the shingle allow the similarity.
+4. Sets that share enough differ in few shingles, so in few bits of their parity maps (256 bits, one
+   flipped per shingle); pairs that differ in more go.  The others are compared by counting the
+   common shingles of the full sets.
+
+Defined results: null and blank texts have no shingle and are copies of one another; texts of
+fewer words than a shingle are one shingle; ids and repeated rows are as in ``simhash``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from patternlake.llm.common import slices, utf8
+from patternlake.llm.components import components
+from patternlake.plans.lineage import broadcast_if_small, cut
+
+SHINGLE = 5
+#: Jaccard similarity as a fraction.
+SIMILARITY = (4, 5)
+_SLICE_BYTES = 4 << 20
+_SAMPLE, _HOT, _HOT_KEYS = 16, 4, 100_000
+
+
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text."""
+    words = text.lower().split()  # bytes: lower-cases A-Z only, splits at ASCII white space
+    if not words:
+        return np.zeros(0, np.int64)
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(joined)], np.uint64).view(np.int64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    digest = xxhash.xxh64_intdigest
+    found = [digest(joined[a:b]) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+    return np.unique(np.array(found, np.uint64).view(np.int64))
+
+
+def _node(hashes: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).astype(np.int64))
+
+
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """Four longs in which each shingle has flipped one bit."""
+    odd = np.bincount((hashes & 255).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
+
+
+def _sets(df: DataFrame, shingle: int) -> DataFrame:
+    """(fp, hashes): the node and the shingles of each text; ``df``: id, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", _SLICE_BYTES):
+                found = [shingles(t, shingle) for t in utf8(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in found], pa.int64()), _lists(found)], names=["fp", "hashes"])
+
+    return df.mapInArrow(run, "fp long, hashes array<long>")
+
+
+def _frequent(df: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles that many sampled texts hold, rarest first."""
+    sample = _sets(df.filter(F.pmod(F.xxhash64("id"), F.lit(_SAMPLE)) == 0), shingle)
+    counts = sample.select(F.explode("hashes").alias("key")).groupBy("key").count().filter(F.col("count") >= _HOT)
+    top = counts.orderBy(F.desc("count"), "key").limit(_HOT_KEYS).collect()
+    return np.array([r.key for r in reversed(top)], np.int64)
+
+
+def _prefixes(df: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """(id, fp, n, bits, keys): node, number of shingles, parity map and prefix of each text."""
+    frequent = _frequent(df, shingle)
+    by_value = np.argsort(frequent)
+    known = frequent[by_value]
+    a, b = similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", _SLICE_BYTES):
+                nodes, sizes, bits, keys = [], [], [], []
+                for text in utf8(part.column("text")):
+                    found = shingles(text, shingle)
+                    n = len(found)
+                    nodes.append(_node(found))
+                    sizes.append(n)
+                    bits.append(_parity(found))
+                    if len(known) and n:
+                        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                        rank = np.where(known[at] == found, by_value[at] + 1, 0)
+                        found = found[np.argsort(rank, kind="stable")]
+                    keys.append(found[: n + (-a * n // b) + 1 if n else 0])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), _lists(bits), _lists(keys)], names=["id", "fp", "n", "bits", "keys"])
+
+    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, fp long, n long, bits array<long>, keys array<long>")
+
+
+def _possible(similarity: tuple[int, int], n: Column, m: Column, i: Column, j: Column) -> Column:
+    """Whether sets of ``n`` and ``m`` with a common shingle at places ``i`` and ``j`` can be similar enough."""
+    a, b = similarity
+    most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
+    return (a + b) * most >= a * (n + m)
+
+
+def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets are similar enough."""
+    a, b = similarity
+    of = lambda c: nodes.select(F.col("fp").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits"))
+    near = pairs.join(of("u"), "u").join(of("v"), "v")
+    differ = F.aggregate(F.zip_with("u_bits", "v_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    # n + m - 2 * common, with the fewest common shingles that are enough.
+    pairs = cut(near.filter((a + b) * differ <= (b - a) * (F.col("u_n") + F.col("v_n"))).select("u", "v"))
+    wanted = cut(pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct())
+    ids = cut(nodes.join(wanted, "fp", "left_semi").select(F.col("first").alias("w_id")).distinct())
+    texts = df.join(broadcast_if_small(ids), F.col("id").eqNullSafe(F.col("w_id")), "left_semi")
+    # Rows with equal ids: only the text of the node counts, and only once.
+    sets = cut(_sets(texts, shingle).join(wanted, "fp", "left_semi").dropDuplicates(["fp"]))
+    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("hashes").alias("u_set")), "u").join(sets.select(F.col("fp").alias("v"), F.col("hashes").alias("v_set")), "v")
+    common = F.size(F.array_intersect("u_set", "v_set"))
+    return cut(both.filter((a + b) * common >= a * (F.size("u_set") + F.size("v_set"))).select("u", "v"))
+
+
+def near_copies(df: DataFrame, *, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col`` and component_id (the smallest id of its component) of every row."""
+    df = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    prints = cut(_prefixes(df, shingle, similarity))
+    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("first"), F.min("n").alias("n"), F.min("bits").alias("bits")))
+    rows = prints.select("fp", "n", F.posexplode("keys").alias("i", "key"))
+    shared = rows.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low <> high")
+    met = cut(rows.join(cut(shared.select("key")), "key", "left_semi").groupBy("key", "fp").agg(F.min("n").alias("n"), F.min("i").alias("i")))
+    low = cut(met.groupBy("key").agg(F.min(F.struct("fp", "n", "i")).alias("low")))
+    starred = met.join(low, "key").filter(F.col("fp") != F.col("low.fp"))
+    starred = starred.filter(_possible(similarity, F.col("n"), F.col("low.n"), F.col("i"), F.col("low.i")))
+    starred = cut(starred.select(F.col("fp").alias("u"), F.col("low.fp").alias("v")).distinct())
+    links = _verified(starred, df, nodes, shingle, similarity)
+
+    roots = components(links).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    met = cut(met.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    open_ = met.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
+    met = cut(met.join(cut(open_), "key", "left_semi"))
+    other = met.select("key", *[F.col(c).alias(f"o_{c}") for c in ("fp", "n", "i", "root")])
+    across = met.join(other, "key").filter(F.col("root") > F.col("o_root"))
+    across = across.filter(_possible(similarity, F.col("n"), F.col("o_n"), F.col("i"), F.col("o_i")))
+    across = across.select(F.greatest("fp", "o_fp").alias("u"), F.least("fp", "o_fp").alias("v")).distinct()
+    across = cut(across.join(starred, ["u", "v"], "left_anti"))
+    links = links.unionByName(_verified(across, df, nodes, shingle, similarity))
+
+    roots = components(links).withColumnRenamed("u", "fp")
+    member = cut(nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("v", "fp").alias("root")))
+    least = cut(member.groupBy("root").agg(F.min("first").alias("component_id")))
+    label = cut(member.join(least, "root").select("fp", "component_id"))
+    return prints.select("id", "fp").join(label, "fp").select(F.col("id").alias(id_col), "component_id")
+
+
+def representatives(df: DataFrame, *, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, whose id is the smallest of their component."""
+    found = near_copies(df, shingle=shingle, similarity=similarity, id_col=id_col, text_col=text_col)
+    kept = cut(found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept_id")).distinct())
+    return df.join(kept, df[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")

@@ -1,0 +1,64 @@
+import random
+
+import pytest
+
+import corpus_pipeline
+from patternlake.llm import neardup
+
+
+def plain_shingles(text):
+    import re
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_representatives(docs):
+    """Smallest ids of the components by brute-force Jaccard, and how many pairs link."""
+    sets, label, linked = {i: plain_shingles(t) for i, t in docs}, {i: i for i, _ in docs}, []
+    for a in sets:
+        for b in sets:
+            common, every = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if a < b and 5 * common >= 4 * every:
+                linked.append((a, b, common / every if every else 1.0))
+    changed = True
+    while changed:
+        changed = False
+        for a, b, _ in linked:
+            low = min(label[a], label[b])
+            if label[a] != low or label[b] != low:
+                label[a] = label[b] = low
+                changed = True
+    return set(label.values()), linked
+
+
+def corpus():
+    rnd = random.Random(4)
+    word = lambda: rnd.choice("abcdefgh") + str(rnd.randrange(400))
+    passage = [word() for _ in range(60)]
+    docs = []
+    for _ in range(14):
+        base = [word() for _ in range(rnd.choice([60, 120, 300]))] + passage * rnd.randrange(2)
+        docs.append(base)
+        for share in (0.01, 0.015, 0.02, 0.025, 0.03, 0.05):
+            docs.append([word() if rnd.random() < share else w for w in base])
+    rnd.shuffle(docs)
+    docs = list(enumerate(" ".join(d) for d in docs))
+    return docs + [(900, None), (901, " \n"), (902, "few words"), (903, "Few\twords"), (904, "few other words"), (905, docs[0][1].upper())]
+
+
+@pytest.mark.parametrize("hot", [4, 1])
+def test_stage_against_brute_force_jaccard(spark, sf_dir, monkeypatch, hot):
+    monkeypatch.setattr(neardup, "_HOT", hot)
+    docs = corpus()
+    want, linked = plain_representatives(docs)
+    assert sum(0.8 <= s < 0.9 for _, _, s in linked) > 20
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS fp", "'a' AS id")
+    out = corpus_pipeline.near_duplicates(spark, df, sf_dir)
+    assert out.columns == df.columns and {r.doc_id for r in out.collect()} == want
+
+
+def test_repeated_rows_nulls_and_empty(spark):
+    rows = neardup.near_copies(spark.createDataFrame([(5, "a b"), (5, "a b"), (None, "a b"), (None, "c d")], "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in rows) == [("5", "5"), ("5", "5"), ("None", "5"), ("None", "None")]
+    assert neardup.near_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
