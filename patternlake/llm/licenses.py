@@ -5,6 +5,10 @@ white space.  Sentences are normalised to lower-case ASCII words, and known ones
 identifiers; a run of others becomes one gap.  The ordered rules are then matched against
 the identifier sequence, longest sequences first, and what a rule has matched is spent.
 
+Licence notices are usually wrapped, so a second cut joins the lines of a paragraph first (blank
+lines part paragraphs).  ``NOTICES`` holds what that cut makes of the official texts; their
+licences are added to those of the rules, while n_sentences and sequence tell the first cut.
+
 Everything is a projection over the scan in built-in expressions; nothing is shuffled.
 
 Defined results: null and empty texts have no sentences; repeated rows are kept; an empty
@@ -13,6 +17,8 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +77,35 @@ RULES = (
     ("all-rights-reserved", ("R1",)),
 )
 
+_GPL_3 = "free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_GPL_2 = "free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License."""
+
+#: Licences and the official wording that tells them; it may start and end inside a sentence.
+NOTICES = (
+    *((f"GPL-{v}.0-or-later", form.format(v)) for v in (3, 2) for form in (_GPL_3, _GPL_2)),
+    ("MIT", _MIT),
+    ("BSD", _BSD),
+    ("Apache-2.0", _APACHE),
+)
+
+
+def _notice(text: str) -> str:
+    """An official text as the second cut leaves it: sentences with ``|`` between them."""
+    parts = re.split(r"([.!?;])[ \t-\r]+|\n\s*\n", text.lower())
+    return "|".join(s for p in parts if p and (s := re.sub(r"[^a-z0-9]+", " ", p).strip()))
+
+
+def paragraph_sentences(text: Column) -> Column:
+    """Normalised sentences of a text whose lines are joined within paragraphs, ``|`` around each."""
+    cut = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "|", " "), r"\n[\x20\x09\x0B-\x0D]*\n|[.!?;][\x20\x09-\x0D]+", "|")
+    plain = F.regexp_replace(F.translate(cut, _UPPER, _LOWER), r"[^a-z0-9|]+", " ")
+    return F.concat(F.lit("|"), F.regexp_replace(plain, r" ?\|[| ]*", "|"), F.lit("|"))
+
 
 def sentences(text: Column) -> Column:
     """Normalised sentences of a text, blank ones left out."""
@@ -89,13 +124,16 @@ def identifiers(found: Column) -> Column:
 
 def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_sentences, sequence and licenses (names in the order of the rules, null for none)."""
-    rows = df.select(F.col(id_col), sentences(F.col(text_col)).alias("found"))
-    rows = rows.select(id_col, F.size("found").cast("long").alias("n_sentences"), identifiers(F.col("found")).alias("sequence"))
+    rows = df.select(F.col(id_col), sentences(F.col(text_col)).alias("found"), paragraph_sentences(F.col(text_col)).alias("joined"))
+    rows = rows.select(id_col, F.size("found").cast("long").alias("n_sentences"), identifiers(F.col("found")).alias("sequence"), "joined")
     left, names = F.concat(F.lit(","), F.col("sequence")), []
     for license_, sequence in RULES:
         wanted = "," + "".join(f"{i}," for i in sequence)
         names.append(F.when(F.contains(left, F.lit(wanted)), F.lit(license_)))
         left = F.replace(left, F.lit(wanted), F.lit(",*,"))
+    padded = F.regexp_replace("joined", r"\|", " | ")
+    for license_, text in NOTICES:
+        names.append(F.when(F.contains(padded, F.lit(f" {_notice(text)} ".replace("|", " | "))), F.lit(license_)))
     licenses = F.concat_ws(",", F.array_distinct(F.filter(F.array(*names), lambda x: x.isNotNull())))
     return rows.select(id_col, "n_sentences", "sequence", F.nullif(licenses, F.lit("")).alias("licenses"))
 

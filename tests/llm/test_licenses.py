@@ -31,3 +31,35 @@ def test_scan(spark):
 
 def test_rules_use_known_identifiers():
     assert {i for _, seq in RULES for i in seq} - {"-"} <= set(SENTENCES.values())
+
+
+GPL = """{name} is free software{a} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{b} either version {v} of the License, or (at your option) any later version.
+
+{name} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+MIT = """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."""
+
+
+def test_full_and_wrapped_notices(spark):
+    import textwrap
+
+    texts = {
+        "GPL-3.0-or-later": GPL.format(name="This program", a=":", b=",", v=3),
+        "GPL-2.0-or-later": GPL.format(name="Frob", a=";", b=";", v=2),
+        "MIT": MIT,
+        "BSD": BSD,
+        "Apache-2.0": APACHE,
+    }
+    cases = []
+    for name, text in texts.items():
+        wrapped = "\n\n".join(textwrap.fill(p, 72) for p in text.split("\n\n"))
+        commented = "\n".join(f"# {line}" if line else "" for line in wrapped.split("\n"))
+        cases += [(name, t) for t in (text, wrapped, commented, f"Head\n\n{wrapped}\n\nTail", wrapped.replace("\n", "\r\n"))]
+    cases.append(("None", "It is not free software: you can redistribute\n\nit and/or modify it."))
+    got = scan(spark.createDataFrame(cases, "doc_id string, text string")).select("doc_id", "licenses").collect()
+    assert [(r.doc_id, r.licenses) for r in got if r.doc_id != str(r.licenses)] == []
