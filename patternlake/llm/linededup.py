@@ -1,11 +1,12 @@
 """Line dedup by a deletion-neighbourhood join, in built-in expressions only.
 
-Lines of ``min_words`` words or more are compared as sequences of words.  A line goes if an
-earlier one (by document id, then line) equals it or differs by one word inserted, deleted
-or replaced; shorter lines always stay.
+Lines are compared as sequences of words.  A line with a word goes if an earlier one (by
+document id, text, then line) equals it; lines of ``min_words`` words or more also go if an
+earlier one differs by one word inserted, deleted or replaced, as in shorter ones a word is
+too much of the line.  Blank lines stay.
 
 1. Equal lines collapse to one content with its earliest place.
-2. Two contents one edit apart share their first or last ``m`` words, where ``m`` is a power
+2. Of the contents of ``min_words`` words or more, two that are one edit apart share their first or last ``m`` words, where ``m`` is a power
    of two that follows the length (an edit touches one half at most).  Only contents that
    share such a key with another go on; lengths that differ by one share an ``m``, as both
    neighbours' values are emitted where it changes.
@@ -13,15 +14,16 @@ or replaced; shorter lines always stay.
    line without it, from sums of word hashes, so a variant costs the same for any length.
    Replacements meet on (place, rest); insertions meet the shorter line's own key.
 4. Equal keys join to the earliest content of the key, never to all pairs, and the edit is
-   verified on the words.
+   verified on the words.  Contents of which a hash said wrongly that they are near the
+   earliest of the key are grouped again by the words that are left of them, not by hashes.
 
 Only keys and places are shuffled in steps 1 to 4, and the texts once, to fetch the lines
 of step 3.  Hot lines and keys are aggregated before the shuffle or joined to one row.
 
-Defined results: null and empty texts have one empty line; null ids come last; documents
-with equal ids count as one, and lines at the same place of them don't remove each other;
-an empty table gives no rows; other columns are ignored by ``removals`` and kept by
-``dedup``.
+Defined results: null and empty texts have one empty line; null ids come last; rows with
+equal (or null) ids are documents of their own, in the order of a 64-bit hash of their
+texts, and rows that repeat both id and text are one document, all of whose rows lose the same lines; an empty table gives
+no rows; other columns, whatever their names, are ignored by ``removals`` and kept by ``dedup``.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternlake.llm.common import table
+from patternlake.llm.common import nested, table, unnested
 from patternlake.plans.lineage import cut
 
 MIN_WORDS = 8
@@ -67,30 +69,39 @@ def _identity(normal: Column) -> list[Column]:
     return [F.xxhash64(normal).alias("h1"), F.xxhash64(F.lit(1), normal).alias("h2")]
 
 
-def _lines(df: DataFrame, min_words: int) -> DataFrame:
-    """(id, line, normal, n) of the lines that take part; ``df``: id, text."""
-    found = df.select("id", F.posexplode(F.transform(F.split(_spaced(F.col("text")), "\n"), lambda line: F.btrim(line))).alias("line", "normal"))
-    return found.select("id", "line", "normal", _count(F.col("normal")).alias("n")).filter(F.col("n") >= min_words)
+def _keyed(id_: Column, text: Column) -> dict[str, Column]:
+    """What tells documents apart: the id and a hash of the text."""
+    return {"id": id_, "doc": F.xxhash64(text), "text": text}
 
 
-def _place(id_: str = "id", line: str = "line") -> Column:
+def _lines(df: DataFrame) -> DataFrame:
+    """(id, doc, line, normal, n) of the lines with a word; ``df``: id, doc, text."""
+    found = df.select("id", "doc", F.posexplode(F.transform(F.split(_spaced(F.col("text")), "\n"), lambda line: F.btrim(line))).alias("line", "normal"))
+    return found.filter("normal <> ''").select("id", "doc", "line", "normal", _count(F.col("normal")).alias("n"))
+
+
+def _place() -> Column:
     """Places in their order; null ids last."""
-    return F.struct(F.col(id_).isNull().alias("none"), F.col(id_).alias("id"), F.col(line).alias("line"))
+    return F.struct(F.col("id").isNull().alias("none"), "id", "doc", "line")
 
 
 def _contents(df: DataFrame, min_words: int) -> DataFrame:
-    """(h1, h2, times, place, n, k1..k4): distinct lines, and their keys of step 2."""
-    normal, n = F.col("normal"), F.col("n")
+    """(h1, h2, times, place, n, k1..k4): distinct lines, and the keys of step 2 of those that have any.
+
+    Short lines that occur once have no part in anything that follows and are left out.
+    """
+    normal, n, long = F.col("normal"), F.col("n"), F.col("n") >= min_words
     small, large = _half(n - 1), _half(n)
-    other = small != large
+    other = long & (small != large)
     keys = [
-        F.xxhash64(F.lit(0), _first_words(normal, large)),
-        F.xxhash64(F.lit(1), _first_words(normal, -large)),
+        F.when(long, F.xxhash64(F.lit(0), _first_words(normal, large))),
+        F.when(long, F.xxhash64(F.lit(1), _first_words(normal, -large))),
         F.when(other, F.xxhash64(F.lit(0), _first_words(normal, small))),
         F.when(other, F.xxhash64(F.lit(1), _first_words(normal, -small))),
     ]
-    keyed = _lines(df, min_words).select(*_identity(normal), _place().alias("place"), "n", *[k.alias(f"k{i}") for i, k in enumerate(keys)])
-    return keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min("place").alias("place"), F.min("n").alias("n"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
+    keyed = _lines(df).select(*_identity(normal), _place().alias("place"), "n", *[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    found = keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min("place").alias("place"), F.min("n").alias("n"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
+    return found.filter((F.col("times") > 1) | (F.col("n") >= min_words))
 
 
 def _without(words: Column, i: Column) -> Column:
@@ -99,16 +110,18 @@ def _without(words: Column, i: Column) -> Column:
 
 def _dominated(df: DataFrame, contents: DataFrame, min_words: int) -> DataFrame:
     """(h1, h2) of the contents that are one edit from an earlier one."""
+    contents = contents.filter(F.col("n") >= min_words)
     keys = contents.select("h1", "n", F.explode(F.array_compact(F.array(*[f"k{i}" for i in range(4)]))).alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.max("n").alias("most")).filter("c > 1")
     shared = cut(shared.select("key", (F.col("least") < F.col("most")).alias("varied")))
     # Contents whose keys are shared by lines of one length only can't be one insertion apart.
     near = keys.join(shared, "key").groupBy("h1").agg(F.max("varied").alias("varied"))
     near = contents.join(near, "h1").select("h1", "h2", "place", "varied")
-    wanted = near.groupBy(F.col("place.id").alias("w_id")).agg(F.collect_list(F.struct("place.line", "h1", "h2", "place", "varied")).alias("wanted"))
-    found = df.join(cut(wanted), F.col("id").eqNullSafe(F.col("w_id"))).select(F.split(_spaced(F.col("text")), "\n").alias("lines"), "wanted")
+    # A document's own lines, so no more of them than its text has.
+    wanted = near.groupBy(F.col("place.id").alias("w_id"), F.col("place.doc").alias("w_doc")).agg(F.collect_list(F.struct("place.line", "h1", "h2", "place", "varied")).alias("wanted"))
+    found = df.join(cut(wanted), (F.col("doc") == F.col("w_doc")) & F.col("id").eqNullSafe(F.col("w_id"))).select(F.split(_spaced(F.col("text")), "\n").alias("lines"), "wanted")
     found = found.select("lines", F.explode("wanted").alias("w")).select("w.h1", "w.h2", "w.place", "w.varied", _normal(F.get("lines", F.col("w.line"))).alias("normal"))
-    # Rows with equal ids: only the text that holds the line counts, and only once.
+    # Repeated rows count once.
     same = (F.xxhash64("normal") == F.col("h1")) & (F.xxhash64(F.lit(1), "normal") == F.col("h2"))
     found = cut(found.filter(same).dropDuplicates(["h1", "h2"]).select("h1", "h2", "place", "varied", F.split("normal", " ").alias("words")))
 
@@ -140,11 +153,16 @@ def _dominated(df: DataFrame, contents: DataFrame, min_words: int) -> DataFrame:
     first = met.groupBy("key").agg(F.min(F.struct("place", "h1", "h2")).alias("e"))
     # The earliest content of a key is one edit from all others of it.
     pairs = met.join(cut(first), "key").filter((F.col("h1") != F.col("e.h1")) | (F.col("h2") != F.col("e.h2")))
-    pairs = pairs.filter(F.col("place") > F.col("e.place")).select("h1", "h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"), "i")
+    pairs = pairs.filter(F.col("place") > F.col("e.place")).select("key", "h1", "h2", "place", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"), "i")
     words = found.select("h1", "h2", "words")
     earlier = words.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("words").alias("e_words"))
-    checked = pairs.join(words, ["h1", "h2"]).join(earlier, ["e1", "e2"])
-    checked = checked.filter(_without(F.col("words"), F.col("i")) == _without(F.col("e_words"), F.col("i"))).select("h1", "h2")
+    rest = _without(F.col("words"), F.col("i"))
+    checked = pairs.join(words, ["h1", "h2"]).join(earlier, ["e1", "e2"]).withColumn("same", rest == _without(F.col("e_words"), F.col("i")))
+    checked = cut(checked.select("key", "h1", "h2", "place", "i", F.size("words").alias("n"), "same", F.when(~F.col("same"), rest).alias("rest")))
+    odd = checked.filter("NOT same")
+    again = odd.groupBy("key", "n", "i", "rest").agg(F.min(F.struct("place", "h1", "h2")).alias("e"))
+    again = odd.join(again, ["key", "n", "i", "rest"]).filter(F.col("place") > F.col("e.place")).select("h1", "h2")
+    checked = checked.filter("same").select("h1", "h2").unionByName(again)
 
     longer = variants.select("h1", "i", F.col("keys.shorter").alias("key")).filter("key IS NOT NULL")
     own = sums.filter("varied").select(F.xxhash64("n", "t1", "t2").alias("key"), F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("place").alias("e_place"))
@@ -156,28 +174,28 @@ def _dominated(df: DataFrame, contents: DataFrame, min_words: int) -> DataFrame:
 
 
 def _removed(df: DataFrame, min_words: int) -> DataFrame:
-    """(id, removed): sorted numbers of the lines that go, for ids that lose any."""
+    """(r_id, r_doc, removed): sorted numbers of the lines that go, for documents that lose any."""
     contents = cut(_contents(df, min_words))
     gone = _dominated(df, contents, min_words).withColumn("gone", F.lit(True))
     judged = contents.join(gone, ["h1", "h2"], "left").filter("times > 1 OR gone")
     judged = cut(judged.select("h1", "h2", F.when(F.col("gone").isNull(), F.col("place")).alias("keep")))
-    lines = _lines(df, min_words).select("id", "line", *_identity(F.col("normal")))
+    lines = _lines(df).select("id", "doc", "line", *_identity(F.col("normal")))
     lost = lines.join(judged, ["h1", "h2"]).filter(F.col("keep").isNull() | (_place() != F.col("keep")))
-    return lost.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+    return cut(lost.groupBy(F.col("id").alias("r_id"), F.col("doc").alias("r_doc")).agg(F.sort_array(F.collect_set("line")).alias("removed")))
+
+
+def _with_removed(df: DataFrame, removed: DataFrame) -> DataFrame:
+    return df.join(removed, (F.col("doc") == F.col("r_doc")) & F.col("id").eqNullSafe(F.col("r_id")), "left")
 
 
 def removals(df: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_lines, n_removed and removed (numbers of the lines that go, from 0)."""
     if min_words < 4:
         raise ValueError("min_words must be 4 at least")
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    removed = cut(_removed(rows, min_words)).withColumnRenamed("id", "r_id")
+    rows = df.select(*[c.alias(n) for n, c in _keyed(F.col(id_col), F.col(text_col)).items()])
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
-    sized = rows.select("id", lines.alias("n_lines"))
-    found = sized.join(removed, F.col("id").eqNullSafe(F.col("r_id")), "left")
+    found = _with_removed(rows.select("id", "doc", lines.alias("n_lines")), _removed(rows, min_words))
     found = found.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
-    # Rows with equal ids share their removals: only lines that a row has count for it.
-    found = found.withColumn("removed", F.filter("removed", lambda x: x < F.col("n_lines")))
     return found.select(F.col("id").alias(id_col), "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
 
 
@@ -186,20 +204,20 @@ def dedup(df: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id",
 
     ``chars_col`` is set to the new length where lines went.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    removed = cut(_removed(rows, min_words)).select(F.col("id").alias("_line_id"), F.col("removed").alias("_line_removed"))
-    found = df.join(removed, df[id_col].eqNullSafe(F.col("_line_id")), "left")
-    found = found.withColumn("_line_all", F.when(F.col("_line_removed").isNotNull(), F.split(text_col, "\n")))
-    places = F.array_except(F.sequence(F.lit(0), F.size("_line_all") - 1), "_line_removed")
+    keyed = _keyed(F.col(id_col), F.col(text_col))
+    rows = df.select(*[c.alias(n) for n, c in keyed.items()])
+    found = _with_removed(nested(df, id=keyed["id"], doc=keyed["doc"]), _removed(rows, min_words))
+    text = F.col("row").getField(text_col)
+    found = found.select("row", "removed", F.when(F.col("removed").isNotNull(), F.split(text, "\n")).alias("every"))
+    places = F.array_except(F.sequence(F.lit(0), F.size("every") - 1), "removed")
     # A generator of one row keeps the arrays out of the filter's and the columns' expressions.
-    kept = F.when(F.col("_line_all").isNotNull(), F.transform(places, lambda i: F.get("_line_all", i)))
-    found = found.select("*", F.explode(F.array(F.struct(kept.alias("kept")))).alias("_line")).withColumn("_line_kept", F.col("_line.kept"))
-    found = found.filter("_line_kept IS NULL OR size(_line_kept) > 0")
-    text = F.when(F.col("_line_kept").isNotNull(), F.array_join("_line_kept", "\n")).otherwise(F.col(text_col))
-    out = {text_col: text}
+    kept = F.when(F.col("every").isNotNull(), F.transform(places, lambda i: F.get("every", i)))
+    found = found.select("row", F.explode(F.array(F.struct(kept.alias("kept")))).alias("one")).select("row", "one.kept")
+    found = found.filter("kept IS NULL OR size(kept) > 0").withColumn("new", F.array_join("kept", "\n"))
+    replaced = {text_col: F.coalesce("new", text)}
     if chars_col is not None:
-        out[chars_col] = F.when(F.col("_line_kept").isNotNull(), F.length(text).cast(df.schema[chars_col].dataType)).otherwise(F.col(chars_col))
-    return found.select(*[out[c].alias(c) if c in out else F.col(c) for c in df.columns])
+        replaced[chars_col] = F.when(F.col("new").isNotNull(), F.length("new").cast(df.schema[chars_col].dataType)).otherwise(F.col("row").getField(chars_col))
+    return unnested(found, df.columns, **replaced)
 
 
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,12 +227,12 @@ def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = f"""
 WITH raw AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 lines AS (SELECT doc_id, unnest(range(len(l))) AS line, regexp_extract_all(unnest(l), '[^\\x20\\x09-\\x0D]+') AS w FROM raw),
-used AS (SELECT doc_id, line, w, array_to_string(w, ' ') AS t FROM lines WHERE len(w) >= {MIN_WORDS}),
+used AS (SELECT doc_id, line, w, array_to_string(w, ' ') AS t FROM lines WHERE len(w) > 0),
 first AS (SELECT t, any_value(w) AS w, min(struct_pack(d := doc_id, l := line)) AS place FROM used GROUP BY t),
-cuts AS (SELECT t, place, i, len(w) AS n, array_to_string(list_concat(w[1:i - 1], w[i + 1:len(w)]), ' ') AS rest FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM first)),
+cuts AS (SELECT t, place, i, len(w) AS n, array_to_string(list_concat(w[1:i - 1], w[i + 1:len(w)]), ' ') AS rest FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM first WHERE len(w) >= {MIN_WORDS})),
 near AS (
   SELECT a.t FROM cuts a JOIN cuts b ON a.i = b.i AND a.n = b.n AND a.rest = b.rest WHERE a.t <> b.t AND a.place > b.place
-  UNION SELECT CASE WHEN a.place > b.place THEN a.t ELSE b.t END FROM cuts a JOIN first b ON a.rest = b.t
+  UNION SELECT CASE WHEN a.place > b.place THEN a.t ELSE b.t END FROM cuts a JOIN first b ON a.rest = b.t WHERE len(b.w) >= {MIN_WORDS}
 ),
 gone AS (SELECT u.doc_id, u.line FROM used u JOIN first f ON u.t = f.t WHERE u.t IN (SELECT t FROM near) OR struct_pack(d := u.doc_id, l := u.line) <> f.place),
 per AS (SELECT doc_id, count(*) AS n, string_agg(line::VARCHAR, ',' ORDER BY line) AS removed FROM gone GROUP BY doc_id)
