@@ -25,7 +25,7 @@ def test_counts(spark):
     texts = [None, "", " \n\t", "a", "a b c", "a b c a b c", "a a a a a", "x\n\nx\nx \n y#$", "é|É É\x0bé\x0cÀ Z<>*", "a b c"]
     texts += [" ".join(rnd.choice("abc") for _ in range(rnd.randint(0, 60))) for _ in range(40)] + ["w " * 300 + "\n" + "long" * 3000]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    got = {r.id: tuple(r[c] for c in COUNTS) for r in with_counts(df, "text").collect()}
+    got = {r.id: tuple(r[c] for c in COUNTS) for r in with_counts(df, F.col("text")).collect()}
     assert got == {i: plain_counts(t) for i, t in enumerate(texts)}
 
 
@@ -65,12 +65,13 @@ def test_chosen_cutoffs_are_certified(spark):
 def test_edges(spark):
     text = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, text, "en"), (1, text, "en"), (2, None, None), (None, text, "de"), (3, "w " * 100_000, "en")], "doc_id long, text string, lang string")
-    df = df.selectExpr("*", "1 AS n_words", "2 AS stratum", "3 AS good")
+    df = df.selectExpr("*", *[f"'{k}' AS `{c}`" for k, c in enumerate(["n_words", "stratum", "good", "row", "id", "digest", "label_id", "symbols", "_w", "_quality_symbols", "a.b"])])
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (9, 1, 0), (None, 0, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     rows = judge(df, labels).collect()
     assert sorted((str(r.doc_id), r.base_failed, r.kept) for r in rows) == [("1", False, True), ("1", False, True), ("2", True, False), ("3", True, False), ("None", False, True)]
     kept = keep_good(df, labels)
     assert kept.columns == df.columns and kept.count() == 3
+    assert all(list(r)[3:] == [str(k) for k in range(11)] for r in kept.collect())
     assert judge(df.filter("false"), labels).collect() == [] and keep_good(df.filter("false"), labels.filter("false")).collect() == []
 
 
@@ -80,4 +81,23 @@ def test_both_forms_agree(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     kept = {r.doc_id for r in judge(docs, labels).filter("kept").collect()}
     assert {r.doc_id for r in keep_good(docs, labels).collect()} == kept
-    assert with_counts(docs, "text").filter(~base_failed()).count() >= len(kept) > 0
+    assert with_counts(docs, F.col("text")).filter(~base_failed()).count() >= len(kept) > 0
+
+
+def test_repeated_rows_and_copies_vote_once(spark):
+    """A few labelled texts certify nothing, however often they are repeated."""
+    words = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    docs = [(i, words(i) + (" #" * 60 if i >= 50 else ""), "en") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i < 50)) for i in range(60)] + [(i, 1) for i in range(100, 160)] + [(i, 0) for i in range(200, 260)], "doc_id long, quality int")
+    copies = [(100 + i, docs[i % 50][1], "en") for i in range(60)] + [(200 + i, docs[50 + i % 10][1], "en") for i in range(60)]
+    kinds = "doc_id long, text string, lang string"
+    for rows in (docs, docs * 5, docs + copies, (docs + copies)[::-1] * 2):
+        df = spark.createDataFrame(rows, kinds)
+        assert {r.doc_id for r in judge(df, labels).filter("kept").collect()} == {r[0] for r in rows}
+        assert keep_good(df, labels).count() == len(rows)
+    many = [(i, words(i) + (" #" * 60 if i % 10 == 0 else ""), "en") for i in range(3000)]
+    df, many_labels = spark.createDataFrame(many, kinds), spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(3000)], "doc_id long, quality int")
+    kept = {r.doc_id for r in judge(df, many_labels).filter("kept").collect()}
+    assert kept == {i for i in range(3000) if i % 10}
+    again = df.unionByName(df.filter("doc_id % 3 = 0")).orderBy(F.rand(3))
+    assert {r.doc_id for r in judge(again, many_labels).filter("kept").collect()} == kept
