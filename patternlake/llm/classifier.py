@@ -5,10 +5,12 @@ Features are the distinct byte n-grams of the whole text (lengths 2, 3 and 4), h
 in the two classes; a linear hinge-loss model is fitted on the scaled, unit-length rows by
 dual coordinate descent (Wang & Manning 2012; Hsieh et al. 2008).
 
-Training takes the ``max_train`` labelled rows with the smallest hash of their id; rows
-beyond that bound don't enter the fit.  Executors turn texts into indicators, of which the
-driver gets at most ``max_train * dims``.  Scoring is one map over the scan with the
-weights (``dims`` numbers) in the task.
+Training takes the ``max_train`` labelled ids with the smallest hash; ids beyond that bound
+don't enter the fit.  An id counts once, with the text of the smallest SHA-256, so neither
+repeated rows nor the order of rows change the model.  Executors turn texts into indicators,
+and each comes to the driver as a list of places or a bit map, whichever is shorter: at most
+``max_train * dims / 8`` bytes (197 MB as registered), which is also what the fit keeps.
+Scoring is one map over the scan with the weights (``dims`` numbers) in the task.
 
 Defined results: null and empty texts score the intercept; without labelled rows, or with
 one class only, every text scores the smoothed share of label 1; conflicting labels of one
@@ -27,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternlake.llm.common import slices, table, utf8
+from patternlake.plans.lineage import cut
 
 _SLICE_BYTES = 4 << 20
 _PIECE = 1 << 20
@@ -56,6 +59,21 @@ class Indicators:
         return found
 
 
+def packed(found: np.ndarray, dims: int) -> bytes:
+    """Sorted places below ``dims`` as a bit map of ``dims / 8`` bytes, or as a shorter list."""
+    if 4 * len(found) < dims // 8:
+        return found.astype("<i4").tobytes()
+    bits = np.zeros(dims, np.uint8)
+    bits[found] = 1
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(data: bytes, dims: int) -> np.ndarray:
+    if len(data) < dims // 8:
+        return np.frombuffer(data, "<i4")
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8), count=dims))
+
+
 @dataclass(frozen=True)
 class Model:
     """Weights of scaled indicators (already multiplied by the log-count ratios)."""
@@ -71,24 +89,27 @@ class Model:
         return float(1 / (1 + np.exp(-self.steepness * margin)))
 
 
-def fit(rows: list[np.ndarray], labels: list[int], dims: int, *, c: float = 1.0, epochs: int = 30, smoothing: float = 1.0, seed: int = 7) -> Model:
-    """Log-count ratios, then dual coordinate descent for the L1 hinge loss."""
+def fit(rows: list[bytes], labels: list[int], dims: int, *, c: float = 1.0, epochs: int = 30, smoothing: float = 1.0, seed: int = 7) -> Model:
+    """Log-count ratios, then dual coordinate descent for the L1 hinge loss; ``rows`` are packed."""
     y = np.where(np.array(labels, np.int64) == 1, 1.0, -1.0)
     if not len(y) or (y == y[0]).all():
         share = ((y > 0).sum() + 1) / (len(y) + 2)
         return Model(np.zeros(dims), np.zeros(dims), float(np.log(share / (1 - share))), 1.0)
     counts = np.full((2, dims), smoothing)
-    for found, label in zip(rows, y, strict=True):
-        counts[int(label > 0), found] += 1
+    for row, label in zip(rows, y, strict=True):
+        counts[int(label > 0), unpacked(row, dims)] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    values = [(ratio[f] / max(float(np.sqrt((ratio[f] ** 2).sum())), 1e-12)).astype(np.float32) for f in rows]
+    scale = [1 / max(float(np.sqrt((ratio[unpacked(r, dims)] ** 2).sum())), 1e-12) for r in rows]
     w, bias, alpha = np.zeros(dims), 0.0, np.zeros(len(y))
-    square = [float(v @ v) + 1.0 for v in values]
+    square: list[float | None] = [None] * len(y)
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(y)).tolist():
-            found, v = rows[i], values[i]
+            found = unpacked(rows[i], dims)
+            v = (ratio[found] * scale[i]).astype(np.float32)
+            if square[i] is None:
+                square[i] = float(v @ v) + 1.0
             gradient = y[i] * (float(w[found] @ v) + bias) - 1
             new = min(max(alpha[i] - gradient / square[i], 0.0), c)
             step = (new - alpha[i]) * y[i]
@@ -108,35 +129,36 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _indicator_rows(df: DataFrame, dims: int) -> DataFrame:
+    """(key, label, found) with packed indicators; ``df``: key, label, text, of which a task takes the first of a key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         indicators, seen = Indicators(dims), set()
         for batch in batches:
             for part in slices(batch, "text", _SLICE_BYTES):
-                ranks = part.column("rank").to_pylist()
-                fresh = [k for k, r in enumerate(ranks) if not (r in seen or seen.add(r))]
+                keys = part.column("key").to_pylist()
+                fresh = [k for k, key in enumerate(keys) if not (key in seen or seen.add(key))]
                 part = part.take(pa.array(fresh, pa.int64()))
-                found = [indicators.of(t).astype("<i4").tobytes() for t in utf8(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("rank"), part.column("label"), pa.array(found, pa.binary())], names=["rank", "label", "found"])
+                found = [packed(indicators.of(t), dims) for t in utf8(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("label"), pa.array(found, pa.binary())], names=["key", "label", "found"])
 
-    return df.select("rank", "label", "text").mapInArrow(run, "rank long, label int, found binary")
+    return df.select("key", "label", "text").mapInArrow(run, "key string, label int, found binary")
 
 
 def train(df: DataFrame, labels: DataFrame, *, label_col: str, max_train: int = 6000, dims: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on labelled rows that are not held out, ``max_train`` of them at most."""
+    """Fit on labelled ids that are not held out, ``max_train`` of them at most."""
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    known = usable.groupBy(id_col).agg(F.min(label_col).cast("int").alias("label")).join(df.select(id_col).distinct(), id_col, "left_semi")
-    rank = F.xxhash64(F.col(id_col).cast("string"))
-    chosen = known.select(id_col, "label", rank.alias("rank")).orderBy("rank", id_col).limit(max_train)
+    known = usable.groupBy(F.col(id_col).cast("string").alias("key")).agg(F.min(label_col).cast("int").alias("label"))
+    docs = df.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).alias("text"))
+    known = known.join(docs.select("key").distinct(), "key", "left_semi")
     # At most max_train short rows: small enough to go to every executor.
-    found = _indicator_rows(df.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col), dims)
-    # Rows that repeat an id count once: the first of a task, and the least of all tasks.
-    least: dict[int, tuple] = {}
-    for r in found.collect():
-        known = least.get(r["rank"])
-        if known is None or r["found"] < known["found"]:
-            least[r["rank"]] = r
-    rows = [least[rank] for rank in sorted(least)]
-    return fit([np.frombuffer(r["found"], "<i4") for r in rows], [r["label"] for r in rows], dims)
+    chosen = cut(known.orderBy(F.xxhash64("key"), "key").limit(max_train))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    texts = docs.join(F.broadcast(chosen), "key").withColumn("digest", digest)
+    least = cut(texts.groupBy("key").agg(F.min("digest").alias("digest")))
+    # Rows of one key are equal from here on: one for each task and key, then one for each key.
+    found = _indicator_rows(texts.join(F.broadcast(least), ["key", "digest"]), dims)
+    rows = found.groupBy("key").agg(F.min("label").alias("label"), F.min("found").alias("found")).orderBy(F.xxhash64("key"), "key").collect()
+    return fit([bytes(r["found"]) for r in rows], [r["label"] for r in rows], dims)
 
 
 def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
