@@ -12,11 +12,26 @@ of 64 neighbours.  Comparing everyone with the neighbour ``k`` places on is one
 or of each plane with itself shifted by ``k``; carry-save counters add the planes up for
 64 pairs at a time, and words in which every pair is beyond the radius are abandoned.
 Links leave a bucket as stars around the smallest fingerprint of each linked set, never
-as all pairs; components come from star rounds on the cluster.
-
-Defined results: null and blank texts have fingerprint zero and link like any other;
-repeated rows are kept; null ids take the smallest id of their component, if it has one;
-an empty table gives no rows; other columns are ignored.
+as all pairs; components come from star rounds on the cluster.  A bucket that two rounds of
+further bands leave above ``_BUCKET`` is cut into chunks, and each pair of chunks is a block
+of its own, so a task holds two chunks at most.
+
+``near_copies`` finds all texts whose sets of shingles have a Jaccard similarity of
+``similarity`` or more.  Some ten bits of 64 differ there, which bands can't find, so blocks
+are the shingles themselves: two such sets share one of the first n - ceil(similarity * n) + 1
+shingles of either, under any fixed order of all shingles (frequent ones come last; a sample
+says which, and decides how much work there is, never what is found).  Within the blocks
+fingerprints of 256 bits are compared bit-sliced as above.  At the similarity they differ in
+39 bits on average; ``_WIDE_RADIUS`` is seven deviations above, so that fingerprints lose a link with
+a chance below 1e-11.  What is left is compared exactly, on the sets.  The first round takes the
+smallest neighbour in reach of each text in a block, the second all pairs of components that
+still meet in a block.
+
+Defined results: null and blank texts have fingerprint zero and link like any other, and to
+``near_copies`` they are copies of one another; texts of fewer words than a shingle are one
+shingle; repeated rows are kept; null ids take the smallest id of their component, if it has one;
+an empty table gives no rows; other columns, whatever their names, are ignored, and kept by
+``representatives``.
 """
 
 from __future__ import annotations
@@ -30,27 +45,35 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternlake.llm.common import slices, table, utf8
+from patternlake.llm.common import nested, slices, table, unnested, utf8
 from patternlake.llm.components import components
-from patternlake.plans.lineage import cut
+from patternlake.plans.lineage import broadcast_if_small, cut
 
 BITS = 64
 _BUCKET = 2048
+#: Words of the fingerprints of ``near_copies``, and how many of their bits may differ.
+_WIDE, _WIDE_RADIUS = 4, 80
+_SAMPLE, _FREQUENT, _MOST_FREQUENT = 64, 4, 100_000
 _CHUNK = 200_000
 _SLICE_BYTES = 4 << 20
 
 
-def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words, repeats included."""
     words = text.lower().split()  # bytes: lower-cases A-Z only, splits at ASCII white space
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([digest(joined, seed)], "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], dtype="<u8")
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         part = hashes[at : at + (1 << 14)]
@@ -58,6 +81,10 @@ def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(df: DataFrame, *, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the fingerprint of each text as a signed long."""
     kind = df.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
@@ -83,12 +110,15 @@ def _beyond(counter: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndar
     return above
 
 
-def close_pairs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of fingerprints within ``radius`` bits among rows of equal key.
+def close_pairs(keys: np.ndarray, fps: np.ndarray, radius: int, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j), i < j, of fingerprints within ``radius`` bits among rows of equal key.
 
-    ``keys`` must be sorted.  Rows of short runs drop out as the distance between the
-    compared neighbours grows.
+    ``keys`` must be sorted; ``fps`` has a row of one or more words for each.  With ``groups``,
+    rows of one group aren't compared.  Rows of short runs drop out as the distance between
+    the compared neighbours grows.
     """
+    fps = fps.reshape(len(keys), -1)
+    n_bits = BITS * fps.shape[1]
     found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     rows = np.arange(len(keys))
     step, width = 1, max(1, int(radius).bit_length())
@@ -100,16 +130,20 @@ def close_pairs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndar
             break
         n, words = len(rows), -(-len(rows) // 64)
         key = keys[rows]
-        bits = np.unpackbits(fps[rows].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
+        group = None if groups is None else groups[rows]
+        bits = np.unpackbits(np.ascontiguousarray(fps[rows]).view(np.uint8).reshape(n, -1), axis=1, bitorder="little").T
         # Room for a shift by up to twice the step.
-        planes = np.zeros((BITS, 8 * (words + 2 * step // 64 + 2)), np.uint8)
+        planes = np.zeros((n_bits, 8 * (words + 2 * step // 64 + 2)), np.uint8)
         planes[:, : -(-n // 8)] = np.packbits(bits, axis=1, bitorder="little")
         planes = planes.view("<u8")
         for k in range(step, 2 * step):
             if k >= n:
                 break
             same = np.zeros(8 * words, np.uint8)
-            packed = np.packbits(key[k:] == key[:-k], bitorder="little")
+            wanted = key[k:] == key[:-k]
+            if group is not None:
+                wanted &= group[k:] != group[:-k]
+            packed = np.packbits(wanted, bitorder="little")
             same[: len(packed)] = packed
             alive = same.view("<u8")
             active = np.flatnonzero(alive)
@@ -118,11 +152,11 @@ def close_pairs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndar
                 continue
             q, r = divmod(k, 64)
             counter, over = [np.zeros(len(active), np.uint64) for _ in range(width)], np.zeros(len(active), np.uint64)
-            for group in range(0, BITS, 8):
-                own = planes[group : group + 8, active]
-                other = planes[group : group + 8, active + q]
+            for at in range(0, n_bits, 8):
+                own = planes[at : at + 8, active]
+                other = planes[at : at + 8, active + q]
                 if r:
-                    other = other >> np.uint64(r) | planes[group : group + 8, active + q + 1] << np.uint64(64 - r)
+                    other = other >> np.uint64(r) | planes[at : at + 8, active + q + 1] << np.uint64(64 - r)
                 differ = own ^ other
                 for a, b in zip(differ[::2], differ[1::2], strict=True):
                     half = counter[0] ^ a  # full adder: two planes at a time
@@ -206,7 +240,35 @@ def _buckets(nodes: DataFrame, masks: list[int], radius: int) -> DataFrame:
         first = F.col("path") * parts
         rows = keyed(rows.join(hot, "key", "left_semi"), F.sequence(first, first + parts - 1), masks)
     rows = rows.select("key", "fp")
-    return rows if done is None else done.unionByName(rows)
+    return _blocks(rows if done is None else done.unionByName(rows), "fp")
+
+
+def _blocks(rows: DataFrame, node: str) -> DataFrame:
+    """``rows`` with their blocks: a key's rows together, or those of each pair of its chunks."""
+    rows = cut(rows)
+    hot = rows.groupBy("key").count().filter(F.col("count") > 2 * _BUCKET)
+    hot = cut(hot.select("key", F.ceil(F.col("count") / _BUCKET).alias("chunks")))
+    if hot.isEmpty():
+        return rows.withColumn("block", F.col("key"))
+    chunk = F.pmod(F.xxhash64(node), F.col("chunks"))
+    split = rows.join(broadcast_if_small(hot), "key").withColumn("chunk", chunk)
+    split = split.select(*rows.columns, "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    split = split.withColumn("block", F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")))
+    return rows.join(hot, "key", "left_anti").withColumn("block", F.col("key")).unionByName(split.drop("chunk", "other"))
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[np.ndarray]]:
+    """Columns of some ``limit`` rows at a time; the first is the sorted block, which is never torn."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        new = [c.to_numpy() for c in batch.columns]
+        held = [np.concatenate(p) for p in zip(held, new, strict=True)] if held else new
+        if len(held[0]) >= limit and held[0][0] != held[0][-1]:
+            at = int(np.searchsorted(held[0], held[0][-1]))  # the last block may go on
+            yield [c[:at] for c in held]
+            held = [c[at:] for c in held]
+    if held and len(held[0]):
+        yield held
 
 
 def links(nodes: DataFrame, *, radius: int = 4) -> DataFrame:
@@ -215,25 +277,14 @@ def links(nodes: DataFrame, *, radius: int = 4) -> DataFrame:
     masks = _choices(nodes.count(), radius)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def linked(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            label = star(len(fps), *close_pairs(keys, fps, radius))
+        for blocks, fps in _whole_blocks(batches, _CHUNK):
+            label = star(len(fps), *close_pairs(blocks, fps, radius))
             rows = np.flatnonzero(label != np.arange(len(fps)))
             pairs = np.unique(np.stack([fps[rows], fps[label[rows]]], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-
-        for batch in batches:
-            held_k = np.concatenate([held_k, batch.column("key").to_numpy()])
-            held_f = np.concatenate([held_f, batch.column("fp").to_numpy()])
-            if len(held_k) >= _CHUNK and held_k[0] != held_k[-1]:
-                at = int(np.searchsorted(held_k, held_k[-1]))  # the last bucket may go on
-                yield linked(held_k[:at], held_f[:at])
-                held_k, held_f = held_k[at:], held_f[at:]
-        if len(held_k):
-            yield linked(held_k, held_f)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-    return _buckets(nodes, masks, radius).repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+    rows = _buckets(nodes, masks, radius).select("block", "fp")
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, *, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,15 +299,158 @@ def near_duplicates(df: DataFrame, *, shingle: int = 4, radius: int = 4, id_col:
     return prints.join(label, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(df: DataFrame, *, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, whose id is the smallest of their component.
+# ---------------------------------------------------------------- texts by similarity
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """``_WIDE`` words of majority bits, each of another mixture of the hashes."""
+    words = []
+    for _ in range(_WIDE):
+        words.append(majority(hashes))
+        hashes = (hashes ^ hashes >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x7F4A7C15)
+        hashes ^= hashes >> np.uint64(29)
+    return np.array(words, np.uint64).view(np.int64)
+
+
+def _set(text: bytes, shingle: int) -> np.ndarray:
+    """The sorted distinct shingles of a text."""
+    return np.unique(shingle_hashes(text, shingle).view(np.int64))
+
+
+def _node(found: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).astype(np.int64))
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
+
+
+def _sets(df: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of each text; ``df``: text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", _SLICE_BYTES):
+                found = [_set(t, shingle) for t in utf8(part.column("text"))]
+                yield pa.RecordBatch.from_arrays([pa.array([_node(f) for f in found], pa.int64()), _lists(found)], names=["node", "shingles"])
+
+    return df.select("text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def _frequent(df: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles that many sampled texts hold, rarest first: ``_MOST_FREQUENT`` at most."""
+    sample = _sets(df.filter(F.pmod(F.xxhash64("id", "text"), F.lit(_SAMPLE)) == 0), shingle)
+    counts = sample.select(F.explode("shingles").alias("key")).groupBy("key").count().filter(F.col("count") >= _FREQUENT)
+    top = counts.orderBy(F.desc("count"), "key").limit(_MOST_FREQUENT).collect()
+    return np.array([r.key for r in reversed(top)], np.int64)
+
+
+_WORDS = [f"s{w}" for w in range(_WIDE)]
+
+
+def _profiles(df: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """(id, node, n, fingerprint words, keys): a text's set by its hash and size, and the first shingles."""
+    frequent = _frequent(df, shingle)
+    by_value = np.argsort(frequent)
+    known = frequent[by_value]
+    a, b = similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", _SLICE_BYTES):
+                nodes, sizes, wide, keys = [], [], [], []
+                for text in utf8(part.column("text")):
+                    found = _set(text, shingle)
+                    n = len(found)
+                    nodes.append(_node(found))
+                    sizes.append(n)
+                    wide.append(wide_fingerprint(found.view(np.uint64)))
+                    if len(known) and n:
+                        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                        rank = np.where(known[at] == found, by_value[at] + 1, 0)
+                        found = found[np.argsort(rank, kind="stable")]
+                    keys.append(found[: n + (-a * n // b) + 1 if n else 0])
+                words = np.array(wide, np.int64).reshape(-1, _WIDE)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(words[:, w].copy()) for w in range(_WIDE)], _lists(keys)], names=["id", "node", "n", *_WORDS, "keys"])
+
+    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, node long, n long, {', '.join(f'{w} long' for w in _WORDS)}, keys array<long>")
+
+
+def _candidates(met: DataFrame, nodes: DataFrame, similarity: tuple[int, int], *, roots: bool) -> DataFrame:
+    """(u, v), v < u: pairs of nodes of a block within ``_WIDE_RADIUS`` whose sizes allow the similarity.
+
+    With ``roots`` all pairs of different roots, else the smallest v of each u and block.
+    """
+    a, b = similarity
+    rows = _blocks(met.join(nodes.select("node", "n", *_WORDS), "node"), "node")
+    rows = rows.select("block", "node", "n", *_WORDS, *["root"] * roots)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blocks, node, n, *words in _whole_blocks(batches, _CHUNK // _WIDE):
+            i, j = close_pairs(blocks, np.stack(words[:_WIDE], axis=1), _WIDE_RADIUS, words[-1] if roots else node)
+            fits = b * np.minimum(n[i], n[j]) >= a * np.maximum(n[i], n[j])
+            i, j = i[fits], j[fits]
+            if not roots:
+                by = np.lexsort((i, j))
+                i, j = i[by], j[by]
+                first = np.concatenate([[True], j[1:] != j[:-1]])[: len(j)]
+                i, j = i[first], j[first]
+            pairs = np.unique(np.stack([node[j], node[i]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    return cut(rows.repartition("block").sortWithinPartitions("block", "node").mapInArrow(run, "u long, v long").distinct())
+
+
+def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets are similar enough."""
+    a, b = similarity
+    wanted = cut(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct())
+    ids = cut(nodes.join(wanted, "node", "left_semi").select(F.col("first").alias("w_id")).distinct())
+    texts = df.join(broadcast_if_small(ids), F.col("id").eqNullSafe(F.col("w_id")), "left_semi")
+    # Rows with equal ids: only the text of the node counts, and only once.
+    sets = cut(_sets(texts, shingle).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("u_set")), "u")
+    both = both.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("v_set")), "v")
+    common = F.size(F.array_intersect("u_set", "v_set"))
+    return cut(both.filter((a + b) * common >= a * (F.size("u_set") + F.size("v_set"))).select("u", "v"))
+
+
+def near_copies(df: DataFrame, *, shingle: int = 5, similarity: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col`` and component_id of every row, for links between texts of ``similarity`` (a fraction) or more."""
+    df = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    profiles = cut(_profiles(df, shingle, similarity))
+    nodes = cut(profiles.groupBy("node").agg(F.min("id").alias("first"), *[F.min(c).alias(c) for c in ("n", *_WORDS)]))
+    places = profiles.select("node", F.explode("keys").alias("key"))
+    shared = cut(places.groupBy("key").count().filter("count > 1").select("key"))
+    met = cut(places.join(shared, "key", "left_semi").distinct())
+    first = _candidates(met, nodes, similarity, roots=False)
+    links = _verified(first, df, nodes, shingle, similarity)
+
+    roots = components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    met = cut(met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    open_ = met.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
+    met = cut(met.join(cut(open_), "key", "left_semi"))
+    across = cut(_candidates(met, nodes, similarity, roots=True).join(first, ["u", "v"], "left_anti"))
+    links = links.unionByName(_verified(across, df, nodes, shingle, similarity))
+
+    roots = components(links).withColumnRenamed("u", "node")
+    member = cut(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("v", "node").alias("root")))
+    least = cut(member.groupBy("root").agg(F.min("first").alias("component_id")))
+    label = cut(member.join(least, "root").select("node", "component_id"))
+    return profiles.select("id", "node").join(label, "node").select(F.col("id").alias(id_col), "component_id")
+
+
+def representatives(df: DataFrame, *, shingle: int = 5, similarity: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns, whose id is the smallest of their component of near copies.
 
     Rows that repeat that id are one document and stay together; rows without an id stay if
     no row of their component has one.
     """
-    found = near_duplicates(df, shingle=shingle, radius=radius, id_col=id_col, text_col=text_col)
-    kept = cut(found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept_id")).distinct())
-    return df.join(kept, df[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    found = near_copies(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle=shingle, similarity=similarity)
+    kept = cut(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct())
+    rows = nested(df, id=F.col(id_col))
+    return unnested(rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi"), df.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,3 +81,27 @@ def test_repeated_rows_nulls_and_empty(spark):
     rows = near_duplicates(spark.createDataFrame([(5, "a b"), (5, "a b"), (None, "a b"), (None, "c d")], "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in rows) == [("5", "5"), ("5", "5"), ("None", "5"), ("None", "None")]
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_hot_bucket_is_split(spark, monkeypatch):
+    """Fingerprints one bit apart share all buckets, however fine: chunks keep every link."""
+    monkeypatch.setattr(simhash, "_BUCKET", 3)
+    base = 0x0123456789ABCDEF
+    fps = [base] + [base ^ 1 << b for b in range(40)] + [base ^ 7 << 50, base ^ 0x3F << 44]
+    nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
+    found = dict(map(tuple, components(simhash.links(nodes, radius=1)).collect()))
+    assert found == {f: min(fps[:41]) for f in fps[:41] if f != min(fps[:41])}
+    rows = simhash._blocks(spark.createDataFrame([(1, f) for f in fps], "key long, fp long"), "fp")
+    assert max(r["count"] for r in rows.groupBy("block").count().collect()) < len(fps) // 2
+
+
+def test_wide_close_pairs_match_brute_force():
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(0, 2**63, (30, 4), dtype=np.int64)
+    fps = np.concatenate([base, base ^ (rnd.integers(0, 2**63, (30, 4), dtype=np.int64) & rnd.integers(0, 2**63, (30, 4), dtype=np.int64) & rnd.integers(0, 2**63, (30, 4), dtype=np.int64))])
+    keys, groups = np.sort(rnd.integers(0, 3, 60)), rnd.integers(0, 4, 60)
+    far = lambda a, b: sum((int(x) ^ int(y)).bit_count() for x, y in zip(fps[a], fps[b], strict=True))
+    for radius in (25, 32, 80, 120):
+        i, j = close_pairs(keys, fps, radius, groups)
+        want = {(a, b) for a in range(60) for b in range(a + 1, 60) if keys[a] == keys[b] and groups[a] != groups[b] and far(a, b) <= radius}
+        assert set(zip(i.tolist(), j.tolist(), strict=True)) == want

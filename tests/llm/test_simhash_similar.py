@@ -1,9 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-import corpus_pipeline
-from patternlake.llm import neardup
+from patternlake.llm import simhash
 
 
 def plain_shingles(text):
@@ -47,18 +47,34 @@ def corpus():
     return docs + [(900, None), (901, " \n"), (902, "few words"), (903, "Few\twords"), (904, "few other words"), (905, docs[0][1].upper())]
 
 
-@pytest.mark.parametrize("hot", [4, 1])
-def test_stage_against_brute_force_jaccard(spark, sf_dir, monkeypatch, hot):
-    monkeypatch.setattr(neardup, "_HOT", hot)
+@pytest.mark.parametrize("frequent,bucket", [(4, 2048), (1, 2048), (1, 3)])
+def test_against_brute_force_jaccard(spark, monkeypatch, frequent, bucket):
+    monkeypatch.setattr(simhash, "_SAMPLE", 4)
+    monkeypatch.setattr(simhash, "_FREQUENT", frequent)
+    monkeypatch.setattr(simhash, "_BUCKET", bucket)
     docs = corpus()
     want, linked = plain_representatives(docs)
     assert sum(0.8 <= s < 0.9 for _, _, s in linked) > 20
-    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS fp", "'a' AS id")
-    out = corpus_pipeline.near_duplicates(spark, df, sf_dir)
-    assert out.columns == df.columns and {r.doc_id for r in out.collect()} == want
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    df = df.selectExpr("*", *[f"'{k}' AS `{c}`" for k, c in enumerate(["fp", "id", "node", "row", "kept_id", "_kept_id", "first", "a.b"])])
+    out = simhash.representatives(df)
+    got = out.collect()
+    assert out.columns == df.columns and {r.doc_id for r in got} == want
+    assert all(list(r)[2:] == [str(k) for k in range(8)] for r in got)
 
 
 def test_repeated_rows_nulls_and_empty(spark):
-    rows = neardup.near_copies(spark.createDataFrame([(5, "a b"), (5, "a b"), (None, "a b"), (None, "c d")], "doc_id long, text string")).collect()
+    rows = simhash.near_copies(spark.createDataFrame([(5, "a b"), (5, "a b"), (None, "a b"), (None, "c d")], "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in rows) == [("5", "5"), ("5", "5"), ("None", "5"), ("None", "None")]
-    assert neardup.near_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    assert simhash.near_copies(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_wide_fingerprints_reach_the_similarity():
+    """Sets at the least similarity stay far within the radius, whatever their size."""
+    rng = np.random.default_rng(3)
+    for n in (4, 5, 8, 9, 18, 45, 180, 900):
+        for _ in range(60):
+            common = rng.integers(0, 2**63, max(n - n // 9 if n > 5 else 4, 4), dtype=np.uint64)
+            extra = [rng.integers(0, 2**63, len(common) // 8 if len(common) >= 8 else k, dtype=np.uint64) for k in (0, 1)]
+            a, b = (simhash.wide_fingerprint(np.concatenate([common, e])) for e in extra)
+            assert sum(int(x).bit_count() for x in (a ^ b).view(np.uint64)) <= simhash._WIDE_RADIUS - 5
