@@ -14,8 +14,8 @@ sorts a whole leaf, and the text columns are never shuffled.
 
 Defined results: null domains, languages and sources are named ''; texts without words are
 never taken; rows with equal ids stand or fall together, and share what is left of the
-budget where the prefix ends; an empty table gives no rows; other columns are ignored by
-``select`` and kept by ``mix``.
+budget where the prefix ends; an empty table gives no rows; other columns, whatever their
+names, are ignored by ``select`` and kept by ``mix``.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from patternlake.llm.common import SPACE, blank_trimmed, table, word_count
+from patternlake.llm.common import SPACE, WORD, nested, table, unnested, word_count
 from patternlake.plans.lineage import broadcast_if_small, cut
 
 LEVELS = ("domain", "lang", "source")
@@ -138,16 +138,15 @@ def plan(rows: DataFrame, mixture: Mixture) -> DataFrame:
     return cut(taken.drop("rest", "buckets").join(ends, list(LEVELS), "left"))
 
 
-def _epochs(rows: DataFrame, taken: DataFrame, mixture: Mixture, p: str = "") -> DataFrame:
-    """Rows once per epoch that takes them, with ``epoch`` and ``take_tokens`` (after prefix ``p``)."""
-    c = lambda name: F.col(f"{p}{name}")
-    found = rows.join(broadcast_if_small(taken), [f"{p}{x}" for x in LEVELS]).filter(c("n_tokens") > 0)
-    found = found.withColumn(f"{p}key", F.when(c("cut_key").isNotNull(), mixture.key(c("epochs"), c("id"))))
-    part = F.when(c("key") < c("cut_key"), c("n_tokens")).when(c("key") == c("cut_key"), F.least(c("n_tokens"), c("cut_share"))).otherwise(0)
-    found = found.withColumn(f"{p}part", part)
-    last = c("epochs") - F.when(c("part") > 0, 0).otherwise(1)
-    found = found.filter(last >= 0).withColumn(f"{p}epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    return found.withColumn(f"{p}take_tokens", F.when(c("epoch") == c("epochs"), c("part")).otherwise(c("n_tokens")))
+def _epochs(rows: DataFrame, taken: DataFrame, mixture: Mixture) -> DataFrame:
+    """Rows once per epoch that takes them, with ``epoch`` and ``take_tokens``."""
+    found = rows.join(broadcast_if_small(taken), list(LEVELS)).filter("n_tokens > 0")
+    found = found.withColumn("key", F.when(F.col("cut_key").isNotNull(), mixture.key(F.col("epochs"), F.col("id"))))
+    part = F.when(F.col("key") < F.col("cut_key"), F.col("n_tokens")).when(F.col("key") == F.col("cut_key"), F.least("n_tokens", "cut_share")).otherwise(0)
+    found = found.withColumn("part", part)
+    last = F.col("epochs") - F.when(F.col("part") > 0, 0).otherwise(1)
+    found = found.filter(last >= 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return found.withColumn("take_tokens", F.when(F.col("epoch") == F.col("epochs"), F.col("part")).otherwise(F.col("n_tokens")))
 
 
 def select(df: DataFrame, mixture: Mixture, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -160,22 +159,20 @@ def select(df: DataFrame, mixture: Mixture, *, id_col: str = "doc_id", text_col:
 def mix(df: DataFrame, mixture: Mixture, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str | None = None) -> DataFrame:
     """The rows taken, with all columns of ``df``; a row is repeated for each epoch that takes it.
 
-    The last row of a leaf's prefix is cut after its last token; ``chars_col`` is then set to
-    the length of the text.
+    The last row of a leaf's prefix is cut after its last token, white space before that as it
+    was; ``chars_col`` is then set to the length of the text.
     """
-    p = "_mix_"
     named = _named(df, mixture, id_col, text_col, lang_col, source_col)
     rows = cut(df.select(*[c.alias(n) for n, c in named.items()]))
-    taken = plan(rows, mixture)
-    taken = cut(taken.select(*[F.col(c).alias(f"{p}{c}") for c in taken.columns]))
-    found = _epochs(df.select(*df.columns, *[c.alias(f"{p}{n}") for n, c in named.items()]), taken, mixture, p)
-    words = F.slice(F.split(blank_trimmed(F.col(text_col)), f"{SPACE}+"), 1, F.col(f"{p}take_tokens").cast("int"))
-    partly = F.col(f"{p}take_tokens") < F.col(f"{p}n_tokens")
-    found = found.withColumn(f"{p}text", F.when(partly, F.array_join(words, " ")).otherwise(F.col(text_col)))
-    out = {text_col: F.col(f"{p}text")}
+    found = _epochs(nested(df, **named), plan(rows, mixture), mixture)
+    text = F.col("row").getField(text_col)
+    tokens = F.regexp_extract_all(text, F.lit(f"{SPACE}*{WORD}"), F.lit(0))
+    partly = F.col("take_tokens") < F.col("n_tokens")
+    found = found.withColumn("new", F.when(partly, F.array_join(F.slice(tokens, 1, F.col("take_tokens").cast("int")), "")))
+    replaced = {text_col: F.coalesce("new", text)}
     if chars_col is not None:
-        out[chars_col] = F.when(partly, F.length(f"{p}text").cast(df.schema[chars_col].dataType)).otherwise(F.col(chars_col))
-    return found.select(*[out[c].alias(c) if c in out else F.col(c) for c in df.columns])
+        replaced[chars_col] = F.when(partly, F.length("new").cast(df.schema[chars_col].dataType)).otherwise(F.col("row").getField(chars_col))
+    return unnested(found, df.columns, **replaced)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,10 +49,18 @@ def test_prefixes_fill_the_budgets(spark, monkeypatch):
 
 
 def test_mix_keeps_columns_and_cuts_texts(spark):
-    df = docs(spark)
+    df = docs(spark).selectExpr("*", *[f"'{k}' AS `{c}`" for k, c in enumerate(["_mix_key", "row", "id", "epoch", "part", "new", "take_tokens", "a.b"])])
     mixture = Mixture(share=(7, 10), max_epochs=2, seed=5)
     out = mix(df, mixture, chars_col="n_chars")
-    assert out.columns == df.columns
+    assert out.columns == df.columns and all(list(r)[-8:] == [str(k) for k in range(8)] for r in out.collect())
     got = sorted((str(r.doc_id), len(r.text.split())) for r in out.collect())
     assert got == sorted((str(r.doc_id), r.take_tokens) for r in select(df, mixture).collect())
     assert mix(df.filter("false"), mixture).collect() == [] and select(df.filter("text IS NULL"), mixture).collect() == []
+
+
+def test_cut_texts_keep_their_white_space(spark):
+    text = " a b\nc  d\te\n\nf " * 20
+    df = spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long")
+    for share in range(1, 12):
+        (row,) = mix(df, Mixture(share=(share, 12)), chars_col="n_chars").collect()
+        assert text.startswith(row.text) and len(row.text.split()) == 120 * share // 12 and not row.text[-1].isspace() and row.n_chars == len(row.text)
