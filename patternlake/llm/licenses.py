@@ -1,13 +1,19 @@
 """Licence scans by sentence-rule recognition.
 
-A text is cut into sentences at line breaks and after ``.``, ``!``, ``?`` or ``;`` before
-white space.  Sentences are normalised to lower-case ASCII words, and known ones become
-identifiers; a run of others becomes one gap.  The ordered rules are then matched against
-the identifier sequence, longest sequences first, and what a rule has matched is spent.
+A text becomes a sequence of licence-sentence identifiers, which ordered rules then match:
 
-Licence notices are usually wrapped, so a second cut joins the lines of a paragraph first (blank
-lines part paragraphs).  ``NOTICES`` holds what that cut makes of the official texts; their
-licences are added to those of the rules, while n_sentences and sequence tell the first cut.
+1. Pieces.  Lines of a paragraph are joined, as notices are usually wrapped and often behind
+   comment marks.  Pieces end after ``.``, ``!``, ``?`` or ``;`` before white space, at lines
+   without letters or digits, at list marks, and before a line that opens like a known sentence.
+2. Identifiers.  Pieces are normalised to lower-case ASCII words and looked up whole among the
+   known sentences; a piece of several lines that is unknown as a whole is looked up line by
+   line.  A run of unknown ones becomes one gap, ``-``.
+3. Rules.  A rule is a licence and a sequence of identifiers, between which one gap may stand.
+   Rules are tried from the longest on, and what a rule has matched is spent.
+
+``TEXTS`` holds the licences' own wording; sentences, identifiers and rules follow from it by
+the same cut that texts get.  A rule is a text's first sentences, from those that suffice to
+tell the licence up to all of them.
 
 Everything is a projection over the scan in built-in expressions; nothing is shuffled.
 
@@ -18,6 +24,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,116 +33,172 @@ from patternlake.llm.common import table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Normalised sentences and their identifiers (fixed values from the licences' own texts).
-SENTENCES = {
-    "licensed under the apache license version 2 0": "A1",
-    "licensed under the apache license version 2 0 the license": "A1",
-    "you may not use this file except in compliance with the license": "A2",
-    "you may obtain a copy of the license at": "A3",
-    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "A4",
-    "see the license for the specific language governing permissions and limitations under the license": "A5",
-    "released under the mit license": "M1",
-    "licensed under the mit license": "M1",
-    "this software is released under the mit license": "M1",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction": "M2",
-    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "M3",
-    "this work is licensed under the gnu general public license version 3": "G1",
-    "this program is free software": "G2",
-    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "G3",
-    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "G4",
-    "this program is distributed in the hope that it will be useful but without any warranty": "G5",
-    "licensed under cc by nc 4 0": "C1",
-    "licensed under cc by 4 0": "C2",
-    "licensed under cc by sa 4 0": "C3",
-    "this work is licensed under a creative commons attribution 4 0 international license": "C2",
-    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "C1",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "B1",
-    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "B2",
-    "all rights reserved": "R1",
-}
-
-#: Ordered rules: the licence, and the sequence of identifiers that tells it ("-" is a gap).
-RULES = (
-    ("Apache-2.0", ("A1", "A2", "A3", "-", "A4", "A5")),
-    ("Apache-2.0", ("A1", "A2", "A3", "A4", "A5")),
-    ("GPL-3.0-or-later", ("G2", "G3", "G5")),
-    ("GPL-2.0-or-later", ("G2", "G4", "G5")),
-    ("GPL-3.0-or-later", ("G2", "G3")),
-    ("GPL-2.0-or-later", ("G2", "G4")),
-    ("MIT", ("M2", "-", "M3")),
-    ("MIT", ("M2", "M3")),
-    ("BSD", ("B1", "B2")),
-    ("Apache-2.0", ("A1", "A2")),
-    ("Apache-2.0", ("A1",)),
-    ("MIT", ("M1",)),
-    ("MIT", ("M2",)),
-    ("GPL-3.0-only", ("G1",)),
-    ("CC-BY-NC-4.0", ("C1",)),
-    ("CC-BY-4.0", ("C2",)),
-    ("CC-BY-SA-4.0", ("C3",)),
-    ("BSD", ("B1",)),
-    ("all-rights-reserved", ("R1",)),
-)
-
-_GPL_3 = "free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
-_GPL_2 = "free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
-_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
-_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
-_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License."""
-
-#: Licences and the official wording that tells them; it may start and end inside a sentence.
-NOTICES = (
-    *((f"GPL-{v}.0-or-later", form.format(v)) for v in (3, 2) for form in (_GPL_3, _GPL_2)),
-    ("MIT", _MIT),
-    ("BSD", _BSD),
-    ("Apache-2.0", _APACHE),
-)
-
-
-def _notice(text: str) -> str:
-    """An official text as the second cut leaves it: sentences with ``|`` between them."""
-    parts = re.split(r"([.!?;])[ \t-\r]+|\n\s*\n", text.lower())
-    return "|".join(s for p in parts if p and (s := re.sub(r"[^a-z0-9]+", " ", p).strip()))
-
-
-def paragraph_sentences(text: Column) -> Column:
-    """Normalised sentences of a text whose lines are joined within paragraphs, ``|`` around each."""
-    cut = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "|", " "), r"\n[\x20\x09\x0B-\x0D]*\n|[.!?;][\x20\x09-\x0D]+", "|")
-    plain = F.regexp_replace(F.translate(cut, _UPPER, _LOWER), r"[^a-z0-9|]+", " ")
-    return F.concat(F.lit("|"), F.regexp_replace(plain, r" ?\|[| ]*", "|"), F.lit("|"))
-
-
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, blank ones left out."""
-    cut = F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?;])[\x20\x09-\x0D]+", "$1\n")
-    plain = F.regexp_replace(F.translate(cut, _UPPER, _LOWER), r"[^a-z0-9\n]+", " ")
-    return F.filter(F.transform(F.split(plain, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+
+class Text(NamedTuple):
+    license: str
+    least: int  # so many of its first sentences tell the licence
+    prefix: str  # of the identifiers
+    wording: str
+
+
+_GNU = "This program is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation{stop} {version}.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details."
+_SOLD_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\nRedistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\nRedistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+
+
+def _gnu() -> list[Text]:
+    """Notices of the GNU family, with the marks of either official form."""
+    kinds = {"GPL": ("", ("2", "3")), "LGPL": ("Lesser ", ("2.1", "3")), "AGPL": ("Affero ", ("3",))}
+    found = []
+    for name, (kind, versions) in kinds.items():
+        for v in versions:
+            full = v if "." in v else f"{v}.0"
+            for mark, stop in ((":", ","), (";", ";"), (";", ",")):
+                for end, choice in (("or-later", f"either version {v} of the License, or (at your option) any later version"), ("only", f"version {v} of the License")):
+                    least = {(":", ","): 1, (";", ";"): 3, (";", ","): 2}[mark, stop]
+                    found.append(Text(f"{name}-{full}-{end}", least, "gnu", _GNU.format(kind=kind, mark=mark, stop=stop, version=choice)))
+    return found
+
+
+#: Licences in their own wording (fixed values).
+TEXTS = (
+    Text("Apache-2.0", 1, "apache", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    Text("Apache-2.0", 1, "apache", "Licensed under the Apache License, Version 2.0."),
+    Text("MIT", 1, "mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    Text("MIT", 1, "mit", "Released under the MIT License."),
+    Text("MIT", 1, "mit", "Licensed under the MIT License."),
+    Text("MIT", 1, "mit", "This software is released under the MIT License."),
+    Text("MIT", 1, "mit", "This project is licensed under the MIT License."),
+    Text("BSD-3-Clause", 4, "bsd", _BSD + "\n\nNeither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n" + _SOLD_AS_IS),
+    Text("BSD-2-Clause", 3, "bsd", _BSD + "\n\n" + _SOLD_AS_IS),
+    Text("BSD", 1, "bsd", _BSD),
+    Text("ISC", 1, "isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    *_gnu(),
+    Text("GPL-3.0-only", 1, "gnu", "This work is licensed under the GNU General Public License, version 3."),
+    Text("GPL-2.0-only", 1, "gnu", "This work is licensed under the GNU General Public License, version 2."),
+    Text("MPL-2.0", 1, "mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    Text("MPL-2.0", 1, "mpl", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    Text("Unlicense", 1, "unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    Text("Zlib", 2, "zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    Text("BSL-1.0", 1, "bsl", "Distributed under the Boost Software License, Version 1.0."),
+    Text("CC-BY-4.0", 1, "cc", "Licensed under CC BY 4.0."),
+    Text("CC-BY-SA-4.0", 1, "cc", "Licensed under CC BY-SA 4.0."),
+    Text("CC-BY-NC-4.0", 1, "cc", "Licensed under CC BY-NC 4.0."),
+    Text("CC-BY-4.0", 1, "cc", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    Text("CC-BY-SA-4.0", 1, "cc", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    Text("CC-BY-NC-4.0", 1, "cc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    Text("CC0-1.0", 1, "cc", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    Text("Apache-2.0", 1, "apache", "Apache License Version 2.0, January 2004"),
+    Text("MIT", 1, "mit", "MIT License"),
+    Text("MIT", 1, "mit", "The MIT License (MIT)"),
+    Text("GPL-3.0", 1, "gnu", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    Text("GPL-2.0", 1, "gnu", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    Text("LGPL-3.0", 1, "gnu", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    Text("LGPL-2.1", 1, "gnu", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    Text("AGPL-3.0", 1, "gnu", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    Text("all-rights-reserved", 1, "reserved", "All rights reserved."),
+)
+
+#: Steps of the cut: pattern and replacement, for Java, RE2 (``$1`` as ``\1``) and Python alike.
+_NAMED = r"([|\n] ?)[a-z0-9][a-z0-9 ]{0,60} is (free software|distributed in the hope)"
+
+
+def _steps(openings: list[str]) -> list[tuple[str, str]]:
+    steps = [
+        (r"(?:\n|[:;.][\x20\x09-\x0D])[^a-z0-9|]*[0-9a-z][.)][\x20\x09-\x0D][^a-z0-9|]*([a-z])", "|$1"),  # list marks
+        (r"[.!?;][\x20\x09-\x0D]+", "|"),
+        (r"[^a-z0-9|\n]+", " "),
+        (r"\n ?\n", "|"),
+    ]
+    if openings:
+        steps += [(_NAMED, "$1this program is $2"), (rf"\n( ?(?:{'|'.join(openings)}))", "|$1")]
+    return steps
+
+
+def _plain_pieces(text: str, openings: list[str]) -> list[str]:
+    """The pieces of one of ``TEXTS``, on the driver."""
+    text = f"|{text.lower()}|"
+    for pattern, new in _steps(openings):
+        text = re.sub(pattern, new.replace("$1", r"\1").replace("$2", r"\2"), text)
+    return [p for piece in text.split("|") if (p := " ".join(piece.split()))]
+
+
+def _known() -> tuple[dict[str, str], tuple[tuple[str, tuple[str, ...]], ...]]:
+    ids: dict[str, str] = {}
+    rules: dict[tuple[str, ...], str] = {}
+    numbers: dict[str, int] = {}
+    for license_, least, prefix, wording in TEXTS:
+        # Addresses and bare version numbers are no sentences: where they stand, rules allow a gap.
+        pieces = [p for p in _plain_pieces(wording, []) if not p.startswith("http") and any(w.isalpha() for w in p.split())]
+        for p in pieces:
+            if p not in ids:
+                numbers[prefix] = numbers.get(prefix, 0) + 1
+                ids[p] = f"{prefix}{numbers[prefix]}"
+        for n in range(least, len(pieces) + 1):
+            rules.setdefault(tuple(ids[p] for p in pieces[:n]), license_)
+    return ids, tuple((license_, sequence) for sequence, license_ in sorted(rules.items(), key=lambda x: -len(x[0])))
+
+
+#: Normalised sentences and their identifiers; the ordered rules.
+SENTENCES, RULES = _known()
+
+
+def _opening(sentence: str) -> str:
+    """The first words of a sentence, three at least, that stand inside no known sentence, which may be wrapped there."""
+    words = sentence.split()
+    found = (" ".join(words[:n]) for n in range(min(3, len(words)), len(words) + 1))
+    return next((o for o in found if not any(f" {o} " in f"{s} " for s in SENTENCES)), "")
+
+
+OPENINGS = sorted({o for o in map(_opening, SENTENCES) if o})
+
+
+def _rule_pattern(sequence: tuple[str, ...]) -> str:
+    return "," + ",(?:-,)?".join(sequence) + ","
+
+
+def pieces(text: Column) -> Column:
+    """Normalised pieces of a text, blank ones left out; line feeds part the lines of a piece."""
+    plain = F.concat(F.lit("|"), F.translate(F.translate(F.coalesce(text, F.lit("")), "|", " "), _UPPER, _LOWER), F.lit("|"))
+    for pattern, new in _steps(OPENINGS):
+        plain = F.regexp_replace(plain, pattern, new)
+    return F.filter(F.transform(F.split(plain, r" ?\n? ?\| ?\n? ?"), lambda p: F.btrim(p, F.lit(" \n"))), lambda p: p != "")
 
 
 def identifiers(found: Column) -> Column:
     """The sequence of sentence identifiers, each closed with a comma; one ``-`` for a run of others."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    longest = max(map(len, SENTENCES))
-    ids = F.transform(found, lambda s: F.when(F.length(s) <= longest, F.coalesce(F.try_element_at(known, s), F.lit("-"))).otherwise("-"))
-    return F.regexp_replace(F.concat_ws("", F.transform(ids, lambda i: F.concat(i, F.lit(",")))), r"(-,)+", "-,")
+    longest = max(map(len, SENTENCES)) + 40
+
+    def of(sentence: Column) -> Column:
+        return F.coalesce(F.try_element_at(known, sentence), F.lit("-"))
+
+    def one(piece: Column) -> Column:
+        whole = F.when(F.length(piece) <= longest, of(F.regexp_replace(piece, r" ?\n ?", " "))).otherwise("-")
+        lines = F.array_join(F.transform(F.split(piece, r" ?\n ?"), of), ",")
+        return F.when((whole == "-") & F.contains(piece, F.lit("\n")), lines).otherwise(whole)
+
+    return F.regexp_replace(F.concat_ws("", F.transform(found, lambda p: F.concat(one(p), F.lit(",")))), r"(-,)+", "-,")
+
+
+def licenses(sequence: Column) -> Column:
+    """The licences that the rules find in a sequence, in the order of the rules; null for none."""
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_rule_pattern(ids)).alias("pattern")) for name, ids in RULES])
+    start = F.struct(F.concat(F.lit(","), sequence).alias("left"), F.array().cast("array<string>").alias("names"))
+
+    def step(a: Column, rule: Column) -> Column:
+        spent = F.struct(F.regexp_replace(a["left"], rule["pattern"], F.lit(",*,")).alias("left"), F.array_append(a["names"], rule["name"]).alias("names"))
+        return F.when(F.regexp_like(a["left"], rule["pattern"]), spent).otherwise(a)
+
+    names = F.aggregate(rules, start, step, lambda a: F.array_join(F.array_distinct(a["names"]), ","))
+    return F.when(~sequence.isin("", "-,"), F.nullif(names, F.lit("")))
 
 
 def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_sentences, sequence and licenses (names in the order of the rules, null for none)."""
-    rows = df.select(F.col(id_col), sentences(F.col(text_col)).alias("found"), paragraph_sentences(F.col(text_col)).alias("joined"))
-    rows = rows.select(id_col, F.size("found").cast("long").alias("n_sentences"), identifiers(F.col("found")).alias("sequence"), "joined")
-    left, names = F.concat(F.lit(","), F.col("sequence")), []
-    for license_, sequence in RULES:
-        wanted = "," + "".join(f"{i}," for i in sequence)
-        names.append(F.when(F.contains(left, F.lit(wanted)), F.lit(license_)))
-        left = F.replace(left, F.lit(wanted), F.lit(",*,"))
-    padded = F.regexp_replace("joined", r"\|", " | ")
-    for license_, text in NOTICES:
-        names.append(F.when(F.contains(padded, F.lit(f" {_notice(text)} ".replace("|", " | "))), F.lit(license_)))
-    licenses = F.concat_ws(",", F.array_distinct(F.filter(F.array(*names), lambda x: x.isNotNull())))
-    return rows.select(id_col, "n_sentences", "sequence", F.nullif(licenses, F.lit("")).alias("licenses"))
+    rows = df.select(F.col(id_col).alias("id"), pieces(F.col(text_col)).alias("found"))
+    rows = rows.select("id", F.size("found").cast("long").alias("n_sentences"), identifiers(F.col("found")).alias("sequence"))
+    return rows.select(F.col("id").alias(id_col), "n_sentences", "sequence", licenses(F.col("sequence")).alias("licenses"))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,20 +207,26 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
+    plain = f"'|' || translate(translate(coalesce(text, ''), '|', ' '), '{_UPPER}', '{_LOWER}') || '|'"
+    for pattern, new in _steps(OPENINGS):
+        plain = f"regexp_replace({plain}, '{pattern}', '{new.replace('$1', chr(92) + '1').replace('$2', chr(92) + '2')}', 'g')"
+    trimmed = r"list_filter(list_transform(regexp_split_to_array(plain, ' ?\n? ?\| ?\n? ?'), lambda p: trim(p, ' ' || chr(10))), lambda p: p <> '')"
     steps, left = [], "',' || sequence"
-    names = []
-    for license_, sequence in RULES:
-        wanted = "," + "".join(f"{i}," for i in sequence)
-        names.append(f"CASE WHEN contains({left}, '{wanted}') THEN '{license_}' END")
-        left = f"replace({left}, '{wanted}', ',*,')"
+    for k, (name, ids) in enumerate(RULES):
+        steps.append(f"CASE WHEN regexp_matches({left}, '{_rule_pattern(ids)}') THEN '{name}' END AS n{k}, regexp_replace({left}, '{_rule_pattern(ids)}', ',*,', 'g') AS l{k}")
+        left = f"l{k}"
     return f"""
 WITH known(sentence, id) AS (VALUES {known}),
-cut AS (SELECT doc_id, rn, unnest(found) AS sentence, unnest(range(len(found))) AS place FROM (
-  SELECT doc_id, row_number() OVER () AS rn, list_filter(list_transform(string_split(regexp_replace(translate(regexp_replace(coalesce(text, ''), '([.!?;])[\\x20\\x09-\\x0D]+', '\\1' || chr(10), 'g'), '{_UPPER}', '{_LOWER}'), '[^a-z0-9\\n]+', ' ', 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '') AS found FROM documents)),
-coded AS (SELECT doc_id, rn, count(*) AS n, regexp_replace(string_agg(coalesce(id, '-') || ',', '' ORDER BY place), '(-,)+', '-,', 'g') AS seq FROM cut LEFT JOIN known USING (sentence) GROUP BY doc_id, rn),
-every AS (SELECT d.doc_id, coalesce(n, 0) AS n_sentences, coalesce(seq, '') AS sequence FROM (SELECT doc_id, row_number() OVER () AS rn FROM documents) d LEFT JOIN coded c ON d.rn = c.rn),
-named AS (SELECT doc_id, n_sentences, sequence, list_filter([{", ".join(names)}], lambda x: x IS NOT NULL) AS names FROM every)
-SELECT doc_id, n_sentences, sequence, nullif(array_to_string(list_transform(list_filter(list_transform(range(1, len(names) + 1), lambda k: CASE WHEN list_position(names, names[k]) = k THEN names[k] END), lambda x: x IS NOT NULL), lambda x: x), ','), '') AS licenses FROM named
+docs AS (SELECT doc_id, row_number() OVER () AS rn, {plain} AS plain FROM documents),
+cut AS (SELECT rn, unnest(found) AS piece, unnest(range(len(found))) AS place FROM (SELECT rn, {trimmed} AS found FROM docs)),
+whole AS (SELECT rn, place, piece, id FROM cut LEFT JOIN known ON regexp_replace(piece, ' ?\\n ?', ' ', 'g') = sentence),
+lines AS (SELECT rn, place, unnest(l) AS line, unnest(range(len(l))) AS pos FROM (SELECT rn, place, regexp_split_to_array(piece, ' ?\\n ?') AS l FROM whole WHERE id IS NULL AND contains(piece, chr(10)))),
+lined AS (SELECT rn, place, string_agg(coalesce(id, '-'), ',' ORDER BY pos) AS ids FROM lines LEFT JOIN known ON line = sentence GROUP BY rn, place),
+coded AS (SELECT w.rn, count(*) AS n, regexp_replace(string_agg(coalesce(id, ids, '-') || ',', '' ORDER BY w.place), '(-,)+', '-,', 'g') AS seq FROM whole w LEFT JOIN lined l ON w.rn = l.rn AND w.place = l.place GROUP BY w.rn),
+every AS (SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(seq, '') AS sequence FROM docs d LEFT JOIN coded c ON d.rn = c.rn),
+ruled AS (SELECT doc_id, n_sentences, sequence, {", ".join(steps)} FROM every),
+named AS (SELECT doc_id, n_sentences, sequence, list_filter([{", ".join(f"n{k}" for k in range(len(RULES)))}], lambda x: x IS NOT NULL) AS names FROM ruled)
+SELECT doc_id, n_sentences, sequence, nullif(array_to_string(list_filter(list_transform(range(1, len(names) + 1), lambda k: CASE WHEN list_position(names, names[k]) = k THEN names[k] END), lambda x: x IS NOT NULL), ','), '') AS licenses FROM named
 """
 
 

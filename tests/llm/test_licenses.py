@@ -1,4 +1,4 @@
-from patternlake.llm.licenses import RULES, SENTENCES, scan
+from patternlake.llm.licenses import ORACLE, RULES, SENTENCES, TEXTS, scan
 
 APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
 You may obtain a copy of the License at
@@ -22,9 +22,15 @@ def test_scan(spark):
         (8, "Released under the MIT License! Released under the MIT License."),
         (None, "All rights reserved"),
     ]
-    df = spark.createDataFrame(cases, "doc_id long, text string").selectExpr("*", "1 AS found", "2 AS sequence", "3 AS licenses")
+    df = spark.createDataFrame(cases, "doc_id long, text string").selectExpr("*", "1 AS found", "2 AS sequence", "3 AS licenses", "4 AS id")
     rows = scan(df).collect()
-    assert {(str(r.doc_id), r.sequence, r.licenses) for r in rows} == {("1", "-,M1,", "MIT"), ("2", "A1,A2,A3,-,A4,A5,", "Apache-2.0"), ("3", "G1,-,C1,", "GPL-3.0-only,CC-BY-NC-4.0"), ("4", "M1,", "MIT"), ("5", "-,", None), ("6", "", None), ("7", "", None), ("8", "-,M1,", "MIT"), ("8", "M1,M1,", "MIT"), ("None", "R1,", "all-rights-reserved")}
+    code = {k: SENTENCES[v] for k, v in {"M": "released under the mit license", "G": "this work is licensed under the gnu general public license version 3", "C": "licensed under cc by nc 4 0", "R": "all rights reserved"}.items()}
+    apache = [SENTENCES[x] for x in ("licensed under the apache license version 2 0 the license", "you may not use this file except in compliance with the license", "you may obtain a copy of the license at")]
+    want = {("1", f"-,{code['M']},", "MIT"), ("3", f"{code['G']},-,{code['C']},", "GPL-3.0-only,CC-BY-NC-4.0"), ("4", f"{code['M']},", "MIT"), ("5", "-,", None), ("6", "", None), ("7", "", None), ("8", f"-,{code['M']},", "MIT"), ("8", f"{code['M']},{code['M']},", "MIT"), ("None", f"{code['R']},", "all-rights-reserved")}
+    got = {(str(r.doc_id), r.sequence, r.licenses) for r in rows}
+    assert {x for x in got if x[0] != "2"} == want
+    ((_, sequence, found),) = [x for x in got if x[0] == "2"]
+    assert found == "Apache-2.0" and sequence.startswith(",".join([*apache, "-"])) and len(sequence.split(",")) == 7
     assert {r.doc_id: r.n_sentences for r in rows}[6] == 0
     assert scan(df.filter("false")).collect() == []
 
@@ -45,6 +51,23 @@ BSD = """Redistribution and use in source and binary forms, with or without modi
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."""
 
 
+BSD_NUMBERED = """Copyright (c) 2020, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE."""
+
+
 def test_full_and_wrapped_notices(spark):
     import textwrap
 
@@ -53,13 +76,29 @@ def test_full_and_wrapped_notices(spark):
         "GPL-2.0-or-later": GPL.format(name="Frob", a=";", b=";", v=2),
         "MIT": MIT,
         "BSD": BSD,
+        "BSD-3-Clause": next(t.wording for t in TEXTS if t.license == "BSD-3-Clause"),
+        "Zlib": next(t.wording for t in TEXTS if t.license == "Zlib"),
+        "MPL-2.0": next(t.wording for t in TEXTS if t.license == "MPL-2.0"),
+        "LGPL-2.1-or-later": next(t.wording for t in TEXTS if t.license == "LGPL-2.1-or-later"),
         "Apache-2.0": APACHE,
     }
     cases = []
     for name, text in texts.items():
-        wrapped = "\n\n".join(textwrap.fill(p, 72) for p in text.split("\n\n"))
-        commented = "\n".join(f"# {line}" if line else "" for line in wrapped.split("\n"))
-        cases += [(name, t) for t in (text, wrapped, commented, f"Head\n\n{wrapped}\n\nTail", wrapped.replace("\n", "\r\n"))]
+        for width in range(38, 101, 3):
+            wrapped = "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+            commented = "\n".join(f"# {line}".rstrip() for line in wrapped.split("\n"))
+            starred = "/*\n" + "\n".join(f" * {line}" for line in wrapped.split("\n")) + "\n */\nint main() { return 0; }\n"
+            cases += [(name, t) for t in (wrapped, commented, starred, f"Head\n{wrapped}\n\nTail", wrapped.replace("\n", "\r\n"))]
+        cases.append((name, text))
     cases.append(("None", "It is not free software: you can redistribute\n\nit and/or modify it."))
-    got = scan(spark.createDataFrame(cases, "doc_id string, text string")).select("doc_id", "licenses").collect()
-    assert [(r.doc_id, r.licenses) for r in got if r.doc_id != str(r.licenses)] == []
+    cases += [("BSD-2-Clause,all-rights-reserved", BSD_NUMBERED), ("None", "2.0\n\nversion 3")]
+    df = spark.createDataFrame(cases, "doc_id string, text string")
+    got = scan(df).collect()
+    assert [(r.doc_id, r.licenses, r.sequence) for r in got if r.doc_id != str(r.licenses)][:8] == []
+    # Sequences of more than one sentence decide, and the SQL finds them as well.
+    assert sum(len(r.sequence.split(",")) > 3 for r in got) > len(got) // 2
+    import duckdb
+
+    documents = df.toPandas()  # noqa: F841  DuckDB finds the table by this name
+    want = duckdb.sql(ORACLE.replace("FROM documents", "FROM documents")).fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
