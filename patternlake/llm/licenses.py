@@ -211,12 +211,10 @@ def _oracle() -> str:
     for pattern, new in _steps(OPENINGS):
         plain = f"regexp_replace({plain}, '{pattern}', '{new.replace('$1', chr(92) + '1').replace('$2', chr(92) + '2')}', 'g')"
     trimmed = r"list_filter(list_transform(regexp_split_to_array(plain, ' ?\n? ?\| ?\n? ?'), lambda p: trim(p, ' ' || chr(10))), lambda p: p <> '')"
-    steps, left = [], "',' || sequence"
-    for k, (name, ids) in enumerate(RULES):
-        steps.append(f"CASE WHEN regexp_matches({left}, '{_rule_pattern(ids)}') THEN '{name}' END AS n{k}, regexp_replace({left}, '{_rule_pattern(ids)}', ',*,', 'g') AS l{k}")
-        left = f"l{k}"
+    rules = ", ".join(f"({k}, '{name}', '{_rule_pattern(ids)}')" for k, (name, ids) in enumerate(RULES))
     return f"""
-WITH known(sentence, id) AS (VALUES {known}),
+WITH RECURSIVE known(sentence, id) AS (VALUES {known}),
+rules(k, name, pattern) AS (VALUES {rules}),
 docs AS (SELECT doc_id, row_number() OVER () AS rn, {plain} AS plain FROM documents),
 cut AS (SELECT rn, unnest(found) AS piece, unnest(range(len(found))) AS place FROM (SELECT rn, {trimmed} AS found FROM docs)),
 whole AS (SELECT rn, place, piece, id FROM cut LEFT JOIN known ON regexp_replace(piece, ' ?\\n ?', ' ', 'g') = sentence),
@@ -224,8 +222,10 @@ lines AS (SELECT rn, place, unnest(l) AS line, unnest(range(len(l))) AS pos FROM
 lined AS (SELECT rn, place, string_agg(coalesce(id, '-'), ',' ORDER BY pos) AS ids FROM lines LEFT JOIN known ON line = sentence GROUP BY rn, place),
 coded AS (SELECT w.rn, count(*) AS n, regexp_replace(string_agg(coalesce(id, ids, '-') || ',', '' ORDER BY w.place), '(-,)+', '-,', 'g') AS seq FROM whole w LEFT JOIN lined l ON w.rn = l.rn AND w.place = l.place GROUP BY w.rn),
 every AS (SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(seq, '') AS sequence FROM docs d LEFT JOIN coded c ON d.rn = c.rn),
-ruled AS (SELECT doc_id, n_sentences, sequence, {", ".join(steps)} FROM every),
-named AS (SELECT doc_id, n_sentences, sequence, list_filter([{", ".join(f"n{k}" for k in range(len(RULES)))}], lambda x: x IS NOT NULL) AS names FROM ruled)
+walk(sequence, k, rest, names) AS (
+  SELECT DISTINCT sequence, 0, ',' || sequence, []::VARCHAR[] FROM every WHERE sequence NOT IN ('', '-,')
+  UNION ALL SELECT sequence, w.k + 1, regexp_replace(rest, pattern, ',*,', 'g'), CASE WHEN regexp_matches(rest, pattern) THEN list_append(names, name) ELSE names END FROM walk w JOIN rules r ON r.k = w.k),
+named AS (SELECT doc_id, n_sentences, e.sequence, coalesce(names, []) AS names FROM every e LEFT JOIN walk w ON e.sequence = w.sequence AND w.k = {len(RULES)})
 SELECT doc_id, n_sentences, sequence, nullif(array_to_string(list_filter(list_transform(range(1, len(names) + 1), lambda k: CASE WHEN list_position(names, names[k]) = k THEN names[k] END), lambda x: x IS NOT NULL), ','), '') AS licenses FROM named
 """
 
