@@ -16,9 +16,12 @@ A byte goes if a ``length``-byte window over it also starts anywhere else in the
    Kasai's rule, run along all variants at once, and marks windows whose common prefix
    with a neighbour reaches ``length``.
 4. *Merging.*  An anchor hash with more bytes than a shard holds is split over several.
-   Each then emits its distinct windows of that hash as sorted 128-bit keys, cut into key
-   ranges, and a range merges its runs pairwise by binary search.  Work stays linear in the
-   bytes, up to logarithms.
+   Each then emits its distinct windows of that hash as sorted 128-bit keys, cut into
+   ``_FAN`` key ranges.  A task merges one range of up to ``_FAN`` shards pairwise by binary
+   search, keeps one of equal windows and cuts what is left into ``_FAN`` finer ranges, and
+   so on up a tree until all shards of the hash have met.  Each level has ``_FAN`` rows per
+   shard and tasks of one shard's size, so work and rows are linear in the bytes, up to the
+   tree's height.
 5. *Texts.*  Marked windows return to their texts, merge into maximal runs and are cut out.
 
 Texts are keyed by 128 bits of their SHA-256, variants by the 64-bit anchor hash together
@@ -47,6 +50,8 @@ from patternlake.plans.lineage import cut
 _GRAM = 32
 _SHARD_BYTES = 1 << 20
 _SPLIT_BYTES = 2 << 20
+_FAN_BITS = 6
+_FAN = 1 << _FAN_BITS
 _SLICE_BYTES = 512 << 10
 _CHUNK = 1 << 19
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -229,8 +234,24 @@ def marked_windows(segments: list[bytes], counts: np.ndarray, length: int) -> tu
     return windows, group[windows], mark[windows]
 
 
-_FOUND = "h long, s long, a int, b int, piece int, keys binary, refs binary"
-_ARROW_FOUND = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("piece", pa.int32()), ("keys", pa.binary()), ("refs", pa.binary())])
+#: Marked windows (s, a, b), or a run of sorted windows of a split hash (family, piece, keys, refs).
+_FOUND = "h long, s long, a int, b int, family int, piece long, keys binary, refs binary"
+_ARROW_FOUND = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("family", pa.int32()), ("piece", pa.int64()), ("keys", pa.binary()), ("refs", pa.binary())])
+
+
+def _found(columns: list[list]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW_FOUND, strict=True)], schema=_ARROW_FOUND)
+
+
+def _ranges(out: list[list], h: int, member: int, piece: int, level: int, keys: np.ndarray, refs: np.ndarray) -> None:
+    """Add the ``_FAN`` ranges of a sorted run to ``out``: those of the level's bits of the keys' first halves."""
+    part = keys[:, 0] >> np.uint64(64 - _FAN_BITS * level) & np.uint64(_FAN - 1)
+    edges = np.searchsorted(part, np.arange(_FAN + 1).astype(np.uint64))
+    for p in range(_FAN):
+        a, b = int(edges[p]), int(edges[p + 1])
+        if b > a:
+            for column, value in zip(out, (h, None, None, None, member >> _FAN_BITS, piece << _FAN_BITS | p, keys[a:b].tobytes(), refs[a:b].tobytes()), strict=True):
+                column.append(value)
 
 
 def _intervals(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,25 +263,26 @@ def _shard(length: int):
     """The work of one shard: marked intervals of its variants, and sorted runs of split hashes."""
 
     def work(rows: pa.Table) -> pa.Table:
-        rows = rows.select(["h", "s", "parts", "windows", "segment"])
+        rows = rows.select(["h", "s", "parts", "part", "windows", "segment"])
         seen: set[tuple[int, int]] = set()
-        h, s, parts, counts, segments = [], [], [], [], []
+        h, s, parts, part, counts, segments = [], [], [], [], [], []
         for r in rows.to_pylist():
             if (r["h"], r["s"]) not in seen:
                 seen.add((r["h"], r["s"]))
                 h.append(r["h"])
                 s.append(r["s"])
                 parts.append(r["parts"])
+                part.append(r["part"])
                 counts.append(r["windows"])
                 segments.append(r["segment"])
         counts_a = np.array(counts, np.int64)
         windows, group, mark = marked_windows(segments, counts_a, length)
         ends = np.cumsum(counts_a)
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in _ARROW_FOUND]
         split: dict[int, list[int]] = {}
         for i, end in enumerate(ends.tolist()):
             for a, b in zip(*(x.tolist() for x in _intervals(mark[end - counts[i] : end])), strict=True):
-                for column, value in zip(out, (h[i], s[i], a, b, None, None, None), strict=True):
+                for column, value in zip(out, (h[i], s[i], a, b, None, None, None, None), strict=True):
                     column.append(value)
             if parts[i] > 1:
                 split.setdefault(h[i], []).append(i)
@@ -273,14 +295,9 @@ def _shard(length: int):
             keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(whole[at[k]][number[k] : number[k] + length]) for k in first.tolist()), ">u8").astype(np.uint64).reshape(-1, 2)
             by = np.lexsort((keys[:, 1], keys[:, 0]))
             keys, first = keys[by], first[by]
-            pieces = parts[members[0]]
-            cuts = np.searchsorted(keys[:, 0], np.array([(p << 64) // pieces for p in range(1, pieces)], np.uint64)) if pieces > 1 else []
-            refs = np.stack([owner[first], number[first]], axis=1).astype(np.int64)
-            for p, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(keys)], strict=True)):
-                if b > a:
-                    for column, value in zip(out, (hot, None, None, None, p, keys[a:b].tobytes(), refs[a:b].tobytes()), strict=True):
-                        column.append(value)
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, _ARROW_FOUND, strict=True)], schema=_ARROW_FOUND)
+            refs = np.stack([owner[first], number[first], np.zeros(len(first), np.int64)], axis=1).astype(np.int64)
+            _ranges(out, hot, min(part[i] for i in members), 0, 1, keys, refs)
+        return _found(out)
 
     return work
 
@@ -312,12 +329,27 @@ def merge_sorted(runs_: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tupl
     return runs_[0]
 
 
-def _merge(rows: pa.Table) -> pa.Table:
-    """Windows of one key range of a split hash that another shard holds as well."""
-    found = [(np.frombuffer(k, np.uint64).reshape(-1, 2), np.frombuffer(r, np.int64).reshape(-1, 2)) for k, r in zip(rows.column("keys").to_pylist(), rows.column("refs").to_pylist(), strict=True)]
-    _, refs, marks = merge_sorted([(k, r, np.zeros(len(k), bool)) for k, r in found])
-    refs, h = refs[marks], rows.column("h")[0].as_py()
-    return pa.table({"h": pa.array([h] * len(refs), pa.int64()), "s": pa.array(refs[:, 0]), "a": pa.array(refs[:, 1].astype(np.int32)), "b": pa.array(refs[:, 1].astype(np.int32))})
+def _merge(level: int, last: bool):
+    """The work of one range of the shards of a family: windows that two of them hold, and the run for the next level.
+
+    The third number of a reference tells windows that are marked already.
+    """
+
+    def work(rows: pa.Table) -> pa.Table:
+        runs_ = [(np.frombuffer(k, np.uint64).reshape(-1, 2), np.frombuffer(r, np.int64).reshape(-1, 3)) for k, r in zip(rows.column("keys").to_pylist(), rows.column("refs").to_pylist(), strict=True)]
+        keys, refs, marks = merge_sorted([(k, r, np.zeros(len(k), bool)) for k, r in runs_])
+        h, family, piece = (rows.column(c)[0].as_py() for c in ("h", "family", "piece"))
+        new = refs[marks & (refs[:, 2] == 0)]
+        out = [[h] * len(new), new[:, 0].tolist(), new[:, 1].tolist(), new[:, 1].tolist(), *([None] * len(new) for _ in range(4))]
+        if not last:
+            by = np.lexsort((keys[:, 1], keys[:, 0]))
+            keys, refs, marks = keys[by], refs[by].copy(), marks[by]
+            refs[:, 2] |= marks
+            first = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])
+            _ranges(out, h, family, piece, level + 1, keys[first], refs[first])
+        return _found(out)
+
+    return work
 
 
 # ---------------------------------------------------------------- plan
@@ -327,7 +359,7 @@ def _segments(df: DataFrame, length: int) -> DataFrame:
     """The bytes of each wanted run, from texts with lists of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard", "h", "s", "parts", "windows", "segment"]
+        names = ["shard", "h", "s", "parts", "part", "windows", "segment"]
         for batch in batches:
             for part in slices(batch, "raw", _SLICE_BYTES):
                 columns: list[list] = [[] for _ in names]
@@ -335,12 +367,12 @@ def _segments(df: DataFrame, length: int) -> DataFrame:
                     for w in wanted:
                         packed = w["packed"]
                         lo, windows = (packed >> 20) - (packed >> 10 & 1023), (packed & 1023) + 1
-                        for column, x in zip(columns, (w["shard"], w["h"], w["s"], w["parts"], windows, value[lo : lo + windows - 1 + length]), strict=True):
+                        for column, x in zip(columns, (w["shard"], w["h"], w["s"], w["parts"], w["part"], windows, value[lo : lo + windows - 1 + length]), strict=True):
                             column.append(x)
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    return df.mapInArrow(run, "shard long, h long, s long, parts int, windows int, segment binary")
+    return df.mapInArrow(run, "shard long, h long, s long, parts int, part int, windows int, segment binary")
 
 
 def _spans(df: DataFrame, length: int) -> DataFrame:
@@ -370,7 +402,7 @@ def _without(df: DataFrame, with_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "raw", _SLICE_BYTES):
-                digests, kept = [], []
+                digests, chars, kept = [], [], []
                 for value, spans in zip(part.column("raw").to_pylist(), part.column("spans").to_pylist(), strict=True):
                     at, pieces = 0, []
                     for a, b in spans or ():
@@ -378,15 +410,16 @@ def _without(df: DataFrame, with_text: bool) -> DataFrame:
                         at = b
                     rest = b"".join([*pieces, value[at:]])
                     digests.append(hashlib.sha256(rest).hexdigest())
+                    chars.append(len(rest.decode("utf-8", "ignore")))
                     kept.append(rest)
-                columns = [*(part.column(c) for c in ("id", "n_bytes", "n_removed", "n_spans")), pa.array(digests, pa.string())]
-                names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                columns = [*(part.column(c) for c in ("id", "n_bytes", "n_removed", "n_spans")), pa.array(digests, pa.string()), pa.array(chars, pa.int64())]
+                names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_chars"]
                 if with_text:
                     columns.append(pa.array(kept, pa.binary()))
                     names.append("kept")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.select("id", "n_bytes", "n_removed", "n_spans", "raw", "spans").mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
+    return df.select("id", "n_bytes", "n_removed", "n_spans", "raw", "spans").mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_chars long" + (", kept binary" if with_text else ""))
 
 
 def repeats(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
@@ -402,30 +435,41 @@ def repeats(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     shards = total // _SHARD_BYTES + 1
     parts = F.ceil(F.col("bytes") / _SPLIT_BYTES).cast("int")
     needed = variants.join(groups.select("h", parts.alias("parts")), "h")
-    shard = F.pmod(F.xxhash64("h", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("s"), F.col("parts")))), F.lit(shards))
-    wanted = needed.select("rep.k1", "rep.k2", F.struct("h", "s", "parts", "rep.packed", shard.alias("shard")).alias("w")).groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted"))
+    needed = needed.withColumn("part", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int"))
+    shard = F.pmod(F.xxhash64("h", F.when(F.col("parts") > 1, F.col("part"))), F.lit(shards))
+    wanted = needed.select("rep.k1", "rep.k2", F.struct("h", "s", "parts", "part", "rep.packed", shard.alias("shard")).alias("w")).groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted"))
     owners = rows.groupBy("k1", "k2").agg(F.min("id").alias("id"))
     wanted = cut(wanted.join(owners, ["k1", "k2"]))
     w = wanted.select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), F.col("id").alias("w_id"), "wanted")
     segments = _segments(texts.join(w, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")) & F.col("id").eqNullSafe(F.col("w_id"))).select("raw", "wanted"), length)
     found = cut(segments.groupBy("shard").applyInArrow(_shard(length), _FOUND))
-    merged = found.filter("keys IS NOT NULL").select("h", "piece", "keys", "refs").groupBy("h", "piece").applyInArrow(_merge, "h long, s long, a int, b int")
+    pairs = found.filter("keys IS NULL").select("h", "s", "a", "b")
+    most, level = groups.agg(F.max(parts)).first()[0] or 1, 1
+    while most > 1:  # all shards of a hash have met when one family is left
+        most = -(-most // _FAN)
+        found = cut(found.filter("keys IS NOT NULL").groupBy("h", "family", "piece").applyInArrow(_merge(level, most == 1), _FOUND))
+        pairs = pairs.unionByName(found.filter("keys IS NULL").select("h", "s", "a", "b"))
+        level += 1
     repeated = variants.filter("n > 1").select("h", "s", F.lit(0).alias("a"), (windows - 1).cast("int").alias("b"))
-    marked = cut(repeated.unionByName(found.filter("keys IS NULL").select("h", "s", "a", "b")).unionByName(merged))
+    marked = cut(repeated.unionByName(pairs))
     first = F.shiftright("packed", 20) - F.shiftright("packed", 10).bitwiseAND(1023)
     back = live.join(marked, ["h", "s"]).select("k1", "k2", F.struct((first + F.col("a")).alias("a"), (first + F.col("b")).alias("b")).alias("m"))
     return cut(_spans(back.groupBy("k1", "k2").agg(F.collect_set("m").alias("marked")), length))
 
 
 def remove_repeats(df: DataFrame, *, length: int = 400, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """``id_col``, n_bytes, n_removed, n_spans, kept_sha256 and, on request, kept (the bytes left)."""
+    """``id_col``, n_bytes, n_removed, n_spans, kept_sha256, kept_chars and, on request, kept (the bytes left).
+
+    ``kept_chars`` counts the whole characters among the bytes left.
+    """
     if not _GRAM < length <= 1023:
         raise ValueError(f"length must be above {_GRAM} and below 1024")
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     sha = F.sha2(raw, 256)
     half = [F.conv(F.substring("sha", at, 16), 16, -10).cast("long").alias(k) for at, k in ((1, "k1"), (17, "k2"))]
-    texts = df.select(F.col(id_col).alias("id"), raw.alias("raw"), sha.alias("sha")).select("id", "raw", "sha", *half)
-    rows = cut(texts.select("id", F.octet_length("raw").cast("long").alias("n_bytes"), "sha", "k1", "k2"))
+    chars = F.coalesce(F.length(F.col(text_col)), F.lit(0)).cast("long")
+    texts = df.select(F.col(id_col).alias("id"), raw.alias("raw"), sha.alias("sha"), chars.alias("kept_chars")).select("id", "raw", "sha", "kept_chars", *half)
+    rows = cut(texts.select("id", F.octet_length("raw").cast("long").alias("n_bytes"), "kept_chars", "sha", "k1", "k2"))
     spans = repeats(rows, texts, length)
     judged = cut(rows.join(spans, ["k1", "k2"], "left"))
     judged = judged.withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("long"))).withColumn("n_spans", F.coalesce(F.size("spans"), F.lit(0)).cast("long"))
@@ -438,7 +482,7 @@ def remove_repeats(df: DataFrame, *, length: int = 400, id_col: str = "doc_id",
     if with_text:
         return cut_out.withColumnRenamed("id", id_col)
     rest = judged.filter("n_removed = 0 OR n_removed = n_bytes")
-    rest = rest.select("id", "n_bytes", "n_removed", "n_spans", F.when(F.col("n_removed") > 0, F.lit(_EMPTY)).otherwise(F.col("sha")).alias("kept_sha256"))
+    rest = rest.select("id", "n_bytes", "n_removed", "n_spans", F.when(F.col("n_removed") > 0, F.lit(_EMPTY)).otherwise(F.col("sha")).alias("kept_sha256"), F.when(F.col("n_removed") > 0, 0).otherwise(F.col("kept_chars")).cast("long").alias("kept_chars"))
     return rest.unionByName(cut_out).withColumnRenamed("id", id_col)
 
 

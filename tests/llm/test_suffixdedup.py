@@ -21,7 +21,7 @@ def plain(docs, length):
                 gone[p : p + length] = 1
         spans = int((np.diff(np.concatenate([[0], gone])) == 1).sum())
         kept = bytes(np.frombuffer(b, np.uint8)[gone[:-1] == 0])
-        out.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+        out.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), len(kept.decode("utf-8", "ignore"))))
     return sorted(out, key=str)
 
 
@@ -64,11 +64,13 @@ def corpus():
     return docs + [(40, one + "k"), (41, one + "k"), (42, one + "m"), (43, text(500) * 3)]
 
 
-@pytest.mark.parametrize("split", [4 << 20, 3000])
-def test_against_brute_force(spark, monkeypatch, split):
+@pytest.mark.parametrize("split,fan_bits", [(4 << 20, 6), (3000, 6), (1500, 1)])
+def test_against_brute_force(spark, monkeypatch, split, fan_bits):
+    monkeypatch.setattr(suffixdedup, "_FAN_BITS", fan_bits)
+    monkeypatch.setattr(suffixdedup, "_FAN", 1 << fan_bits)
     monkeypatch.setattr(suffixdedup, "_SPLIT_BYTES", split)
     monkeypatch.setattr(suffixdedup, "_SHARD_BYTES", 2 * split)
-    monkeypatch.setattr(suffixdedup, "_CHUNK", 1 << 11 if split == 3000 else 1 << 19)
+    monkeypatch.setattr(suffixdedup, "_CHUNK", 1 << 11 if split < 4 << 20 else 1 << 19)
     docs = corpus()
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS h", "2 AS id", "3 AS raw")
     got = sorted((tuple(r) for r in remove_repeats(df).collect()), key=str)
@@ -88,3 +90,25 @@ def test_text_and_empty(spark):
     assert remove_repeats(df.filter("false")).collect() == []
     with pytest.raises(ValueError):
         remove_repeats(df, length=20)
+
+
+def test_hot_anchor_meets_in_a_tree(spark, monkeypatch):
+    """One passage in ever other contexts: many shards of one hash, merged over several levels."""
+    rows = []
+    whole = suffixdedup._merge
+
+    def counted(level, last):
+        rows.append((level, last))
+        return whole(level, last)
+
+    monkeypatch.setattr(suffixdedup, "_merge", counted)
+    for name, value in {"_FAN_BITS": 1, "_FAN": 2, "_SPLIT_BYTES": 4000, "_SHARD_BYTES": 4000}.items():
+        monkeypatch.setattr(suffixdedup, name, value)
+    rnd = random.Random(4)
+    text = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    passage = text(390)
+    docs = [(i, text(60) + passage + text(60)) for i in range(60)]
+    docs += [(100 + i, docs[i][1][30:500] + "!" + text(20)) for i in range(0, 60, 7)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted((tuple(r) for r in remove_repeats(df).collect()), key=str) == plain(docs, 400)
+    assert len(rows) > 2 and rows[-1][1] and [k for k, _ in rows] == list(range(1, len(rows) + 1))
