@@ -23,9 +23,10 @@ shingles of either, under any fixed order of all shingles (frequent ones come la
 says which, and decides how much work there is, never what is found).  Within the blocks
 fingerprints of 256 bits are compared bit-sliced as above.  At the similarity they differ in
 39 bits on average; ``_WIDE_RADIUS`` is seven deviations above, so that fingerprints lose a link with
-a chance below 1e-11.  What is left is compared exactly, on the sets.  The first round takes the
-smallest neighbour in reach of each text in a block, the second all pairs of components that
-still meet in a block.
+a chance below 1e-11.  Blocks give stars, and components of stars hold all links.  The set of each
+text goes once to its component (or to each pair of chunks of a large one), where pairs within
+the radius are compared exactly, on the sets, unless links found before join them; stars of the
+exact links leave it.  So no pair is ever a row.
 
 Defined results: null and blank texts have fingerprint zero and link like any other, and to
 ``near_copies`` they are copies of one another; texts of fewer words than a shingle are one
@@ -110,16 +111,16 @@ def _beyond(counter: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndar
     return above
 
 
-def close_pairs(keys: np.ndarray, fps: np.ndarray, radius: int, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(keys: np.ndarray, fps: np.ndarray, radius: int, groups: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j), i < j, of fingerprints within ``radius`` bits among rows of equal key.
 
-    ``keys`` must be sorted; ``fps`` has a row of one or more words for each.  With ``groups``,
-    rows of one group aren't compared.  Rows of short runs drop out as the distance between
-    the compared neighbours grows.
+    ``keys`` must be sorted; ``fps`` has a row of one or more words for each.  Pairs come by the
+    distance between their places.  Rows of one of ``groups`` aren't compared, and the groups
+    may change between pairs, so whoever joins what is found is spared most of the others.
+    Rows of short runs drop out as the distance grows.
     """
     fps = fps.reshape(len(keys), -1)
     n_bits = BITS * fps.shape[1]
-    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     rows = np.arange(len(keys))
     step, width = 1, max(1, int(radius).bit_length())
     while len(rows):
@@ -130,7 +131,6 @@ def close_pairs(keys: np.ndarray, fps: np.ndarray, radius: int, groups: np.ndarr
             break
         n, words = len(rows), -(-len(rows) // 64)
         key = keys[rows]
-        group = None if groups is None else groups[rows]
         bits = np.unpackbits(np.ascontiguousarray(fps[rows]).view(np.uint8).reshape(n, -1), axis=1, bitorder="little").T
         # Room for a shift by up to twice the step.
         planes = np.zeros((n_bits, 8 * (words + 2 * step // 64 + 2)), np.uint8)
@@ -141,7 +141,8 @@ def close_pairs(keys: np.ndarray, fps: np.ndarray, radius: int, groups: np.ndarr
                 break
             same = np.zeros(8 * words, np.uint8)
             wanted = key[k:] == key[:-k]
-            if group is not None:
+            if groups is not None:
+                group = groups[rows]
                 wanted &= group[k:] != group[:-k]
             packed = np.packbits(wanted, bitorder="little")
             same[: len(packed)] = packed
@@ -176,24 +177,36 @@ def close_pairs(keys: np.ndarray, fps: np.ndarray, radius: int, groups: np.ndarr
                 lane = np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 word, bit = np.nonzero(lane)
                 i = active[word] * 64 + bit
-                found_i.append(rows[i])
-                found_j.append(rows[i + k])
+                yield rows[i], rows[i + k]
         step *= 2
-    return np.concatenate(found_i), np.concatenate(found_j)
 
 
-def star(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest linked position of each of ``n`` positions."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+def join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Link positions ``i`` and ``j``: ``label`` keeps the smallest linked position of each."""
+    while len(i):
+        a, b = label[i], label[j]
+        if (a == b).all():
+            return
+        least = np.arange(len(label))
+        np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))
+        while (least != (jumped := least[least])).any():
+            least = jumped
+        label[:] = least[label]
+
+
+def linked(keys: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
+    """The smallest position that each row is linked with, within rows of equal key."""
+    label = np.arange(len(keys))
+    for i, j in close_pairs(keys, fps, radius, label):
+        join(label, i, j)
+    return label
+
+
+def _stars(label: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """(u, v) from each linked row to the smallest position of its links."""
+    rows = np.flatnonzero(label != np.arange(len(label)))
+    pairs = np.unique(np.stack([node[rows], node[label[rows]]], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
 
 
 def _choices(n: int, radius: int) -> list[int]:
@@ -243,11 +256,11 @@ def _buckets(nodes: DataFrame, masks: list[int], radius: int) -> DataFrame:
     return _blocks(rows if done is None else done.unionByName(rows), "fp")
 
 
-def _blocks(rows: DataFrame, node: str) -> DataFrame:
-    """``rows`` with their blocks: a key's rows together, or those of each pair of its chunks."""
-    rows = cut(rows)
-    hot = rows.groupBy("key").count().filter(F.col("count") > 2 * _BUCKET)
-    hot = cut(hot.select("key", F.ceil(F.col("count") / _BUCKET).alias("chunks")))
+def _blocks(rows: DataFrame, node: str, most: int | None = None) -> DataFrame:
+    """``rows`` with their blocks: a key's rows together, or those of each pair of its chunks of ``most``."""
+    rows, most = cut(rows), most or _BUCKET
+    hot = rows.groupBy("key").count().filter(F.col("count") > 2 * most)
+    hot = cut(hot.select("key", F.ceil(F.col("count") / most).alias("chunks")))
     if hot.isEmpty():
         return rows.withColumn("block", F.col("key"))
     chunk = F.pmod(F.xxhash64(node), F.col("chunks"))
@@ -261,7 +274,7 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[lis
     """Columns of some ``limit`` rows at a time; the first is the sorted block, which is never torn."""
     held: list[np.ndarray] = []
     for batch in batches:
-        new = [c.to_numpy() for c in batch.columns]
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         held = [np.concatenate(p) for p in zip(held, new, strict=True)] if held else new
         if len(held[0]) >= limit and held[0][0] != held[0][-1]:
             at = int(np.searchsorted(held[0], held[0][-1]))  # the last block may go on
@@ -278,10 +291,7 @@ def links(nodes: DataFrame, *, radius: int = 4) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blocks, fps in _whole_blocks(batches, _CHUNK):
-            label = star(len(fps), *close_pairs(blocks, fps, radius))
-            rows = np.flatnonzero(label != np.arange(len(fps)))
-            pairs = np.unique(np.stack([fps[rows], fps[label[rows]]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+            yield _stars(linked(blocks, fps, radius), fps)
 
     rows = _buckets(nodes, masks, radius).select("block", "fp")
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "u long, v long")
@@ -326,22 +336,16 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
 
 
-def _sets(df: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) of each text; ``df``: text."""
+def _frequent(df: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles that many sampled texts hold, rarest first: ``_MOST_FREQUENT`` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", _SLICE_BYTES):
-                found = [_set(t, shingle) for t in utf8(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([pa.array([_node(f) for f in found], pa.int64()), _lists(found)], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([_lists([_set(t, shingle) for t in utf8(part.column("text"))])], names=["keys"])
 
-    return df.select("text").mapInArrow(run, "node long, shingles array<long>")
-
-
-def _frequent(df: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles that many sampled texts hold, rarest first: ``_MOST_FREQUENT`` at most."""
-    sample = _sets(df.filter(F.pmod(F.xxhash64("id", "text"), F.lit(_SAMPLE)) == 0), shingle)
-    counts = sample.select(F.explode("shingles").alias("key")).groupBy("key").count().filter(F.col("count") >= _FREQUENT)
+    sample = df.filter(F.pmod(F.xxhash64("id", "doc"), F.lit(_SAMPLE)) == 0).select("text").mapInArrow(run, "keys array<long>")
+    counts = sample.select(F.explode("keys").alias("key")).groupBy("key").count().filter(F.col("count") >= _FREQUENT)
     top = counts.orderBy(F.desc("count"), "key").limit(_MOST_FREQUENT).collect()
     return np.array([r.key for r in reversed(top)], np.int64)
 
@@ -350,7 +354,7 @@ _WORDS = [f"s{w}" for w in range(_WIDE)]
 
 
 def _profiles(df: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
-    """(id, node, n, fingerprint words, keys): a text's set by its hash and size, and the first shingles."""
+    """(id, doc, node, n, fingerprint words, keys): a text's set by its hash and size, and the first shingles."""
     frequent = _frequent(df, shingle)
     by_value = np.argsort(frequent)
     known = frequent[by_value]
@@ -372,68 +376,86 @@ def _profiles(df: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataF
                         found = found[np.argsort(rank, kind="stable")]
                     keys.append(found[: n + (-a * n // b) + 1 if n else 0])
                 words = np.array(wide, np.int64).reshape(-1, _WIDE)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(words[:, w].copy()) for w in range(_WIDE)], _lists(keys)], names=["id", "node", "n", *_WORDS, "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("doc"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(words[:, w].copy()) for w in range(_WIDE)], _lists(keys)], names=["id", "doc", "node", "n", *_WORDS, "keys"])
 
-    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, node long, n long, {', '.join(f'{w} long' for w in _WORDS)}, keys array<long>")
+    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, doc long, node long, n long, {', '.join(f'{w} long' for w in _WORDS)}, keys array<long>")
 
 
-def _candidates(met: DataFrame, nodes: DataFrame, similarity: tuple[int, int], *, roots: bool) -> DataFrame:
-    """(u, v), v < u: pairs of nodes of a block within ``_WIDE_RADIUS`` whose sizes allow the similarity.
+def _similar(a: np.ndarray, b: np.ndarray, similarity: tuple[int, int]) -> bool:
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return sum(similarity) * int((both[1:] == both[:-1]).sum()) >= similarity[0] * len(both)
 
-    With ``roots`` all pairs of different roots, else the smallest v of each u and block.
-    """
+
+def _confirmed(blocks: np.ndarray, sizes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], similarity: tuple[int, int]) -> np.ndarray:
+    """Like ``linked``, by the exact similarity of the sets."""
     a, b = similarity
-    rows = _blocks(met.join(nodes.select("node", "n", *_WORDS), "node"), "node")
-    rows = rows.select("block", "node", "n", *_WORDS, *["root"] * roots)
+    label = np.arange(len(blocks))
+    for i, j in close_pairs(blocks, fps, _WIDE_RADIUS, label):
+        fits = b * np.minimum(sizes[i], sizes[j]) >= a * np.maximum(sizes[i], sizes[j])
+        fits[fits] = [_similar(sets[x], sets[y], similarity) for x, y in zip(i[fits].tolist(), j[fits].tolist(), strict=True)]
+        join(label, i[fits], j[fits])
+    return label
+
+
+def _candidates(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v): stars of nodes that meet in a block within ``_WIDE_RADIUS``."""
+    rows = _blocks(met.join(nodes.select("node", *_WORDS), "node"), "node").select("block", "node", *_WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blocks, node, n, *words in _whole_blocks(batches, _CHUNK // _WIDE):
-            i, j = close_pairs(blocks, np.stack(words[:_WIDE], axis=1), _WIDE_RADIUS, words[-1] if roots else node)
-            fits = b * np.minimum(n[i], n[j]) >= a * np.maximum(n[i], n[j])
-            i, j = i[fits], j[fits]
-            if not roots:
-                by = np.lexsort((i, j))
-                i, j = i[by], j[by]
-                first = np.concatenate([[True], j[1:] != j[:-1]])[: len(j)]
-                i, j = i[first], j[first]
-            pairs = np.unique(np.stack([node[j], node[i]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+        for blocks, node, *words in _whole_blocks(batches, _CHUNK // _WIDE):
+            yield _stars(linked(blocks, np.stack(words, axis=1), _WIDE_RADIUS), node)
 
     return cut(rows.repartition("block").sortWithinPartitions("block", "node").mapInArrow(run, "u long, v long").distinct())
 
 
-def _verified(pairs: DataFrame, df: DataFrame, nodes: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (u, v) of nodes whose sets are similar enough."""
-    a, b = similarity
-    wanted = cut(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct())
-    ids = cut(nodes.join(wanted, "node", "left_semi").select(F.col("first").alias("w_id")).distinct())
-    texts = df.join(broadcast_if_small(ids), F.col("id").eqNullSafe(F.col("w_id")), "left_semi")
-    # Rows with equal ids: only the text of the node counts, and only once.
-    sets = cut(_sets(texts, shingle).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("u_set")), "u")
-    both = both.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("v_set")), "v")
-    common = F.size(F.array_intersect("u_set", "v_set"))
-    return cut(both.filter((a + b) * common >= a * (F.size("u_set") + F.size("v_set"))).select("u", "v"))
+def _exact_links(roots: DataFrame, df: DataFrame, nodes: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """(u, v): stars of the nodes of each component (node, root) whose sets are similar enough."""
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    blocks = _blocks(members.select(F.col("root").alias("key"), "node"), "node", most=_BUCKET // 2)
+    wanted = blocks.groupBy("node").agg(F.collect_list("block").alias("blocks"))
+    wanted = cut(wanted.join(nodes.select("node", F.col("doc").alias("w_doc")), "node"))
+    texts = df.join(broadcast_if_small(wanted), F.col("doc") == F.col("w_doc")).select("text", "node", "blocks")
+    schema = f"block long, node long, {', '.join(f'{w} long' for w in _WORDS)}, shingles binary"
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # repeated texts: once per task
+        for batch in batches:
+            for part in slices(batch, "text", _SLICE_BYTES):
+                columns: list[list] = [[] for _ in range(3 + _WIDE)]
+                for text, node, own in zip(utf8(part.column("text")), part.column("node").to_pylist(), part.column("blocks").to_pylist(), strict=True):
+                    if node in seen:
+                        continue
+                    found = _set(text, shingle)
+                    if _node(found) != node:
+                        continue  # another text of equal hash
+                    seen.add(node)
+                    values = [node, *wide_fingerprint(found.view(np.uint64)).tolist(), found.tobytes()]
+                    for block in own:
+                        for column, value in zip(columns, [block, *values], strict=True):
+                            column.append(value)
+                types = [pa.int64()] * (2 + _WIDE) + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["block", "node", *_WORDS, "shingles"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, node, *words, data in _whole_blocks(batches, 4 * _BUCKET):
+            found = [np.frombuffer(d, np.int64) for d in data]
+            yield _stars(_confirmed(block, np.array([len(f) for f in found]), np.stack(words, axis=1), found, similarity), node)
+
+    rows = texts.mapInArrow(sets, schema)
+    return cut(rows.repartition("block").sortWithinPartitions("block", "node").mapInArrow(verify, "u long, v long").distinct())
 
 
 def near_copies(df: DataFrame, *, shingle: int = 5, similarity: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and component_id of every row, for links between texts of ``similarity`` (a fraction) or more."""
-    df = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    df = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("doc"), F.col(text_col).alias("text"))
     profiles = cut(_profiles(df, shingle, similarity))
-    nodes = cut(profiles.groupBy("node").agg(F.min("id").alias("first"), *[F.min(c).alias(c) for c in ("n", *_WORDS)]))
+    nodes = cut(profiles.groupBy("node").agg(F.min("id").alias("first"), *[F.min(c).alias(c) for c in ("doc", *_WORDS)]))
     places = profiles.select("node", F.explode("keys").alias("key"))
     shared = cut(places.groupBy("key").count().filter("count > 1").select("key"))
-    met = cut(places.join(shared, "key", "left_semi").distinct())
-    first = _candidates(met, nodes, similarity, roots=False)
-    links = _verified(first, df, nodes, shingle, similarity)
-
-    roots = components(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    met = cut(met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    open_ = met.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-    met = cut(met.join(cut(open_), "key", "left_semi"))
-    across = cut(_candidates(met, nodes, similarity, roots=True).join(first, ["u", "v"], "left_anti"))
-    links = links.unionByName(_verified(across, df, nodes, shingle, similarity))
-
+    met = places.join(shared, "key", "left_semi").distinct()
+    roots = components(_candidates(met, nodes)).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    links = _exact_links(roots, df, nodes, shingle, similarity)
     roots = components(links).withColumnRenamed("u", "node")
     member = cut(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("v", "node").alias("root")))
     least = cut(member.groupBy("root").agg(F.min("first").alias("component_id")))

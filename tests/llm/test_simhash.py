@@ -43,7 +43,7 @@ def test_close_pairs_match_brute_force():
     fps = np.concatenate([base] + [base ^ (np.int64(1) << rnd.integers(0, 62, 40)) ^ (np.int64(1) << rnd.integers(0, 62, 40)) ^ np.int64(x) for x in (0, 3, 7, 15)])
     keys = np.sort(rnd.integers(0, 3, len(fps)))
     for radius in (1, 3, 4, 6):
-        i, j = close_pairs(keys, fps, radius)
+        i, j = map(np.concatenate, zip(*close_pairs(keys, fps, radius), strict=True))
         want = {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if keys[a] == keys[b] and (int(fps[a]) ^ int(fps[b])).bit_count() <= radius}
         got = list(zip(i.tolist(), j.tolist(), strict=True))
         assert set(got) == want and len(got) == len(want)
@@ -102,6 +102,23 @@ def test_wide_close_pairs_match_brute_force():
     keys, groups = np.sort(rnd.integers(0, 3, 60)), rnd.integers(0, 4, 60)
     far = lambda a, b: sum((int(x) ^ int(y)).bit_count() for x, y in zip(fps[a], fps[b], strict=True))
     for radius in (25, 32, 80, 120):
-        i, j = close_pairs(keys, fps, radius, groups)
+        i, j = map(np.concatenate, zip((np.zeros(0, int),) * 2, *close_pairs(keys, fps, radius, groups), strict=True))
         want = {(a, b) for a in range(60) for b in range(a + 1, 60) if keys[a] == keys[b] and groups[a] != groups[b] and far(a, b) <= radius}
         assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
+def test_linked_joins_what_close_pairs_link():
+    rnd = np.random.default_rng(7)
+    base = rnd.integers(0, 2**63, 12, dtype=np.int64)
+    fps = np.repeat(base, 20) ^ np.int64(1) << rnd.integers(0, 62, 240) ^ np.int64(1) << rnd.integers(0, 62, 240)
+    keys = np.sort(rnd.integers(0, 4, 240))
+    label = simhash.linked(keys, fps, 4)
+    want = np.arange(240)
+    for i, j in close_pairs(keys, fps, 4):
+        simhash.join(want, i, j)
+    plain = np.arange(240)
+    for _ in range(240):
+        for i, j in close_pairs(keys, fps, 4):
+            for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                plain[a] = plain[b] = min(plain[a], plain[b])
+    assert label.tolist() == want.tolist() == plain.tolist() and len(set(label.tolist())) < 100
