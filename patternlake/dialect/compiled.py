@@ -10,7 +10,7 @@ from patternlake.dialect import facts
 from patternlake.dialect import nodes as N
 from patternlake.dialect.errors import PatternError
 from patternlake.dialect.flags import Flags
-from patternlake.dialect.java import Emitter, template
+from patternlake.dialect.java import Emitter, Exact, Tracked, template
 from patternlake.dialect.parser import Parser
 from patternlake.dialect.risk import Risk, assess
 
@@ -74,10 +74,14 @@ class CompiledPattern:
             return (prefix,)
         return tuple(sorted({s[:1] for s in self.literal_set})) if all(self.literal_set) else ()
 
+    @cached_property
+    def stale_groups(self) -> frozenset[int]:
+        """Groups that Java may leave as an earlier round of a repeat has set them; ``find`` clears them."""
+        return facts.stale_groups(self.tree)
+
     @property
     def captures_sticky(self) -> bool:
-        """Captures of a repeated group may keep the value of an earlier iteration."""
-        return facts.sticky_captures(self.tree)
+        return bool(self.stale_groups)
 
     def capture_index(self, name: str) -> int | None:
         """The first group of a name."""
@@ -89,10 +93,14 @@ class CompiledPattern:
     def java_template(self, text: str, shift: int = 0) -> str:
         return template(text, {g: j + shift for g, j in self.numbers})
 
+    def tracked(self, first: int) -> Tracked:
+        """The form whose groups' places can be told; ``first`` groups stand before."""
+        return Tracked(self.tree, first=first)
+
     @cached_property
-    def spans_form(self) -> Emitter:
-        """The form whose groups also capture the rest of the text; groups 1 and 2 stand before."""
-        return Emitter(self.tree, spans=True, first=2)
+    def exact(self) -> Exact:
+        """The form for ``regex`` of Python, which keeps all rounds of a repeat."""
+        return Exact(self.tree)
 
     def describe(self) -> dict:
         return {"pattern": self.pattern, "java": self.java, "groups": self.group_count, "names": dict(self.names), "min_length": self.min_length, "max_length": self.max_length, "can_match_empty": self.can_match_empty, "is_finite": self.is_finite, "risk": self.risk.level, "required_literal": self.required_literal, "literal_prefix": self.literal_prefix}
@@ -117,16 +125,18 @@ def _compile(pattern: str, flags: Flags) -> CompiledPattern:
 
 def _check_java(pattern: str, text: str) -> None:
     """Where a session is at hand, have its JVM compile the pattern before a task does."""
-    from pyspark import SparkContext
     from py4j.protocol import Py4JJavaError
+    from pyspark import SparkContext
+    from pyspark.errors import PySparkException
 
     context = SparkContext._active_spark_context
     if context is None or context._jvm is None:
         return
     try:
         context._jvm.java.util.regex.Pattern.compile(text)
-    except Py4JJavaError as error:
-        raise PatternError("NotImplemented", pattern, 0, str(error.java_exception.getMessage()).splitlines()[0]) from None
+    except (Py4JJavaError, PySparkException) as error:  # PySpark has a class of its own for some
+        said = error.java_exception.getMessage() if isinstance(error, Py4JJavaError) else str(error)
+        raise PatternError("NotImplemented", pattern, 0, str(said).splitlines()[0]) from None
 
 
 def compile_pattern(pattern: str | CompiledPattern, flags: str | Flags | None = None) -> CompiledPattern:

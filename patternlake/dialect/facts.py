@@ -98,14 +98,23 @@ def literal_set(node: N.Node) -> tuple[str, ...]:
     return tuple(f[0] for f in found) if all(f is not None and not f[1] and not f[2] for f in found) else ()
 
 
-def sticky_captures(node: N.Node, inside: bool = False) -> bool:
-    """Whether a repeated group holds a capture that an iteration may leave unset."""
-    if isinstance(node, N.Repeat):
-        inside = inside or node.most is None or node.most > 1
-    if inside and isinstance(node, N.Alternation | N.Repeat):
-        optional = isinstance(node, N.Alternation) or node.least == 0
-        if optional and any(isinstance(n, N.Group) and n.index is not None for n in N.walk(node)) and not isinstance(node, N.Repeat):
-            return True
-        if optional and isinstance(node, N.Repeat) and any(isinstance(n, N.Group) and n.index is not None for n in N.walk(node.child)) and inside and node.most == 1:
-            return True
-    return any(sticky_captures(c, inside) for c in node.children())
+def stale_groups(node: N.Node, inside: bool = False, skipped: bool = False) -> frozenset[int]:
+    """Groups that a round of a repeat may leave as an earlier round has set them.
+
+    ``inside`` such a repeat, ``skipped`` by an alternative or an optional part of its rounds.
+    """
+    found: frozenset[int] = frozenset()
+    if isinstance(node, N.Group) and node.index is not None and skipped:
+        found = frozenset({node.index})
+    skipped = skipped or (inside and (isinstance(node, N.Alternation) or (isinstance(node, N.Repeat) and node.least == 0)))
+    inside = inside or (isinstance(node, N.Repeat) and node.most != 1)
+    if isinstance(node, N.Look) and not node.ahead:
+        return found  # what is behind may have been captured before the round began
+    return found.union(*(stale_groups(c, inside, skipped) for c in node.children()))
+
+
+def never_set(node: N.Node) -> frozenset[int]:
+    """Groups inside negative look-around: no match has them."""
+    if isinstance(node, N.Look) and node.negated:
+        return frozenset(n.index for n in N.walk(node) if isinstance(n, N.Group) and n.index is not None)
+    return frozenset().union(*map(never_set, node.children()))

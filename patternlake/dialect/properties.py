@@ -1,14 +1,13 @@
-"""Unicode properties as Java set texts or code point ranges.
+"""Unicode properties as Java set texts, code point ranges or strings.
 
-Java knows general categories by short name, scripts and some binary properties; others
-follow from Python's character database by rule.  Both have their own Unicode versions.
+Java knows general categories by short name, scripts and some binary properties.  All others
+are asked of the Unicode library that Spark ships, through the session's JVM; where no session
+is at hand, of the ``regex`` module, if it is installed.  Each has its own Unicode version.
 """
 
 from __future__ import annotations
 
-import sys
-import unicodedata
-from collections.abc import Callable
+import re
 from functools import lru_cache
 
 #: Long names of general categories (fixed values of the Unicode standard).
@@ -27,44 +26,115 @@ BINARY_JAVA = {
     "White_Space": "IsWhite_Space", "space": "IsWhite_Space", "Hex_Digit": "IsHex_Digit", "Join_Control": "IsJoin_Control", "Noncharacter_Code_Point": "IsNoncharacter_Code_Point",
     "ID_Start": "javaUnicodeIdentifierStart", "IDS": "javaUnicodeIdentifierStart", "XID_Start": "javaUnicodeIdentifierStart",
 }
-_RANGES = {
-    "Any": [(0, 0x10FFFF)], "ASCII": [(0, 0x7F)], "ASCII_Hex_Digit": [(0x30, 0x39), (0x41, 0x46), (0x61, 0x66)], "Regional_Indicator": [(0x1F1E6, 0x1F1FF)],
-    "Variation_Selector": [(0x180B, 0x180D), (0x180F, 0x180F), (0xFE00, 0xFE0F), (0xE0100, 0xE01EF)], "Pattern_White_Space": [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0x200E, 0x200F), (0x2028, 0x2029)],
-    "Bidi_Control": [(0x61C, 0x61C), (0x200E, 0x200F), (0x202A, 0x202E), (0x2066, 0x2069)], "Emoji_Modifier": [(0x1F3FB, 0x1F3FF)],
-}
-_TESTS: dict[str, Callable[[str], bool]] = {
-    "Bidi_Mirrored": lambda c: bool(unicodedata.mirrored(c)),
-    "Changes_When_Lowercased": lambda c: unicodedata.normalize("NFD", c).lower() != unicodedata.normalize("NFD", c),
-    "Changes_When_Uppercased": lambda c: unicodedata.normalize("NFD", c).upper() != unicodedata.normalize("NFD", c),
-    "Changes_When_Titlecased": lambda c: unicodedata.normalize("NFD", c).title() != unicodedata.normalize("NFD", c),
-    "Changes_When_Casefolded": lambda c: unicodedata.normalize("NFD", c).casefold() != unicodedata.normalize("NFD", c),
-    "Cased": lambda c: c.isupper() or c.islower() or c.istitle(),
-    "ID_Continue": lambda c: f"a{c}".isidentifier(),
-    "XID_Continue": lambda c: f"a{c}".isidentifier(),
+#: Binary properties of the dialect and their short names (fixed values of the Unicode standard).
+BINARY = {
+    "ASCII": "", "ASCII_Hex_Digit": "AHex", "Alphabetic": "Alpha", "Any": "", "Assigned": "", "Bidi_Control": "Bidi_C", "Bidi_Mirrored": "Bidi_M", "Case_Ignorable": "CI", "Cased": "",
+    "Changes_When_Casefolded": "CWCF", "Changes_When_Casemapped": "CWCM", "Changes_When_Lowercased": "CWL", "Changes_When_NFKC_Casefolded": "CWKCF", "Changes_When_Titlecased": "CWT", "Changes_When_Uppercased": "CWU",
+    "Dash": "", "Default_Ignorable_Code_Point": "DI", "Deprecated": "Dep", "Diacritic": "Dia", "Emoji": "", "Emoji_Component": "EComp", "Emoji_Modifier": "EMod", "Emoji_Modifier_Base": "EBase", "Emoji_Presentation": "EPres",
+    "Extended_Pictographic": "ExtPict", "Extender": "Ext", "Grapheme_Base": "Gr_Base", "Grapheme_Extend": "Gr_Ext", "Hex_Digit": "Hex", "IDS_Binary_Operator": "IDSB", "IDS_Trinary_Operator": "IDST", "IDS_Unary_Operator": "IDSU",
+    "ID_Compat_Math_Continue": "", "ID_Compat_Math_Start": "", "ID_Continue": "IDC", "ID_Start": "IDS", "Ideographic": "Ideo", "Join_Control": "Join_C", "Logical_Order_Exception": "LOE", "Lowercase": "Lower", "Math": "",
+    "Noncharacter_Code_Point": "NChar", "Pattern_Syntax": "Pat_Syn", "Pattern_White_Space": "Pat_WS", "Quotation_Mark": "QMark", "Radical": "", "Regional_Indicator": "RI", "Sentence_Terminal": "STerm", "Soft_Dotted": "SD",
+    "Terminal_Punctuation": "Term", "Unified_Ideograph": "UIdeo", "Uppercase": "Upper", "Variation_Selector": "VS", "White_Space": "space", "XID_Continue": "XIDC", "XID_Start": "XIDS",
 }
+#: Properties of strings (fixed values of the Unicode standard).
+OF_STRINGS = ("Basic_Emoji", "Emoji_Keycap_Sequence", "RGI_Emoji", "RGI_Emoji_Flag_Sequence", "RGI_Emoji_Modifier_Sequence", "RGI_Emoji_Tag_Sequence", "RGI_Emoji_ZWJ_Sequence")
+
+Ranges = tuple[tuple[int, int], ...]
+_ANY, _ASCII = ((0, 0x10FFFF),), ((0, 0x7F),)
+
+
+class Unavailable(Exception):
+    """No library at hand knows the property."""
+
+
+def _library(expression: str):
+    """A set of the JVM's Unicode library; None without a session."""
+    from pyspark import SparkContext
+
+    context = SparkContext._active_spark_context
+    return None if context is None or context._jvm is None else context._jvm.com.ibm.icu.text.UnicodeSet(f"[\\p{{{expression}}}]")
+
+
+def _parsed(pattern: str) -> Ranges:
+    """The ranges of a resolved set as the library prints it: characters and escapes, ``-`` between ends."""
+    tokens = re.findall(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]", pattern[1:-1], re.S)
+    out: list[list[int]] = []
+    dash = False
+    for t in tokens:
+        if t == "-":
+            dash = True
+            continue
+        code = int(t[2:], 16) if t[:2] in ("\\u", "\\U") and len(t) > 2 else ord(t[-1])
+        if dash:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+        dash = False
+    return tuple((a, b) for a, b in out)
+
+
+@lru_cache(maxsize=256)
+def _from_jvm(expression: str) -> Ranges | None:
+    found = _library(expression)
+    # Complements are resolved; sets as they are made print their own expression.
+    return None if found is None else _parsed(found.complement().complement().toPattern(True))
 
 
 @lru_cache(maxsize=64)
-def _by_test(name: str) -> tuple[tuple[int, int], ...]:
-    test, found = _TESTS[name], []
-    for code in range(sys.maxunicode + 1):
-        if not 0xD800 <= code < 0xE000 and test(chr(code)):
-            if found and found[-1][1] == code - 1:
-                found[-1][1] = code
-            else:
-                found.append([code, code])
-    return tuple((a, b) for a, b in found)
+def _from_python(expression: str) -> Ranges:
+    try:
+        import regex
+
+        search = regex.compile(f"\\p{{{expression}}}+")
+    except Exception as error:  # not installed, or it doesn't know the property
+        raise Unavailable(expression) from error
+    every = "".join(map(chr, range(0x110000)))
+    return tuple((m.start(), m.end() - 1) for m in search.finditer(every))
+
+
+def ranges_of(expression: str) -> Ranges:
+    """The code points of a property expression."""
+    known = {"Any": _ANY, "ASCII": _ASCII}.get(expression)
+    if known is None:
+        known = _from_jvm(expression)
+    if known is None:
+        _from_jvm.cache_clear()  # there may be a session next time
+        known = _from_python(expression)
+    return known
+
+
+def strings_of(name: str) -> tuple[Ranges, tuple[str, ...]]:
+    """Code points and longer strings of a property of strings."""
+    found = _library(name)
+    if found is None:
+        raise Unavailable(name)
+    from pyspark import SparkContext
+
+    joined = SparkContext._active_spark_context._jvm.java.lang.String.join("\n", found.strings())
+    return ranges_of(name), tuple(joined.split("\n")) if joined else ()
 
 
 def _loose(name: str) -> str:
     return "".join(c for c in name.lower() if c not in "_- ")
 
 
-def lookup(name: str, strict: bool) -> tuple[tuple[tuple[int, int], ...], str] | None:
+def _script(name: str) -> str | None:
+    """A script as Java knows it; names that it doesn't know are none."""
+    if not name or not name.replace("_", "").isalnum():
+        return None
+    try:
+        ranges_of(f"sc={name}")
+    except Exception:
+        return None
+    return name
+
+
+def lookup(name: str, strict: bool) -> tuple[Ranges, str] | None:
     """Ranges, or a Java set text, of a property expression; None if there is none.
 
-    A lone name is a binary property, else a category, else a script.  Names are matched
-    loosely unless ``strict``.
+    A lone name is a binary property, else a category, else a script with its extensions.
+    Names are matched loosely unless ``strict``.  Raises ``Unavailable`` where no library at
+    hand has the property.
     """
     key, equals, value = name.partition("=")
 
@@ -73,28 +143,25 @@ def lookup(name: str, strict: bool) -> tuple[tuple[tuple[int, int], ...], str] |
             return table[wanted]
         return None if strict else next((v for k, v in table.items() if _loose(k) == _loose(wanted)), None)
 
-    def category(wanted: str) -> str | None:
+    def category(wanted: str) -> tuple[Ranges, str] | None:
         short = {v: v for v in CATEGORIES.values()}
         found = of(short, wanted) or of(CATEGORIES, wanted)
-        return None if found is None else "[\\p{Lu}\\p{Ll}\\p{Lt}]" if found == "LC" else f"\\p{{{found}}}"
+        return None if found is None else ((), "[\\p{Lu}\\p{Ll}\\p{Lt}]" if found == "LC" else f"\\p{{{found}}}")
+
+    def script(wanted: str) -> tuple[Ranges, str] | None:
+        return ((), f"\\p{{script={wanted}}}") if _script(wanted) else None
 
-    def script(wanted: str) -> str | None:
-        return f"\\p{{script={wanted}}}" if wanted and wanted.replace("_", "").isalnum() else None
+    def extended(wanted: str) -> tuple[Ranges, str] | None:
+        return (ranges_of(f"scx={wanted}"), "") if _script(wanted) else None
 
     if equals:
-        known = {"gc": category, "General_Category": category, "sc": script, "Script": script, "scx": script, "Script_Extensions": script}
+        known = {"gc": category, "General_Category": category, "sc": script, "Script": script, "scx": extended, "Script_Extensions": extended}
         kind = of(known, key)
-        found = kind(value) if kind else None
-        return None if found is None else ((), found)
-    if (ranges := of(_RANGES, name)) is not None:
-        return tuple(ranges), ""
+        return kind(value) if kind else None
     if (java := of(BINARY_JAVA, name)) is not None:
         return (), f"\\p{{{java}}}"
     if of({"Assigned": 1}, name):
         return (), "\\P{Cn}"
-    if (test := of({k: k for k in _TESTS}, name)) is not None:
-        return _by_test(test), ""
-    if (found := category(name)) is not None:
-        return (), found
-    found = script(name)
-    return None if found is None else ((), found)
+    if (binary := of({n: long for long, short in BINARY.items() for n in (long, short) if n}, name)) is not None:
+        return ranges_of(binary), ""
+    return category(name) or extended(name)

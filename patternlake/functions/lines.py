@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from patternlake.dialect import CompiledPattern, Flags, compile_pattern
 from patternlake.plans.pushdown import existence
+from patternlake.plans.rows import beside, let, nested, quoted, running_sums
 
 
 def lines(text: Column | str) -> Column:
@@ -27,12 +28,25 @@ def count_matching_lines(text: Column | str, pattern: str | CompiledPattern, fla
 def matching_lines(df: DataFrame, text: str, pattern: str | CompiledPattern, flags: str | Flags | None = None) -> DataFrame:
     """One row per matching line: the other columns of ``df``, line_no (from 0), start, end, line.
 
-    ``start`` and ``end`` are bytes in the text; texts without a match cost one search.
+    ``start`` and ``end`` are bytes in the text.  Columns of ``df`` with one of the new names get
+    an underscore behind theirs.  Texts without a literal that every match holds are left out
+    at the scan.
     """
     p = compile_pattern(pattern, flags)
-    every = df.withColumn("_lines", lines(text)).drop(text)
-    lengths = F.transform("_lines", lambda x: F.octet_length(x) + 1)
-    starts = F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    found = every.withColumn("_starts", starts).select("*", F.posexplode("_lines").alias("line_no", "line")).filter(existence(F.col("line"), p))
-    start = F.get("_starts", F.col("line_no"))
-    return found.withColumn("start", start).withColumn("end", F.col("start") + F.octet_length("line")).drop("_lines", "_starts")
+    sizes = F.transform(lines(F.col(quoted(text))), lambda x: F.struct(x.alias("line"), F.octet_length(x).alias("size")))
+
+    def placed(every: Column) -> Column:
+        ends = running_sums(F.transform(every, lambda x: x["size"] + 1))
+        return let(ends, lambda e: F.transform(every, lambda x, i: F.struct(i.alias("line_no"), (F.get(e, i) - x["size"] - 1).alias("start"), (F.get(e, i) - 1).alias("end"), x["line"].alias("line"))))
+
+    # Lines are tested before anything is said about their places.
+    found = nested(df.filter(_may_match(df, text, p)), every=let(sizes, placed))
+    found = found.select("row", F.explode("every").alias("x")).select("row", "x.*").filter(existence(F.col("line"), p))
+    return beside(found, [c for c in df.columns if c != text], ["line_no", "start", "end", "line"])
+
+
+def _may_match(df: DataFrame, text: str, p: CompiledPattern) -> Column:
+    """A condition on whole texts that texts with a matching line meet: a literal that every match holds."""
+    literal = p.required_literal if p.exact_literal is None else p.exact_literal[0]
+    column = F.col(quoted(text))
+    return F.contains(column, F.lit(literal)) if literal and "\n" not in literal else column.isNotNull()

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from patternlake.dialect import CompiledPattern, Flags, compile_pattern
-from patternlake.dialect.java import ANY, SENTINEL, Emitter
+from patternlake.dialect import CompiledPattern, Flags, PatternError, compile_pattern
+from patternlake.dialect.java import ANY, MARKS, Emitter
 from patternlake.dialect.java import template as java_template
+from patternlake.dialect.java import template_groups
+from patternlake.functions.exact import exact_find
 from patternlake.plans.pushdown import existence
-
-#: Noncharacters that mark matches, groups and ends while offsets are taken.
-_MATCH, _GROUP, _END = "\ufdd1", "\ufdd2", "\ufdd3"
-_MARKS = f"[{_MATCH}{_GROUP}{_END}{SENTINEL}]"
-_MATCH_TYPE = "struct<match:string,start:int,end:int,captures:array<string>>"
+from patternlake.plans.rows import let, running_sums
 
 Pattern = str | CompiledPattern
 FlagsLike = str | Flags | None
@@ -52,13 +52,27 @@ def _offset(prefix: Column, unit: str) -> Column:
     return F.length(prefix) if unit == "char" else F.octet_length(prefix)
 
 
+def _marked(text: Column, build: Callable[[str], Column]) -> Column:
+    """``build`` with the first of the sets of marks of which the text holds none.
+
+    The marks are noncharacters, which texts should not hold at all; a text with some of each
+    set gives null.
+    """
+    found = F.lit(None)
+    for marks in reversed(MARKS):
+        found = F.when(F.regexp_like(text, F.lit(f"[{marks}]")), found).otherwise(build(marks))
+    return F.when(text.isNotNull(), found)
+
+
 def find(text: Column | str, pattern: Pattern, flags: FlagsLike = None, *, offsets: str = "char") -> Column:
     """The leftmost match as struct<match, start, end, captures, capture_spans>, null for none.
 
-    Captures and spans of groups that took no part are null.  ``end`` is exclusive.  Texts
-    must not hold the noncharacter U+FDD0.
+    Captures and spans of groups that took no part, in the last round of a repeat, are null.
+    ``end`` is exclusive.  One search gives all fields.  Groups inside repeats or look-behinds,
+    and optional ones that may be empty, take an Arrow-batched function, as built-in ones say
+    neither where a group stood nor in which round; all others stay built-in.
     """
-    return _found(_col(text), compile_pattern(pattern, flags), F.lit(""), offsets)
+    return _found(_col(text), compile_pattern(pattern, flags), None, offsets)
 
 
 def find_from(text: Column | str, pattern: Pattern, start: int, flags: FlagsLike = None, *, offsets: str = "char") -> Column:
@@ -66,32 +80,50 @@ def find_from(text: Column | str, pattern: Pattern, start: int, flags: FlagsLike
     look-behind still see the text before it."""
     if start < 0:
         raise ValueError("start must not be negative")
-    return _found(_col(text), compile_pattern(pattern, flags), F.lit(f"{ANY}{{{start}}}"), offsets)
-
-
-def _found(text: Column, p: CompiledPattern, skip: Column, unit: str) -> Column:
-    spans = p.spans_form
-    ended = F.concat(text, F.lit(SENTINEL))
-    lead = F.concat(F.lit("\\A("), skip, F.lit(f"{ANY}*?)({spans.text})"))
-    group = lambda n: _group(ended, lead, n)
-    whole = F.octet_length(ended) if unit == "byte" else F.length(ended)
-    before, matched = group(1), group(2)
-    begin = _offset(before, unit)
-    captures, places = [], []
-    for index in range(1, p.group_count + 1):
-        n = spans.numbers[index]
-        rest = group(n + 1 + (index in spans._marked))
-        own = group(n)
-        end = whole - _offset(rest, unit)
-        took_part = rest != ""
-        captures.append(F.when(took_part, own))
-        places.append(F.when(took_part, F.struct((end - _offset(own, unit)).alias("start"), end.alias("end"))))
+    return _found(_col(text), compile_pattern(pattern, flags), start, offsets)
+
+
+def _found(text: Column, p: CompiledPattern, skip: int | None, unit: str) -> Column:
+    _offset(text, unit)
+    form = p.tracked(1 if skip is None else 2)
+    if not form.possible:
+        return exact_find(p, skip, unit)(text)
     none = F.array().cast("array<string>"), F.array().cast("array<struct<start:int,end:int>>")
-    found = F.struct(
-        matched.alias("match"), begin.alias("start"), (begin + _offset(matched, unit)).alias("end"),
-        (F.array(*captures) if captures else none[0]).alias("captures"), (F.array(*places) if places else none[1]).alias("capture_spans"),
-    )
-    return F.when(F.regexp_like(ended, lead), found)
+
+    def build(marks: str) -> Column:
+        match, group, _ = marks
+        lead = f"({form.text})" if skip is None else f"\\A({ANY}{{{skip}}}{ANY}*?)({form.text})"
+        fields = f"{match}$1" if skip is None else f"$1{match}$2"
+        wanted = sorted({*form.numbers.values(), *(n for b in form.before.values() for n in b)})
+        place = {n: k + 1 for k, n in enumerate(wanted)}
+        # The match takes the rest of the text along, so one replacement holds all there is to know.
+        marked = F.regexp_replace(text, F.lit(f"{lead}{ANY}*+"), F.lit(fields + "".join(f"{group}${n}" for n in wanted)))
+
+        def fields_of(x: Column) -> Column:
+            field = lambda k: F.get(x["parts"], F.lit(k))
+            begin, own = _offset(x["before"], unit), field(0)
+            captures, places = [], []
+            for index in range(1, p.group_count + 1):
+                held = field(place[form.numbers[index]])
+                first = begin
+                for n in form.before[index]:
+                    first = first + _offset(field(place[n]), unit)
+                took_part = F.lit(False) if index in form.never else held != "" if index in form.optional else F.lit(True)
+                captures.append(F.when(took_part, held))
+                places.append(F.when(took_part, F.struct(first.alias("start"), (first + _offset(held, unit)).alias("end"))))
+            return F.struct(
+                own.alias("match"), begin.alias("start"), (begin + _offset(own, unit)).alias("end"),
+                (F.array(*captures) if captures else none[0]).alias("captures"), (F.array(*places) if places else none[1]).alias("capture_spans"),
+            )
+
+        def read(x: Column) -> Column:
+            # A third piece is an empty match at the end, behind all that the first has taken.
+            parts = F.struct(F.get(x, F.lit(0)).alias("before"), F.split(F.get(x, F.lit(1)), group, -1).alias("parts"))
+            return F.when(F.size(x) > 1, let(parts, fields_of))
+
+        return let(F.split(marked, match, -1), read)
+
+    return _marked(text, build)
 
 
 def find_all_text(text: Column | str, pattern: Pattern, flags: FlagsLike = None) -> Column:
@@ -103,25 +135,36 @@ def find_all(text: Column | str, pattern: Pattern, flags: FlagsLike = None, *, o
     """All matches as array<struct<match, start, end, captures>>; absent captures are ''.
 
     Matches are marked by one replacement and split apart again, so offsets cost no second
-    search.  Texts that hold the noncharacters U+FDD0 to U+FDD3 give null.
+    search; time grows with the number of matches times its logarithm.  Patterns whose captures may be left from
+    an earlier round of a repeat are refused: ``find_all_text`` takes them.
     """
     p, text = compile_pattern(pattern, flags), _col(text)
-    groups = "".join(f"{_GROUP}${j}" for _, j in p.numbers)
-    marked = F.regexp_replace(text, F.lit(p.java), F.lit(f"{_MATCH}$0{groups}{_GROUP}{_END}"))
-    pieces = F.split(marked, _MATCH, -1)
-    first = _offset(F.get(pieces, F.lit(0)), offsets)
-    start = F.struct(F.array().cast(f"array<{_MATCH_TYPE}>").alias("found"), first.alias("at"))
+    _refuse_stale(p, range(1, p.group_count + 1))
+    _offset(text, offsets)
+
+    def build(marks: str) -> Column:
+        match, group, end = marks
+        groups = "".join(f"{group}${j}" for _, j in p.numbers)
+        marked = F.regexp_replace(text, F.lit(p.java), F.lit(f"{match}$0{groups}{group}{end}"))
+
+        def piece(x: Column) -> Column:
+            fields = F.split(F.substring_index(x, end, 1), group, -1)
+            return let(fields, lambda f: F.struct(F.get(f, F.lit(0)).alias("own"), _offset(F.get(f, F.lit(0)), offsets).alias("size"), _offset(F.substring_index(x, end, -1), offsets).alias("gap"), F.slice(f, 2, p.group_count).alias("captures")))
+
+        def rows(x: Column) -> Column:
+            sizes = F.concat(F.array(x["first"]), F.transform(x["found"], lambda m: m["size"] + m["gap"]))
+            return let(F.struct(running_sums(sizes).alias("starts"), x["found"].alias("found")), lambda y: F.transform(y["found"], lambda m, i: F.struct(
+                m["own"].alias("match"), F.get(y["starts"], i).alias("start"), (F.get(y["starts"], i) + m["size"]).alias("end"), m["captures"].alias("captures"))))
 
-    def step(a: Column, piece: Column) -> Column:
-        fields = F.split(F.substring_index(piece, _END, 1), _GROUP, -1)
-        own = F.get(fields, F.lit(0))
-        end = a["at"] + _offset(own, offsets)
-        one = F.struct(own.alias("match"), a["at"].alias("start"), end.alias("end"), F.slice(fields, 2, p.group_count).alias("captures"))
-        gap = F.substring_index(piece, _END, -1)
-        return F.struct(F.concat(a["found"], F.array(one.cast(_MATCH_TYPE))).alias("found"), (end + _offset(gap, offsets)).alias("at"))
+        return let(F.split(marked, match, -1), lambda pieces: let(F.struct(_offset(F.get(pieces, F.lit(0)), offsets).alias("first"), F.transform(F.slice(pieces, 2, F.size(pieces)), piece).alias("found")), rows))
 
-    folded = F.aggregate(F.slice(pieces, 2, F.size(pieces)), start, step, lambda a: a["found"])
-    return F.when(~F.regexp_like(text, F.lit(_MARKS)), folded)
+    return _marked(text, build)
+
+
+def _refuse_stale(p: CompiledPattern, groups) -> None:
+    """Java keeps what a repeated group captured in an earlier round; only ``find`` can tell."""
+    if stale := sorted(p.stale_groups & set(groups)):
+        raise PatternError("NotImplemented", p.pattern, 0, f"group {stale[0]} may hold the capture of an earlier round of a repeat; find() gives exact captures")
 
 
 def count(text: Column | str, pattern: Pattern, flags: FlagsLike = None) -> Column:
@@ -140,12 +183,14 @@ def count(text: Column | str, pattern: Pattern, flags: FlagsLike = None) -> Colu
 def replace_all(text: Column | str, pattern: Pattern, template: str, flags: FlagsLike = None) -> Column:
     """Every match replaced; ``$0`` to ``$9`` are groups and ``$$`` a dollar."""
     p = compile_pattern(pattern, flags)
+    _refuse_stale(p, template_groups(template))
     return F.regexp_replace(_col(text), F.lit(p.java), F.lit(p.java_template(template)))
 
 
 def replace(text: Column | str, pattern: Pattern, template: str, flags: FlagsLike = None) -> Column:
     """The first match replaced."""
     p = compile_pattern(pattern, flags)
+    _refuse_stale(p, template_groups(template))
     shifted = Emitter(p.tree, first=2)
     whole = java_template(template, {**shifted.numbers, 0: 2})
     separated = f"\\{whole}" if whole[:1].isdigit() else whole  # Java would read "$1" on
@@ -157,8 +202,7 @@ def split(text: Column | str, pattern: Pattern, flags: FlagsLike = None) -> Colu
     p, text = compile_pattern(pattern, flags), _col(text)
     if not p.can_match_empty:
         return F.split(text, p.java, -1)
-    marked = F.regexp_replace(text, F.lit(p.java), F.lit(_MATCH))
-    return F.when(~F.regexp_like(text, F.lit(_MARKS)), F.split(marked, _MATCH, -1))
+    return _marked(text, lambda marks: F.split(F.regexp_replace(text, F.lit(p.java), F.lit(marks[0])), marks[0], -1))
 
 
 def capture(text: Column | str, pattern: Pattern, group: int | str, flags: FlagsLike = None) -> Column:
@@ -170,6 +214,9 @@ def capture(text: Column | str, pattern: Pattern, group: int | str, flags: Flags
     indexes = (group,) if isinstance(group, int) else p.capture_indexes(group)
     if not indexes or any(not 0 <= i <= p.group_count for i in indexes):
         raise ValueError(f"no group {group!r} in {p.pattern!r}")
+    if p.stale_groups & set(indexes):
+        exact = find(text, p)
+        return F.when(exact.isNotNull(), F.coalesce(*[exact["captures"][i - 1] for i in indexes], F.lit("")))
     found = [_group(text, F.lit(p.java), p.group_map[i] if i else 0) for i in indexes]
     one = found[0] if len(found) == 1 else F.coalesce(*[F.nullif(f, F.lit("")) for f in found], F.lit(""))
     return F.when(F.regexp_like(text, F.lit(p.java)), one)
@@ -183,7 +230,10 @@ def captures(text: Column | str, pattern: Pattern, flags: FlagsLike = None) -> C
 def named_captures(text: Column | str, pattern: Pattern, flags: FlagsLike = None) -> Column:
     """The named groups of the first match: map<string, string>, null values took no part."""
     p = compile_pattern(pattern, flags)
-    found = find(text, p)
     names = list(dict.fromkeys(n for n, _ in p.names))
-    pairs = [x for n in names for x in (F.lit(n), F.coalesce(*[found["captures"][i - 1] for i in p.capture_indexes(n)]))]
-    return F.when(found.isNotNull(), F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>"))
+
+    def of(found: Column) -> Column:
+        pairs = [x for n in names for x in (F.lit(n), F.coalesce(*[found["captures"][i - 1] for i in p.capture_indexes(n)]))]
+        return F.when(found.isNotNull(), F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>"))
+
+    return let(find(text, p), of)

@@ -10,22 +10,35 @@ from pyspark.sql import functions as F
 from patternlake.dialect import CompiledPattern, Flags, compile_pattern
 from patternlake.functions import count, find_all, find_all_text
 from patternlake.plans.pushdown import existence
+from patternlake.plans.rows import beside, nested, quoted
 
 #: A pattern table becomes one expression per pattern, so it must be a short list.
 MOST_PATTERNS = 256
 
 
 def explode_matches(df: DataFrame, text: str, pattern: str | CompiledPattern, flags: str | Flags | None = None, *, offsets: str = "char") -> DataFrame:
-    """One row per match: the other columns, ordinal (from 0), match, start, end, captures."""
-    p = compile_pattern(pattern, flags)
-    rows = df.filter(existence(F.col(text), p)).withColumn("_found", find_all(text, p, offsets=offsets)).drop(text)
-    return rows.select("*", F.posexplode("_found").alias("ordinal", "_m")).select("*", "_m.*").drop("_found", "_m")
+    """One row per match: the other columns, ordinal (from 0), match, start, end, captures.
+
+    Columns of ``df`` with one of the new names get an underscore behind theirs.
+    """
+    p, column = compile_pattern(pattern, flags), F.col(quoted(text))
+    rows = nested(df.filter(existence(column, p)), found=find_all(column, p, offsets=offsets))
+    rows = rows.select("row", F.posexplode("found").alias("ordinal", "m")).select("row", "ordinal", "m.*")
+    return beside(rows, [c for c in df.columns if c != text], ["ordinal", "match", "start", "end", "captures"])
 
 
 def match_counts(df: DataFrame, text: str, pattern: str | CompiledPattern, by: list[str], flags: str | Flags | None = None) -> DataFrame:
     """Texts, texts with a match and matches per group; partial sums leave one row per task and group."""
-    p = compile_pattern(pattern, flags)
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("texts"), F.count_if(existence(F.col(text), p)).alias("texts_with_match"), F.coalesce(F.sum(count(text, p)), F.lit(0).cast("long")).alias("matches"))
+    keys = [F.col(quoted(b)).alias(f"b{k}") for k, b in enumerate(by)]
+    # Each text is searched once: a text has a match if it has any.
+    counted = df.select(*keys, count(F.col(quoted(text)), compile_pattern(pattern, flags)).alias("n"))
+    found = counted.groupBy(*[f"b{k}" for k in range(len(by))]).agg(*count_sums("n"))
+    return found.select(*[F.col(f"b{k}").alias(b) for k, b in enumerate(by)], "texts", "texts_with_match", "matches")
+
+
+def count_sums(n: str) -> list[Column]:
+    """Texts, texts_with_match and matches from each text's number of matches."""
+    return [F.count(F.lit(1)).alias("texts"), F.count_if(F.col(n) > 0).alias("texts_with_match"), F.coalesce(F.sum(n), F.lit(0).cast("long")).alias("matches")]
 
 
 def top_matches(df: DataFrame, text: str, pattern: str | CompiledPattern, n: int, flags: str | Flags | None = None) -> DataFrame:

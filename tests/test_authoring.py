@@ -38,7 +38,9 @@ def test_lint():
     assert ("error", "catastrophic_backtracking") in kinds("(a+)+") and has_errors("x(b*)*") and not has_errors("(ab)+")
     assert ("warning", "empty_alternation") in kinds("(|a)") and ("warning", "redundant_quantifier") in kinds("a+*")
     assert ("warning", "excessive_nesting") in kinds("(" * 11 + ")" * 11) and ("warning", "complexity_warning") in kinds("()" * 21) and ("info", "complexity_warning") in kinds("a+" * 16)
-    assert ("info", "optimization_opportunity") in kinds("(a|b|c|d|e|f)") and kinds("^x") == []
+    assert ("info", "optimization_opportunity") in kinds("^(a|b|c|d|e|f)") and kinds("^x") == []
+    singles = lambda p: [w.suggestion for w in lint(p) if w.message.startswith("single")]
+    assert singles("^x(p|q)(?:1|2|3)(ab|c)") == ["use [pq]", "use [123]"] and singles(r"^(\(|a)([a|b])") == []
 
 
 def test_complexity_on_driver_and_in_columns(spark):
@@ -53,7 +55,11 @@ def test_complexity_on_driver_and_in_columns(spark):
 def test_risk_levels():
     level = lambda p: assess(compile_pattern(p).tree).level
     assert level("abc+") == "safe" and level("(?:ab|ab)c") in ("high", "critical") and level("(?:a?b?)?") in ("safe", "low")
-    for bad in ("(a+)+", "(?:a*)*", "(?:(?:a+)+)+", "(x+x+)+y"):
+    for good in (r"(?:\d+\.)+", r"(\p{L}+,)+", r"(?:[a-z]+-)*[a-z]+", r"(?:ab*c)*", "(?:\u4f60|\u597d)+", r"(?:a+b|c+d)*", r"(?i:a+B)*", r"(\w+\s)*", r"(?:[^,]+,)*", r"(?:x{2,5}){3}"):
+        assert not compile_pattern(good).risk.above("medium"), good
+    for overlapping in ("(?:a|ab|b)*", "(?:a|a)+", "(?i:a|A)*x", r"(?:\w|\d)+"):
+        assert compile_pattern(overlapping).risk.above("medium"), overlapping
+    for bad in ("(a+)+", "(?:a*)*", "(?:(?:a+)+)+", "(x+x+)+y", r"(\w+\d)*", "(a*b*)*", r"(?:[a-z]+\s?)+", "(?i:a+A)*", r"(?:\p{L}+x)*", r"(?:a{1,50})*", "(?:a|b+|ab)*"):
         with pytest.raises(PatternError):
             compile_pattern(bad)
 

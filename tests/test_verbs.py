@@ -114,6 +114,12 @@ FIND = [
     (r"(?:(?:(?<x>a)|(?<x>b)|c)\k<x>){1}", "", "bb", "bb", 0, [None, "b"], [None, (0, 1)]),
     (r"([^a]*)$", "", "aé", "é", 1, ["é"], [(1, 2)]),
     (r".*", "", "", "", 0, [], []),
+    (r"(a)?ab", "", "xab", "ab", 1, [None], [None]),
+    (r"(?:(a)b)*ac", "", "ababac", "ababac", 0, ["a"], [(2, 3)]),
+    (r"x(?:y|(z+))(w)(?=(v))", "", "éxzzwv", "xzzw", 1, ["zz", "w", "v"], [(2, 4), (4, 5), (5, 6)]),
+    (r"(?<=(é)x)(y)", "", "éxy", "y", 2, ["é", "y"], [(0, 1), (2, 3)]),
+    (r"\d(-(\d)(-(\d))?)?;", "", "é1-2;", "1-2;", 1, ["-2", "2", None, None], [(2, 4), (3, 4), None, None]),
+    (r"(x)(?!(y))\1", "", "xyxx", "xx", 2, ["x", None], [(2, 3), None]),
 ]
 
 
@@ -157,10 +163,70 @@ def test_find_all(spark):
             assert [m.match for m in got] == case[3]
             raw = case[2] if unit == "char" else case[2].encode()
             assert [(raw[m.start : m.end] if unit == "char" else raw[m.start : m.end].decode()) for m in got] == case[3]
-    df = spark.createDataFrame([("a1é22b",), (None,), ("x﷑",)], "t string")
+    df = spark.createDataFrame([("a1é22b",), (None,), ("x\ufdd1\ufdd0é7",), ("1\ufdd1\ufdd9",)], "t string")
     rows = df.select(R.find_all("t", r"(\d)(x)?", offsets="byte").alias("v")).collect()
     assert [(m.start, m.end, m.captures) for m in rows[0].v] == [(1, 2, ["1", ""]), (4, 5, ["2", ""]), (5, 6, ["2", ""])]
-    assert rows[1].v is None and rows[2].v is None
+    assert rows[1].v is None and [(m.match, m.start, m.end) for m in rows[2].v] == [("7", 9, 10)]
+    assert rows[3].v is None  # it holds marks of both sets
+    found = df.select(R.find("t", r"(\d)$").alias("v"), R.split("t", r"\d*").alias("s")).collect()
+    assert (found[2].v.start, found[2].v.captures, found[2].s[1]) == (4, ["7"], "x") and found[3].v is None
+
+
+STALE = [
+    (r"(z)((a+)?(b+)?(c))*", "zaacbbbcac", ["z", "ac", "a", None, "c"]),
+    (r"(?:(a)|b)*", "ab", [None]),
+    (r"(?:(a)|(b))*", "abab", [None, "b"]),
+    (r"(?:(?:(a)|b)c)+d", "acbcd", [None]),
+    (r"(?:(?:(a)|b)+;)*", "ab;b;", [None]),
+    (r"(?:(?:(a)|b)+;)*", "b;ab;ba;", ["a"]),
+    (r"(?:(\d)?x){2}", "1xx", [None]),
+    (r"(?:(\d)?x){2}", "x2x", ["2"]),
+]
+
+
+def test_captures_of_earlier_rounds_are_cleared(spark):
+    for pattern, text, want in STALE:
+        p = compile_pattern(pattern)
+        df = spark.createDataFrame([("éy" + text,)], "t string")
+        r = df.select(R.captures("t", f"y(?:{pattern})").alias("c"), R.find("t", f"y(?:{pattern})", offsets="byte")["capture_spans"].alias("s"), R.capture("t", f"y(?:{pattern})", p.group_count).alias("last")).first()
+        assert r.c == want and r.last == (want[-1] or ""), pattern
+        assert [None if s is None else ("éy" + text).encode()[s.start : s.end].decode() for s in r.s] == want
+        with pytest.raises(PatternError) as error:
+            R.find_all("t", pattern)
+        assert error.value.code == "NotImplemented" and "find()" in str(error.value)
+        with pytest.raises(PatternError):
+            R.replace_all("t", pattern, f"<${max(p.stale_groups)}>")
+        R.replace_all("t", pattern, "<$0>")
+
+
+def test_time_grows_with_the_matches(spark):
+    import time
+
+    from patternlake.operators import explode_matches
+
+    def took(n, build):
+        df = spark.createDataFrame([("ab " * n,)], "t string").cache()
+        df.count()
+        best = 1e9
+        for _ in range(2):
+            began = time.time()
+            assert build(df) == n
+            best = min(best, time.time() - began)
+        return best
+
+    def found(df):
+        return df.select(F.size(R.find_all("t", r"\w+"))).first()[0]
+
+    def rows(df):
+        return explode_matches(df, "t", r"\w+").count()
+
+    def lines(df):
+        return R.matching_lines(df.select(F.replace("t", F.lit("b "), F.lit("\n")).alias("t")), "t", "a").agg(F.count("start")).first()[0]
+
+    for build in (found, rows, lines):
+        took(1000, build)
+        small, large = took(16_000, build), took(64_000, build)
+        assert large < 8 * small + 1, (build, small, large)  # the square would be sixteen times
 
 
 REPLACE = [
