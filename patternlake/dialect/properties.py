@@ -56,7 +56,8 @@ def _library(expression: str):
 
 
 def _parsed(pattern: str) -> Ranges:
-    """The ranges of a resolved set as the library prints it: characters and escapes, ``-`` between ends."""
+    """The ranges of a resolved set as the library prints it: characters and escapes, ``-`` between ends, strings in braces."""
+    pattern = re.sub(r"(?<!\\)\{[^}]*\}", "", pattern)
     tokens = re.findall(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]", pattern[1:-1], re.S)
     out: list[list[int]] = []
     dash = False

@@ -191,10 +191,16 @@ def replace(text: Column | str, pattern: Pattern, template: str, flags: FlagsLik
     """The first match replaced."""
     p = compile_pattern(pattern, flags)
     _refuse_stale(p, template_groups(template))
+    lead, new = first_replacement(p, template)
+    return F.regexp_replace(_col(text), F.lit(lead), F.lit(new))
+
+
+def first_replacement(p: CompiledPattern, template: str) -> tuple[str, str]:
+    """A Java pattern and template that replace the first match alone."""
     shifted = Emitter(p.tree, first=2)
     whole = java_template(template, {**shifted.numbers, 0: 2})
     separated = f"\\{whole}" if whole[:1].isdigit() else whole  # Java would read "$1" on
-    return F.regexp_replace(_col(text), F.lit(_lead(shifted.text)), F.lit(f"$1{separated}"))
+    return _lead(shifted.text), f"$1{separated}"
 
 
 def split(text: Column | str, pattern: Pattern, flags: FlagsLike = None) -> Column:

@@ -1,15 +1,18 @@
 """The registered queries of the pattern engine and their SQL equivalents.
 
-SQL runs RE2 patterns.  Where RE2 has no equivalent (look-around, references), a query has
-no SQL and is tested by hand-written cases.
+SQL runs RE2 patterns.  Where RE2 has no equivalent (look-around, references), the SQL counts
+in another way.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from patternlake import functions as R
 from patternlake.authoring import PATTERNS, Builder, Composer, Macros
@@ -19,8 +22,9 @@ from patternlake.authoring.macros import COMMON
 from patternlake.dialect import compile_pattern
 from patternlake.functions import sql as S
 from patternlake.functions import unicode as U
-from patternlake.operators import explode_matches, match_counts, pattern_anti_join, pattern_join, pattern_semi_join, top_matches
-from patternlake.sources import grep, grep_counts
+from patternlake.operators import explode_matches, match_counts, pattern_anti_join, pattern_join, pattern_semi_join, pattern_table_join, top_matches
+from patternlake.plans.lineage import ensure_checkpoint_dir
+from patternlake.sources import grep, grep_counts, read_tree
 from patternlake.streaming import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,18 +56,16 @@ def phones_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_counts(_table("documents")(spark, sf_dir), "text", _PHONE, ["lang"])
 
 
-def _counts(name: str, pattern: str, flags: str = "", re2: str | None = "", *, table: str = "documents", text: str = "text", by: str = "lang") -> None:
-    """Register counts per group; ``re2`` is '' where the pattern is RE2 as it stands, None for no SQL."""
+def _counts(name: str, pattern: str, flags: str = "", re2: str = "", *, n: str = "", table: str = "documents", text: str = "text", by: str = "lang") -> None:
+    """Register counts per group; ``re2`` is '' where the pattern is RE2 as it stands; ``n`` counts a text's matches where RE2 can't."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _table(table)(spark, sf_dir).select(F.col(by), F.expr(text).alias("t"))
         return match_counts(rows, "t", pattern, [by], flags)
 
-    if re2 is None:
-        _add(name, query)
-        return
     p = (re2 or pattern).replace("'", "''")
-    _add(name, query, f"SELECT {by}, count(*) AS texts, count(*) FILTER (regexp_matches({text}, '{p}')) AS texts_with_match, coalesce(sum(len(regexp_extract_all({text}, '{p}'))), 0)::BIGINT AS matches FROM {table} GROUP BY {by}")
+    n = n or f"len(regexp_extract_all({text}, '{p}'))"
+    _add(name, query, f"SELECT {by}, count(*) AS texts, count(*) FILTER (n > 0) AS texts_with_match, coalesce(sum(n), 0)::BIGINT AS matches FROM (SELECT {by}, {n} AS n FROM {table}) GROUP BY {by}")
 
 
 # ---------------------------------------------------------------- verbs
@@ -83,7 +85,18 @@ def _project(name: str, table: str, key: str, columns: Callable[[], dict[str, Co
 _project("is_match", "documents", "doc_id", lambda: {"hit": R.is_match("text", r"[a-z]+@[a-z]+\.com")}, "SELECT doc_id, regexp_matches(text, '[a-z]+@[a-z]+\\.com') AS hit FROM documents")
 _project("is_match_literal", "documents", "doc_id", lambda: {"lang": F.col("lang")}, "SELECT doc_id, lang FROM documents WHERE contains(text, 'license')", lambda: R.is_match("text", "license"))
 _project("find_text", "documents", "doc_id", lambda: {"found": R.find_text("text", r"[A-Z][a-z]+, [a-z]+")}, "SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Z][a-z]+, [a-z]+') THEN regexp_extract(text, '[A-Z][a-z]+, [a-z]+') END AS found FROM documents")
-_project("find_struct", "pages", "page_id", lambda: {k: R.find("url", r"/([a-z]{2})/(\d+)")[k] for k in ("match", "start", "end")} | {"lang": R.find("url", r"/([a-z]{2})/(\d+)")["captures"][0], "lang_start": R.find("url", r"/([a-z]{2})/(\d+)")["capture_spans"][0]["start"]},
+def _found_struct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields of one search: the struct is named first, so it is computed once."""
+    found = _table("pages")(spark, sf_dir).select("page_id", R.find("url", r"/([a-z]{2})/(\d+)").alias("f"))
+    return found.select("page_id", "f.match", "f.start", "f.end", F.col("f.captures")[0].alias("lang"), F.col("f.capture_spans")[0]["start"].alias("lang_start"))
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _table("orders")(spark, sf_dir).select("o_orderkey", R.named_captures(F.col("o_orderdate").cast("string"), r"(?<year>\d{4})-(?P<month>\d\d)-(?<day>\d\d)").alias("c"))
+    return found.select("o_orderkey", *[F.col("c")[k].alias(k) for k in ("year", "month", "day")])
+
+
+_add("find_struct", _found_struct,
          r"SELECT page_id, m AS match, s AS start, s + length(m) AS end, regexp_extract(m, '/([a-z]{2})', 1) AS lang, s + 1 AS lang_start FROM (SELECT page_id, nullif(regexp_extract(url, '/[a-z]{2}/\d+'), '') AS m, length(regexp_extract(url, '^(.*?)/[a-z]{2}/\d+', 1))::INTEGER AS s FROM pages)")
 _project("find_from", "documents", "doc_id", lambda: {"found": R.find_from("text", "[a-z]{5}", 40)["match"]}, "SELECT doc_id, CASE WHEN regexp_matches(text, '(?s)\\A.{40}.*?([a-z]{5})') THEN regexp_extract(text, '(?s)\\A.{40}.*?([a-z]{5})', 1) END AS found FROM documents")
 _add("find_all_rows", lambda spark, sf_dir: explode_matches(_table("pages")(spark, sf_dir).select("page_id", "url"), "url", r"[a-z]+\.(?:com|org|net)|\d+").drop("captures"),
@@ -105,7 +118,7 @@ _project("replace", "pages", "page_id", lambda: {"out": R.replace("url", r"([a-z
 _project("replace_all", "documents", "doc_id", lambda: {"out": F.md5(R.replace_all("text", r"(\w)(\w+)", "$2$1$$"))}, r"SELECT doc_id, md5(regexp_replace(text, '(\w)(\w+)', '\2\1$', 'g')) AS out FROM documents")
 _project("split", "pages", "page_id", lambda: {"n": F.size(R.split("url", r"[/?#]")), "last": F.element_at(R.split("url", r"[/?#]"), -1)}, "SELECT page_id, len(p)::INTEGER AS n, p[-1] AS last FROM (SELECT page_id, regexp_split_to_array(url, '[/?#]') AS p FROM pages)")
 _project("captures", "pages", "page_id", lambda: {"host": R.capture("url", r"://([^/]+)/(\w+)", 1), "section": R.capture("url", r"://([^/]+)/(\w+)", 2)}, r"SELECT page_id, regexp_extract(url, '://([^/]+)/(\w+)', 1) AS host, regexp_extract(url, '://([^/]+)/(\w+)', 2) AS section FROM pages")
-_project("named_captures", "orders", "o_orderkey", lambda: {k: R.named_captures(F.col("o_orderdate").cast("string"), r"(?<year>\d{4})-(?P<month>\d\d)-(?<day>\d\d)")[k] for k in ("year", "month", "day")},
+_add("named_captures", _named,
          r"SELECT o_orderkey, c.year AS year, c.month AS month, c.day AS day FROM (SELECT o_orderkey, regexp_extract(o_orderdate::VARCHAR, '(?P<year>\d{4})-(?P<month>\d\d)-(?P<day>\d\d)', ['year', 'month', 'day']) AS c FROM orders)")
 
 # ---------------------------------------------------------------- constructs
@@ -135,11 +148,22 @@ _counts("construct_property_binary", r"\p{ASCII}{3}", "u", re2=r"[\x{0}-\x{7F}]{
 _counts("construct_groups", "(th)(e|is)", re2="(?:th)(?:e|is)")
 _counts("construct_noncapturing", "(?:re)+a")
 _counts("construct_named_group", "(?<head>[A-Z])(?P<tail>[a-z]+)", re2="[A-Z][a-z]+")
-_counts("construct_lookahead", "th(?=e)", re2=None)
-_counts("construct_negative_lookahead", "th(?!e)", re2=None)
-_counts("construct_lookbehind", "(?<=th)e", re2=None)
-_counts("construct_negative_lookbehind", "(?<!th)e", re2=None)
-_counts("construct_backreference", r"\b(\w+) \1\b", re2=None)
+_counts("construct_lookahead", "th(?=e)", re2="the")
+_counts("construct_negative_lookahead", "th(?!e)", n="len(regexp_extract_all(text, 'th')) - len(regexp_extract_all(text, 'the'))")
+_counts("construct_lookbehind", "(?<=th)e", re2="the")
+_counts("construct_negative_lookbehind", "(?<!th)e", n="len(regexp_extract_all(text, 'e')) - len(regexp_extract_all(text, 'the'))")
+_counts("construct_backreference", r"\b(\w+) \1\b")
+# Runs of k equal words, one space apart, hold k div 2 matches.
+ORACLE_SQL["construct_backreference"] = r"""
+WITH t AS (SELECT row_number() OVER () AS rn, lang, text FROM documents),
+w AS (SELECT rn, unnest(e) AS w, generate_subscripts(e, 1) AS i FROM (SELECT rn, regexp_extract_all(text, '\w+|\W+') AS e FROM t)),
+p AS (SELECT rn, i // 2 AS k FROM (SELECT *, lead(w, 1) OVER o AS gap, lead(w, 2) OVER o AS other FROM w WINDOW o AS (PARTITION BY rn ORDER BY i)) WHERE gap = ' ' AND other = w),
+r AS (SELECT rn, count(*) AS pairs FROM (SELECT rn, k, k - row_number() OVER (PARTITION BY rn ORDER BY k) AS run FROM p) GROUP BY rn, run),
+n AS (SELECT rn, sum((pairs + 1) // 2) AS n FROM r GROUP BY rn)
+SELECT lang, count(*) AS texts, count(*) FILTER (n > 0) AS texts_with_match, coalesce(sum(n), 0)::BIGINT AS matches FROM t LEFT JOIN n ON t.rn = n.rn GROUP BY lang"""
+_counts("construct_property_dash", r"\p{Dash}|\p{Quotation_Mark}", "u", re2=r"""[\-\x{58a}\x{5be}\x{1400}\x{1806}\x{2010}-\x{2015}\x{2053}\x{207b}\x{208b}\x{2212}\x{2e17}\x{2e1a}\x{2e3a}\x{2e3b}\x{2e40}\x{2e5d}\x{301c}\x{3030}\x{30a0}\x{fe31}\x{fe32}\x{fe58}\x{fe63}\x{ff0d}\x{10d6e}\x{10ead}"'\x{ab}\x{bb}\x{2018}-\x{201f}\x{2039}\x{203a}\x{2e42}\x{300c}-\x{300f}\x{301d}-\x{301f}\x{fe41}-\x{fe44}\x{ff02}\x{ff07}\x{ff62}\x{ff63}]""")
+_counts("construct_script_extensions", r"\p{scx=Cyrillic}|\p{Script_Extensions=Latin}{5}", "u", re2=r"[A-Za-z\x{aa}\x{b7}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{2b8}]{5}|[\x{400}-\x{52f}]")
+_counts("construct_property_of_strings", r"[\p{Emoji_Keycap_Sequence}\p{Emoji_Modifier}e]", "v", re2=r"[0-9#*]\x{fe0f}\x{20e3}|[\x{1f3fb}-\x{1f3ff}e]")
 _counts("construct_named_backreference", r"(?<c>[a-z])\k<c>", re2="aa|bb|cc|dd|ee|ff|gg|hh|ii|jj|kk|ll|mm|nn|oo|pp|qq|rr|ss|tt|uu|vv|ww|xx|yy|zz")
 _counts("construct_anchors", "^[A-Z]|[.]$", re2=r"\A[A-Z]|[.]\z")
 _counts("construct_anchors_multiline", "^[A-Z]\\w*", "m", re2="(?m)^[A-Z]\\w*")
@@ -200,15 +224,45 @@ s AS (SELECT *, length // 10 + 5 * nesting + 2 * groups + quantifiers + 2 * alte
 SELECT *, CASE WHEN score < 10 THEN 'low' WHEN score < 25 THEN 'medium' WHEN score < 50 THEN 'high' ELSE 'very_high' END AS level FROM s""")
 
 
+_LINTED = [*PATTERNS.values(), "(a+)+", "a**", "(|x)", "^(p|q|r)$"]
+
+
+def _lint_sql() -> str:
+    """The lint rules that the query's patterns meet, place by place."""
+    quoted = ", ".join("('" + p.replace("'", "''") + "')" for p in _LINTED)
+    here = "substr(pattern, i)"
+    rules = [
+        (rf"regexp_matches({here}, '^(?s:\(.[+*]\)[+*])')", "error", "catastrophic_backtracking", "i - 1", "nested quantifiers can take exponential time", "let iterations begin with a fixed character"),
+        (f"{here}[1] = '|'", "info", "ambiguous_pattern", "i - 1", "branches that overlap are tried in turn", None),
+        (f"{here}[1] = '|' AND (i = 1 OR pattern[i - 1] IN ('(', '|') OR pattern[i + 1] IN ('', ')', '|'))", "warning", "empty_alternation", "i - 1", "an empty branch", "make the group optional"),
+        (f"regexp_matches({here}, '^[+*?][+*?]')", "warning", "redundant_quantifier", "i - 1", "a quantifier after another", "keep one"),
+        (rf"regexp_matches({here}, '^\((\?:)?([^\\()|\[\]]\|)+[^\\()|\[\]]\)')", "info", "optimization_opportunity", "i - 1", "single characters as branches", "[]"),
+        (f"strpos(pattern, '.*') = i", "info", "optimization_opportunity", "i - 1", "an open wildcard", "use a narrower class or an anchor"),
+        ("i = 1 AND regexp_matches(pattern, '^[0-9A-Za-z].')", "info", "optimization_opportunity", "0", "an anchor would limit the search to the start", None),
+    ]
+    single = rf"'use [' || replace(regexp_extract({here}, '^\((?:\?:)?((?:[^\\()|\[\]]\|)+[^\\()|\[\]])\)', 1), '|', '') || ']'"
+    parts = [f"SELECT pattern, '{level}' AS level, '{kind}' AS type, ({at})::INTEGER AS position, '{said}' AS message, {'NULL' if advice is None else single if advice == '[]' else repr(advice)} AS suggestion FROM places WHERE {where}" for where, level, kind, at, said, advice in rules]
+    return f"WITH patterns(pattern) AS (VALUES {quoted}), places AS (SELECT pattern, unnest(range(1, length(pattern) + 1)) AS i FROM patterns)\n" + "\nUNION ALL ".join(parts)
+
+
+#: Facts of the library's patterns, worked out by hand.
+_FACTS = """
+SELECT * FROM (VALUES ('email', 6, NULL, FALSE, 0, '@', 'safe'), ('url', 8, NULL, FALSE, 0, 'http', 'safe'), ('ipv4', 7, 15, FALSE, 0, '.', 'safe'), ('phoneUS', 10, 14, FALSE, 0, '', 'safe'),
+('dateISO', 10, 10, FALSE, 0, '-', 'safe'), ('time24', 5, 8, FALSE, 0, ':', 'safe'), ('hexColor', 4, 7, FALSE, 0, '#', 'safe'), ('creditCard', 16, 19, FALSE, 0, '', 'safe'), ('uuid', 36, 36, FALSE, 0, '-', 'safe'),
+('integer', 1, NULL, FALSE, 0, '', 'safe'), ('decimal', 1, NULL, FALSE, 0, '', 'safe'), ('identifier', 1, NULL, FALSE, 0, '', 'safe')) v(name, min_length, max_length, can_match_empty, groups, required_literal, risk)"""
+
+
 def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category, script, and whether letter or digit, of every character that the documents hold."""
     chars = _table("documents")(spark, sf_dir).select(F.explode(R.find_all_text("text", "[^]")).alias("char")).distinct().filter("char >= ' '")
-    category = U.general_category("char")
-    return chars.select("char", F.when(category.isin("Lu", "Ll"), category).otherwise("other").alias("category"), U.is_letter("char").alias("letter"), U.is_digit("char").alias("digit"))
+    return chars.select("char", U.general_category("char").alias("category"), U.script("char").alias("script"), U.is_letter("char").alias("letter"), U.is_digit("char").alias("digit"))
 
 
-_add("lint_report", lambda spark, sf_dir: lint_report(spark, [*PATTERNS.values(), "(a+)+", "a**", "(|x)"]))
-_add("unicode_categories", _categories, r"""SELECT c AS char, CASE WHEN regexp_matches(c, '^\p{Lu}$') THEN 'Lu' WHEN regexp_matches(c, '^\p{Ll}$') THEN 'Ll' ELSE 'other' END AS category, regexp_matches(c, '^\p{L}$') AS letter, regexp_matches(c, '^\p{Nd}$') AS digit FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents) WHERE c >= ' '""")
-_add("pattern_facts", lambda spark, sf_dir: spark.createDataFrame([(n, c.min_length, c.max_length, c.can_match_empty, c.group_count, c.required_literal, c.risk.level) for n, c in ((n, compile_pattern(p)) for n, p in PATTERNS.items())], "name string, min_length int, max_length int, can_match_empty boolean, groups int, required_literal string, risk string"))
+_SCRIPTS_SQL = " ".join(f"WHEN regexp_matches(c, '^\\p{{{name}}}$') THEN '{name}'" for name in ("Latin", "Common", "Inherited", "Greek", "Cyrillic", "Han", "Arabic", "Hebrew", "Hiragana", "Katakana", "Hangul", "Thai", "Devanagari"))
+_CATEGORIES_SQL = " ".join(f"WHEN regexp_matches(c, '^\\p{{{name}}}$') THEN '{name}'" for name in U.SHORT if name != "Cn")
+_add("lint_report", lambda spark, sf_dir: lint_report(spark, _LINTED), _lint_sql())
+_add("unicode_categories", _categories, rf"""SELECT c AS char, CASE {_CATEGORIES_SQL} ELSE 'Cn' END AS category, CASE {_SCRIPTS_SQL} END AS script, regexp_matches(c, '^\p{{L}}$') AS letter, regexp_matches(c, '^\p{{Nd}}$') AS digit FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents) WHERE c >= ' '""")
+_add("pattern_facts", lambda spark, sf_dir: spark.createDataFrame([(n, c.min_length, c.max_length, c.can_match_empty, c.group_count, c.required_literal, c.risk.level) for n, c in ((n, compile_pattern(p)) for n, p in PATTERNS.items())], "name string, min_length int, max_length int, can_match_empty boolean, groups int, required_literal string, risk string"), _FACTS)
 
 # ---------------------------------------------------------------- sources, joins, SQL, windows
 
@@ -250,3 +304,111 @@ def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("windowed_counts", _windows, """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(w + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, event_type, count(*) AS rows,
 count(*) FILTER (regexp_matches(props, '"k": [0-9]*7')) AS rows_with_match, sum(len(regexp_extract_all(props, '"k": [0-9]*7')))::BIGINT AS matches FROM (SELECT *, date_trunc('hour', ts) AS w FROM events) GROUP BY w, event_type""")
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    """Windows as text, so that no time zone shows."""
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("window_start", "window_end")})
+
+
+_K7 = r'"k": [0-9]*7'
+_WINDOW = "strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(e, '%Y-%m-%d %H:%M:%S') AS window_end"
+_HITS = f"count(*) AS rows, count(*) FILTER (regexp_matches(props, '{_K7}')) AS rows_with_match, sum(len(regexp_extract_all(props, '{_K7}')))::BIGINT AS matches"
+_add("sliding_counts", lambda spark, sf_dir: _shown(windowed_counts(_table("events")(spark, sf_dir), "props", "ts", _K7, width="6 hours", slide="2 hours", by=("event_type",))),
+     f"SELECT {_WINDOW}, event_type, {_HITS} FROM (SELECT *, w + INTERVAL 6 HOUR AS e FROM (SELECT *, time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 1 HOUR * unnest([0, 2, 4]) AS w FROM events)) GROUP BY w, e, event_type")
+_add("session_counts", lambda spark, sf_dir: _shown(windowed_counts(_table("events")(spark, sf_dir), "props", "ts", _K7, gap="3 hours", by=("user_id",))),
+     f"""WITH s AS (SELECT *, sum(CASE WHEN ts >= before + INTERVAL 3 HOUR OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events))
+SELECT {_WINDOW}, user_id, rows, rows_with_match, matches FROM (SELECT min(ts) AS w, max(ts) + INTERVAL 3 HOUR AS e, user_id, {_HITS} FROM s GROUP BY user_id, session)""")
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three documents of each language with most capitalised words, and the gap to the next one."""
+    counted = _table("documents")(spark, sf_dir).select("doc_id", "lang", R.count("text", r"\b[A-Z][a-z]+").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "doc_id")
+    ranked = counted.select("*", F.row_number().over(order).alias("place"), (F.col("n") - F.lead("n").over(order)).alias("ahead"))
+    return ranked.filter("place <= 3")
+
+
+_add("ranked_documents", _ranked, r"""SELECT doc_id, lang, n, place::INTEGER AS place, ahead FROM (SELECT *, row_number() OVER o AS place, n - lead(n) OVER o AS ahead
+FROM (SELECT doc_id, lang, len(regexp_extract_all(text, '\b[A-Z][a-z]+'))::BIGINT AS n FROM documents) WINDOW o AS (PARTITION BY lang ORDER BY n DESC, doc_id)) WHERE place <= 3""")
+
+
+def _set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by which of two patterns they hold, as set operations see them."""
+    docs = _table("documents")(spark, sf_dir)
+    mail, phone = (docs.filter(R.is_match("text", p)).select("doc_id") for p in (PATTERNS["email"], _PHONE))
+    kinds = {"both": mail.intersect(phone), "mail_only": mail.exceptAll(phone), "phone_only": phone.subtract(mail), "either": mail.union(phone).distinct()}
+    return reduce(DataFrame.unionByName, (found.select(F.lit(kind).alias("kind"), "doc_id") for kind, found in kinds.items()))
+
+
+_add("set_operations", _set_operations, f"""WITH m AS (SELECT doc_id FROM documents WHERE regexp_matches(text, '{_re2(PATTERNS["email"])}')), p AS (SELECT doc_id FROM documents WHERE regexp_matches(text, '{_re2(_PHONE)}'))
+SELECT 'both' AS kind, doc_id FROM m WHERE doc_id IN (SELECT doc_id FROM p) UNION ALL SELECT 'mail_only', doc_id FROM m WHERE doc_id NOT IN (SELECT doc_id FROM p)
+UNION ALL SELECT 'phone_only', doc_id FROM p WHERE doc_id NOT IN (SELECT doc_id FROM m) UNION ALL SELECT 'either', doc_id FROM (SELECT doc_id FROM m UNION SELECT doc_id FROM p)""")
+
+
+def _found_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders per quarter and weekday of the date that the library's pattern finds in their text."""
+    found = _table("orders")(spark, sf_dir).select(F.to_date(R.find_text(F.concat(F.lit("placed "), F.col("o_orderdate").cast("string")), PATTERNS["dateISO"])).alias("day"))
+    return found.groupBy(F.date_format(F.date_trunc("quarter", "day"), "yyyy-MM-dd").alias("quarter"), F.weekday("day").alias("weekday")).agg(F.count(F.lit(1)).alias("orders"), F.max(F.datediff(F.last_day("day"), "day")).alias("left_in_month"))
+
+
+_add("found_dates", _found_dates, """SELECT strftime(date_trunc('quarter', day), '%Y-%m-%d') AS quarter, (isodow(day) - 1)::INTEGER AS weekday, count(*) AS orders, max(date_diff('day', day, last_day(day)))::INTEGER AS left_in_month
+FROM (SELECT regexp_extract('placed ' || o_orderdate::VARCHAR, '[0-9]{4}-[0-9]{2}-[0-9]{2}')::DATE AS day FROM orders) GROUP BY ALL""")
+
+
+def _grouped_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in texts by language and source, by language, and in all."""
+    counted = _table("documents")(spark, sf_dir).select("lang", "source", R.count("text", r"\d+").alias("n"))
+    return counted.groupingSets([["lang", "source"], ["lang"], []], "lang", "source").agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("texts"), F.sum("n").alias("numbers"))
+
+
+_add("grouping_sets", _grouped_sets, r"SELECT lang, source, grouping(lang, source)::INTEGER AS level, count(*) AS texts, sum(len(regexp_extract_all(text, '\d+')))::BIGINT AS numbers FROM documents GROUP BY GROUPING SETS ((lang, source), (lang), ())")
+
+
+def _pattern_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with each of some hundreds of patterns of a table that occurs in them: words of part names, with an ending."""
+    words = _table("part")(spark, sf_dir).select(F.explode(F.split("p_type", " ")).alias("w")).union(_table("benchmark")(spark, sf_dir).select(F.explode(F.split("text", "[^A-Za-z]+")).alias("w")))
+    patterns = words.filter("length(w) >= 4").distinct().select(F.col("w").alias("name"), F.concat(F.lit("\\b"), "w", F.lit("[a-z]?\\b")).alias("pattern"))
+    return pattern_table_join(_table("documents")(spark, sf_dir).select("doc_id", "text"), "text", patterns).groupBy("pattern_name").agg(F.count(F.lit(1)).alias("texts"))
+
+
+_add("pattern_table", _pattern_table, r"""WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(p_type, ' ')) AS w FROM part UNION ALL SELECT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) FROM benchmark) WHERE length(w) >= 4),
+t AS (SELECT DISTINCT rn, unnest(regexp_extract_all(text, '\w+')) AS x FROM (SELECT row_number() OVER () AS rn, text FROM documents))
+SELECT w AS pattern_name, count(DISTINCT rn) AS texts FROM w JOIN t ON x = w OR (length(x) = length(w) + 1 AND starts_with(x, w) AND regexp_matches(x, '[a-z]$')) GROUP BY w""")
+
+
+def _turn_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capitalised words of conversation turns, one row each, by a table function."""
+    S.register_table(spark, "pl_names", "[A-Z][a-z]+")
+    _table("conversations")(spark, sf_dir).createOrReplaceTempView("pl_conversations")
+    return spark.sql("SELECT conv_id, turn, ordinal, match FROM pl_conversations, LATERAL pl_names(text)")
+
+
+_add("table_function", _turn_names, r"SELECT conv_id, turn, (unnest(range(len(m))))::INTEGER AS ordinal, unnest(m) AS match FROM (SELECT conv_id, turn, regexp_extract_all(text, '[A-Z][a-z]+') AS m FROM conversations)")
+
+
+def _by_sql_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replacing, splitting, capturing and line verbs as SQL functions."""
+    host = r"://(?<name>[a-z-]+)\.([a-z.]+)"
+    for name, verb, options in (("pl_swap", "replace", {"template": "://$2.$1"}), ("pl_host", "capture", {"group": "name"}), ("pl_late", "find_from", {"start": 10})):
+        S.register(spark, name, verb, host if verb != "find_from" else "[a-z]+", **options)
+    S.register(spark, "pl_parts", "split", r"[/.]+")
+    S.register(spark, "pl_headings", "count_matching_lines", r"<h\d>")
+    _table("pages")(spark, sf_dir).createOrReplaceTempView("pl_pages")
+    return spark.sql("SELECT page_id, pl_swap(url) AS swapped, pl_host(url) AS host, pl_late(url) AS late, size(pl_parts(url)) AS parts, pl_headings(html) AS headings FROM pl_pages")
+
+
+_add("sql_verbs", _by_sql_verbs, r"""SELECT page_id, regexp_replace(url, '://([a-z-]+)\.([a-z.]+)', '://\2.\1') AS swapped, CASE WHEN regexp_matches(url, '://[a-z-]+\.[a-z.]+') THEN regexp_extract(url, '://([a-z-]+)\.[a-z.]+', 1) END AS host,
+nullif(regexp_extract(url[11:], '[a-z]+'), '') AS late, len(regexp_split_to_array(url, '[/.]+'))::INTEGER AS parts, len(list_filter(string_split(html, chr(10)), lambda x: regexp_matches(x, '<h\d>')))::BIGINT AS headings FROM pages""")
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of files, one folder for each role, searched as a tree: matching lines per file."""
+    root = f"{ensure_checkpoint_dir(spark)}/tree-{uuid.uuid4().hex}"
+    turns = _table("conversations")(spark, sf_dir).select(F.concat(F.col("role"), F.lit("-"), F.col("turn").cast("string")).alias("part"), F.regexp_replace("text", r"[\r\n]+", " ").alias("value"))
+    turns.repartition("part").write.partitionBy("part").text(root)
+    found = grep(read_tree(spark, root), r"\b[a-z]+ing\b")
+    return found.groupBy(F.regexp_extract("path", r"part=([^/]+)/", 1).alias("part")).agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("path").alias("files"))
+
+
+_add("tree", _tree, r"SELECT role || '-' || turn AS part, count(*) AS lines, 1::BIGINT AS files FROM conversations WHERE regexp_matches(regexp_replace(text, '[\r\n]+', ' ', 'g'), '\b[a-z]+ing\b') GROUP BY part")

@@ -1,7 +1,8 @@
 import io
+import re
 
 from patternlake.functions import sql as S
-from patternlake.operators import explode_matches, match_counts, pattern_anti_join, pattern_join, pattern_semi_join, top_matches
+from patternlake.operators import pattern_table_join, explode_matches, match_counts, pattern_anti_join, pattern_join, pattern_semi_join, top_matches
 from patternlake.sources import cli, grep, grep_counts, read_tree
 from patternlake.sources.files import files_with_match
 from patternlake.streaming import windowed_counts
@@ -18,9 +19,9 @@ def test_tree_and_grep(spark, tmp_path):
     (tmp_path / "empty.txt").write_text("")
     files = read_tree(spark, str(tmp_path))
     names = lambda df: sorted(r.path.rsplit("/", 1)[1] for r in df.collect())
-    assert names(files) == ["a.txt", "b.md", "d.txt"] and names(read_tree(spark, str(tmp_path), glob="*.md")) == ["b.md"] and "c.bin" in names(read_tree(spark, str(tmp_path), binary=True))
+    assert names(files) == ["a.txt", "b.md", "d.txt", "empty.txt"] and names(read_tree(spark, str(tmp_path), glob="*.md")) == ["b.md"] and "c.bin" in names(read_tree(spark, str(tmp_path), binary=True))
     assert sorted((r.path.rsplit("/", 1)[1], r.line_no, r.line) for r in grep(files, "fn", "i").collect())[:3] == [("a.txt", 1, "one fn"), ("a.txt", 3, "fn three"), ("b.md", 2, "FN")]
-    assert {r.path.rsplit("/", 1)[1]: r.n for r in grep_counts(files, "^$").collect()} == {"a.txt": 0, "b.md": 1, "d.txt": 0}
+    assert {r.path.rsplit("/", 1)[1]: r.n for r in grep_counts(files, "^$").collect()} == {"a.txt": 0, "b.md": 1, "d.txt": 0, "empty.txt": 0}
     assert names(files_with_match(files, "two")) == ["a.txt"]
 
 
@@ -46,6 +47,14 @@ def test_operators(spark):
     patterns = {"digit": r"\d", "none": "none", "never": "zzz"}
     assert sorted((r.id, r.pattern_name) for r in pattern_join(df, "t", patterns).collect()) == [(1, "digit"), (3, "none"), (4, "digit")]
     assert sorted(r.id for r in pattern_semi_join(df, "t", patterns).collect()) == [1, 3, 4] and [r.id for r in pattern_anti_join(df, "t", patterns).collect()] == [2]
+    table = spark.createDataFrame([(n, p) for n, p in patterns.items()] + [(f"p{k}", f"b{k}\\b") for k in range(2000)] + [("ab", "ab"), ("b2", "b2+$"), (None, "x"), ("x", None)], "name string, pattern string")
+    got = pattern_table_join(df.withColumnRenamed("g", "pattern_name"), "t", table)
+    assert got.columns == ["id", "pattern_name_", "t", "pattern_name"]
+    found = sorted((r.id, r.pattern_name) for r in got.collect())
+    texts = {1: "ab1 b22", 3: "none", 4: "b22 b22"}
+    every = [(r.name, r.pattern) for r in table.dropna().collect()]
+    assert found == sorted((i, n) for i, t in texts.items() for n, p in every if re.search(p, t)) and (1, "p22") in found and len(found) == 9
+    assert pattern_table_join(df, "t", table.filter("false")).collect() == []
     assert pattern_semi_join(df, "t", {}).collect() == [] and pattern_join(df.filter("false"), "t", patterns).collect() == []
 
 
@@ -53,6 +62,24 @@ def test_sql_functions(spark):
     S.register(spark, "t_words", "find_all", r"\w+'?")
     S.register(spark, "t_swap", "replace_all", r"(\w)(\d)", template="$2\\$1$$")
     S.register_table(spark, "t_matches", r"\d+")
+    df = spark.createDataFrame([("ab1 'cd22'\nx9",), ("",), (None,), ("\n\n",)], "t string")
+    df.createOrReplaceTempView("t_texts")
+    from pyspark.sql import functions as F
+
+    from patternlake import functions as R
+
+    p = r"(?<w>[a-z]+)(\d+)'?"
+    cases = {
+        "find_from": (dict(start=2), R.find_from("t", p, 2)["match"]), "replace": (dict(template="1$w<$2>"), R.replace("t", p, "1$w<$2>")), "split": ({}, R.split("t", p)), "capture": (dict(group="w"), R.capture("t", p, "w")),
+        "count_matching_lines": ({}, R.count_matching_lines("t", p)), "count": ({}, R.count("t", p)), "is_match": ({}, R.is_match("t", p)), "find": ({}, R.find_text("t", p)),
+        "matching_lines": ({}, F.filter(F.split("t", "\n", -1), lambda x: R.is_match(x, p))),
+    }
+    for verb, (options, column) in cases.items():
+        S.register(spark, "t_verb", verb, p, **options)
+        got = spark.sql("SELECT t, t_verb(t) AS v FROM t_texts").collect()
+        assert {str(r.t): r.v for r in got} == {str(r.t): r.v for r in df.select("t", column.alias("v")).collect()}, verb
+    S.register(spark, "t_verb", "split", r"\d*")
+    assert spark.sql("SELECT t_verb('a1b') AS v").first().v == ["", "a", "", "b", ""]
     assert spark.sql("SELECT t_words('it''s a') AS w").first().w == ["it'", "s", "a"]
     assert spark.sql("SELECT t_swap('a1') AS w").first().w == "1\\a$"
     assert [(r.ordinal, r.match) for r in spark.sql("SELECT * FROM t_matches('a1b22')").collect()] == [(0, "1"), (1, "22")]
