@@ -9,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patternlake.plans.rows import nested, unnested  # noqa: F401  (for the operators)
+
 #: White space of the word contracts: space, tab, line feed, vertical tab, form feed, return.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -54,18 +56,3 @@ def blank_trimmed(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     trimmed = blank_trimmed(text)
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, f"{SPACE}+"))).cast("long")
-
-
-def quoted(name: str) -> str:
-    """A column name as SQL takes it, whatever characters it holds."""
-    return "`" + name.replace("`", "``") + "`"
-
-
-def nested(df: DataFrame, **columns: Column) -> DataFrame:
-    """``row`` (all columns of ``df`` as one struct) and ``columns``, so that no name can clash."""
-    return df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
-
-
-def unnested(df: DataFrame, columns: list[str], **replaced: Column) -> DataFrame:
-    """The columns of ``row`` again, some of them ``replaced``."""
-    return df.select(*[(replaced[c] if c in replaced else F.col("row").getField(c)).alias(c) for c in columns])

@@ -11,7 +11,8 @@ Python loops.  Values never meet each other: the operator is one map over the sc
 memory bounded by one slice (or the longest value).
 
 Decoding checks the header CRC, the frame CRC, the end of every frame and the stream's
-MD5, and raises ``FlacError`` on the first mismatch.
+MD5, and raises ``FlacError`` on the first mismatch.  It reads all subframe types, escaped
+Rice partitions and wasted bits; streams must be 8-bit mono in blocks of 576 samples.
 """
 
 from __future__ import annotations
@@ -315,39 +316,62 @@ def _bits(window: np.ndarray, at: np.ndarray, n: np.ndarray | int) -> np.ndarray
     return window[at >> 3] >> (40 - (at & 7) - n) & ((1 << np.asarray(n, np.int64)) - 1)
 
 
+def _signed(window: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    value = _bits(window, at, n)
+    return np.where(value >> (n - 1), value - (1 << n), value)
+
+
 def _residuals(window: np.ndarray, at: np.ndarray, order: int, partition_order: int, wide: bool) -> tuple[np.ndarray, np.ndarray]:
     """Residuals (one row per sample) of frames that share a layout, and the bit after them."""
     out = np.empty((BLOCK - order, len(at)), np.int32)
     per, param = BLOCK >> partition_order, 5 if wide else 4
-    k = raw = mask = None
+    if per << partition_order != BLOCK or per < order:
+        raise FlacError("partitions don't fit the block")
+    k = mask = escaped = plain = width = None
     for i in range(order, BLOCK):
         if i == order or i % per == 0:
             k = _bits(window, at, param)
             at = at + param
             raw = k == (1 << param) - 1
-            if raw.any():
-                raise FlacError("escaped Rice partitions are not supported")
+            escaped = plain = None
+            if raw.any():  # residuals of a fixed width, which stands where the parameter's bits end
+                escaped, plain = np.flatnonzero(raw), np.flatnonzero(~raw)
+                width = _bits(window, at[escaped], 5)
+                at[escaped] += 5
+                k = np.where(raw, 0, k)
             mask = (np.int64(1) << k) - 1
-        word = window[at >> 3] >> (8 - (at & 7)) & 0xFFFFFFFF
-        quotient = 0
-        empty = word == 0
-        if empty.any():
-            quotient = np.zeros(len(at), np.int64)
-            while empty.any():  # runs of over 31 zeros
-                quotient[empty] += 32
-                at = at + 32 * empty
-                if int(at.max()) >> 3 >= len(window) - 8:
-                    raise FlacError("residual runs beyond its stream")
-                word = np.where(empty, window[at >> 3] >> (8 - (at & 7)) & 0xFFFFFFFF, word)
-                empty = word == 0
-        zeros = 1054 - (word.astype(np.float64).view(np.int64) >> 52)
-        at = at + zeros + 1
-        folded = (quotient + zeros) << k | (window[at >> 3] >> (40 - (at & 7) - k) & mask)
-        at = at + k
-        out[i - order] = folded >> 1 ^ -(folded & 1)
+        if escaped is not None:
+            value = _bits(window, at[escaped], width)
+            out[i - order, escaped] = np.where((width > 0) & (value >> np.maximum(width - 1, 0) & 1 == 1), value - (np.int64(1) << width), value)
+            at[escaped] += width
+            if len(plain):
+                out[i - order, plain], at[plain] = _rice_codes(window, at[plain], k[plain], mask[plain])
+            continue
+        out[i - order], at = _rice_codes(window, at, k, mask)
     return out, at
 
 
+def _rice_codes(window: np.ndarray, at: np.ndarray, k: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One Rice-coded residual of each frame, and the bit after it."""
+    word = window[at >> 3] >> (8 - (at & 7)) & 0xFFFFFFFF
+    quotient = 0
+    empty = word == 0
+    if empty.any():
+        quotient = np.zeros(len(at), np.int64)
+        while empty.any():  # runs of over 31 zeros
+            quotient[empty] += 32
+            at = at + 32 * empty
+            if int(at.max()) >> 3 >= len(window) - 8:
+                raise FlacError("residual runs beyond its stream")
+            word = np.where(empty, window[at >> 3] >> (8 - (at & 7)) & 0xFFFFFFFF, word)
+            empty = word == 0
+    zeros = 1054 - (word.astype(np.float64).view(np.int64) >> 52)
+    at = at + zeros + 1
+    folded = (quotient + zeros) << k | (window[at >> 3] >> (40 - (at & 7) - k) & mask)
+    at = at + k
+    return folded >> 1 ^ -(folded & 1), at
+
+
 def decode(streams: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
     """Payload and byte offset of each frame (``sample offset = 576 * index``) of each stream."""
     if not streams:
@@ -383,23 +407,33 @@ def decode(streams: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
     x = np.empty((len(start), BLOCK), np.int8)
     at = 8 * (start + 5 + size)
     kind, at = _bits(window, at, 8), at + 8
-    if (kind & 0x81).any():
-        raise FlacError("wasted bits are not supported")
+    if (kind & 0x80).any():
+        raise FlacError("no subframe header where one is due")
+    wasted = np.zeros(len(start), np.int64)
+    for row in np.flatnonzero(kind & 1):  # low bits that are zero in all samples: a unary number of them
+        word = int(_bits(window, at[row : row + 1], 32)[0])
+        wasted[row] = 33 - word.bit_length()
+        at[row] += wasted[row]
+    if (wasted > 7).any():
+        raise FlacError("more wasted bits than a sample has")
     kind = kind >> 1
     ended = np.empty(len(start), np.int64)
-    for what in np.unique(kind):
-        rows = np.flatnonzero(kind == what)
-        p = at[rows]
+    for what, spare in np.unique(np.stack([kind, wasted]), axis=1).T.tolist():
+        rows = np.flatnonzero((kind == what) & (wasted == spare))
+        p, depth = at[rows], 8 - spare
         if what == 0:
-            x[rows] = _bits(window, p, 8).astype(np.uint8).view(np.int8)[:, None]
-            ended[rows] = p + 8
-        elif what == 1:
+            x[rows] = (_signed(window, p, depth) << spare).astype(np.int8)[:, None]
+            ended[rows] = p + depth
+        elif what == 1 and not spare and not (p & 7).any():
             x[rows] = data[(p >> 3)[:, None] + np.arange(BLOCK)].view(np.int8)
             ended[rows] = p + 8 * BLOCK
+        elif what == 1:
+            x[rows] = np.stack([_signed(window, p + depth * j, depth) << spare for j in range(BLOCK)], axis=1).astype(np.int8)
+            ended[rows] = p + depth * BLOCK
         elif 8 <= what <= 12 or what >= 32:
             order = int(what) - 8 if what < 32 else int(what) - 31
-            warm = np.stack([_bits(window, p + 8 * j, 8).astype(np.uint8).view(np.int8) for j in range(order)], axis=0).astype(np.int32) if order else np.zeros((0, len(rows)), np.int32)
-            p = p + 8 * order
+            warm = np.stack([_signed(window, p + depth * j, depth) for j in range(order)], axis=0).astype(np.int32) if order else np.zeros((0, len(rows)), np.int32)
+            p = p + depth * order
             coef = shift = None
             if what >= 32:
                 precision = _bits(window, p, 4) + 1
@@ -434,7 +468,7 @@ def decode(streams: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
                         for j in range(1, order):
                             predicted += c[j] * samples[i - 1 - j]
                         samples[i] = residual[i - order] + (predicted >> by)
-                x[rows[own]] = samples.T
+                x[rows[own]] = (samples << spare).T
         else:
             raise FlacError(f"reserved subframe type {what}")
     if ((ended + 7 >> 3) + 2 != stop).any():
@@ -514,19 +548,24 @@ def digests(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     """Store each value, read the stored bytes back, and describe what was read.
 
     Columns: ``id_col``, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature.  Storing and reading share one task, so that no media column
+    media_sha256, feature, block_offsets.  ``block_offsets`` has the byte of the stream at which
+    each PCM block begins, as read back from the seek table: block ``j`` holds the samples from
+    ``576 * j`` on.  Storing and reading share one task, so that no media column
     crosses a process; each depends on its own value alone, so equal values give equal
     rows, and repeated rows are kept.  An empty table gives no rows.
     """
     kind = df.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, block_offsets array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "raw", _SLICE_BYTES):
                 values = utf8(part.column("raw"))
                 media = encode([padded(v) for v in values])
-                payloads = [p for p, _ in decode(media)]
+                read = decode(media)
+                payloads = [p for p, _ in read]
+                places = [offsets + _metadata(m)[3] for (_, offsets), m in zip(read, media, strict=True)]
+                ends = np.cumsum([0, *map(len, places)])
                 columns = [
                     pa.array(map(len, values), pa.int64()),
                     pa.array(map(len, payloads), pa.int64()),
@@ -535,6 +574,7 @@ def digests(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                     pa.array(map(len, media), pa.int64()),
                     pa.array([hashlib.sha256(m).hexdigest() for m in media]),
                     pa.array(map(_features, payloads)),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(places))),
                 ]
                 yield pa.RecordBatch.from_arrays([part.column("id"), *columns], names=[f.split()[0] for f in schema.split(", ")])
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternlake.llm.common import table
-from patternlake.plans.lineage import ensure_checkpoint_dir
+from patternlake.plans.lineage import shared_file
 
 _MAGIC = b"PLDIGST1"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,18 +87,7 @@ def publish(spark: SparkSession, data: bytes, *, max_bytes: int = 1 << 30) -> st
     if len(data) > max_bytes:
         raise ValueError(f"the list takes {len(data)} bytes, more than max_bytes={max_bytes}")
     name = f"digests-{xxhash.xxh3_128_hexdigest(data)}.bin"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark), name)
-    files = target.getFileSystem(conf)
-    if not files.exists(target):
-        part = jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{name}.{xxhash.xxh64_hexdigest(spark.sparkContext.applicationId)}")
-        out = files.create(part, True)
-        for at in range(0, len(data), 1 << 20):
-            out.write(bytearray(data[at : at + (1 << 20)]))
-        out.close()
-        if not files.rename(part, target):  # another session was first
-            files.delete(part, False)
-    spark.sparkContext.addFile(target.toString())
+    spark.sparkContext.addFile(shared_file(spark, name, data))
     return name
 
 

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import Row
 from tokenizers import Tokenizer
 
-from patternlake.llm.packing import pack, piece_lengths
+from patternlake.llm.common import table
+from patternlake.llm.packing import ByteLevelEncoder, op8_packing, pack, piece_lengths, write_buckets
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -54,3 +55,37 @@ def test_empty_table(spark):
 def test_rejects_other_lengths(spark):
     with pytest.raises(ValueError):
         pack(spark.createDataFrame([Row(doc_id=1, text="a")]), tokenizer_path=PATH, max_len=1000)
+
+
+def test_all_documents_against_the_tokenizer(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in table(spark, sf, "documents").select("doc_id", "text").collect()}
+    tok = Tokenizer.from_file(PATH)
+    ids = {i: e.ids + [1] for i, e in zip(texts, tok.encode_batch(list(texts.values()), add_special_tokens=False), strict=True)}
+    pieces = {}
+    for r in op8_packing(spark, sf).collect():
+        raw = b"".join(x.to_bytes(4, "little") for x in ids[r.doc_id][r.start : r.start + r.length])
+        assert len(raw) == 4 * r.length and zlib.crc32(raw) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+        assert r.sequence_id >> 58 == r.length.bit_length() - 1 and r.offset == 0
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+    assert pieces.keys() == ids.keys()
+    assert all([n for _, n in sorted(p)] == piece_lengths(len(ids[i]), 2048) for i, p in pieces.items())
+
+
+def test_buckets_are_folders(spark, cases, tmp_path):
+    df = pack(spark.createDataFrame(cases, "doc_id long, text string"), tokenizer_path=PATH)
+    write_buckets(df, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.filter("bucket <> length").isEmpty() and back.count() == df.count()
+    assert {p.name for p in (tmp_path / "out").glob("bucket=*")} == {f"bucket={r.length}" for r in df.select("length").distinct().collect()}
+
+
+def test_other_tokenizers_are_refused():
+    import json
+
+    with open(PATH, encoding="utf-8") as file:
+        spec = json.load(file)
+    ByteLevelEncoder._check(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace", "add_prefix_space": False}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"use_regex": False}}, {"model": spec["model"] | {"dropout": 0.1}}, {"model": spec["model"] | {"merges": spec["model"]["merges"][::-1]}}):
+        with pytest.raises(ValueError):
+            ByteLevelEncoder._check(spec | change)
