@@ -6,6 +6,7 @@ import re
 
 from patternlake.dialect import nodes as N
 from patternlake.dialect.facts import lengths, never_set
+from patternlake.dialect.simplify import simplify
 
 ANY = "[\\x{0}-\\x{10FFFF}]"
 _W = "[A-Za-z0-9_]"
@@ -98,6 +99,8 @@ class Emitter:
                 return "".join(out)
             case N.Alternation(branches):
                 return "(?:" + "|".join("" if isinstance(b, N.Empty) else self.emit(b) for b in branches) + ")"
+            case N.Repeat(N.Group(N.Repeat(), None, _)) if isinstance(plain := simplify(node), N.Repeat) and not isinstance(plain.child, N.Repeat) and plain != node:
+                return self.emit(plain)
             case N.Repeat(child, least, most, greedy):
                 text = self.emit(child)
                 if isinstance(child, N.Concat | N.Repeat | N.Look | N.Backref) or (isinstance(child, N.Group) and child.index is not None and child.index in self._marked):
