@@ -38,6 +38,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*done: DataFrame) -> None:
+    """Delete the checkpoints of results of ``cut`` that nothing reads any more.
+
+    Whatever was made of them must have been cut itself.  The driver's garbage is collected as
+    well: Spark deletes the shuffle files of finished passes only then, and long jobs would
+    otherwise keep all of them until the end.
+    """
+    for df in done:
+        spark = df.sparkSession
+        place = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if place.isDefined():
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place.get())
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if done:
+        done[0].sparkSession.sparkContext._jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
     """``df`` marked for broadcast if it has ``most_rows`` rows at most, else as it is.
 
