@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternlake.llm.common import slices, table, utf8
-from patternlake.plans.lineage import cut
+from patternlake.plans.lineage import cut, release
 
 _GRAM = 32
 _SHARD_BYTES = 1 << 20
@@ -427,6 +427,7 @@ def repeats(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     every = cut(anchors(texts, length))
     twice = cut(every.groupBy("h").agg(F.sum("copies").alias("n")).filter("n > 1").select("h"))
     live = cut(every.join(twice, "h", "left_semi"))
+    release(every, twice)
     variants = cut(live.groupBy("h", "s").agg(F.sum("copies").alias("n"), F.min(F.struct("k1", "k2", "packed")).alias("rep")))
     windows = F.col("rep.packed").bitwiseAND(1023) + 1
     groups = variants.groupBy("h").agg(F.count(F.lit(1)).alias("variants"), F.count_if(F.col("n") == 1).alias("single"), F.sum(windows - 1 + length).alias("bytes"))
@@ -443,6 +444,7 @@ def repeats(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     w = wanted.select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), F.col("id").alias("w_id"), "wanted")
     segments = _segments(texts.join(w, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")) & F.col("id").eqNullSafe(F.col("w_id"))).select("raw", "wanted"), length)
     found = cut(segments.groupBy("shard").applyInArrow(_shard(length), _FOUND))
+    release(wanted)
     pairs = found.filter("keys IS NULL").select("h", "s", "a", "b")
     most, level = groups.agg(F.max(parts)).first()[0] or 1, 1
     while most > 1:  # all shards of a hash have met when one family is left
@@ -452,6 +454,7 @@ def repeats(rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
         level += 1
     repeated = variants.filter("n > 1").select("h", "s", F.lit(0).alias("a"), (windows - 1).cast("int").alias("b"))
     marked = cut(repeated.unionByName(pairs))
+    release(found, variants, groups)
     first = F.shiftright("packed", 20) - F.shiftright("packed", 10).bitwiseAND(1023)
     back = live.join(marked, ["h", "s"]).select("k1", "k2", F.struct((first + F.col("a")).alias("a"), (first + F.col("b")).alias("b")).alias("m"))
     return cut(_spans(back.groupBy("k1", "k2").agg(F.collect_set("m").alias("marked")), length))
