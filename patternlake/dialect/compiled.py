@@ -103,7 +103,7 @@ class CompiledPattern:
         return Exact(self.tree)
 
     def describe(self) -> dict:
-        return {"pattern": self.pattern, "java": self.java, "groups": self.group_count, "names": dict(self.names), "min_length": self.min_length, "max_length": self.max_length, "can_match_empty": self.can_match_empty, "is_finite": self.is_finite, "risk": self.risk.level, "required_literal": self.required_literal, "literal_prefix": self.literal_prefix}
+        return {"pattern": self.pattern, "java": self.java, "groups": self.group_count, "names": dict(self.names), "min_length": self.min_length, "max_length": self.max_length, "can_match_empty": self.can_match_empty, "is_finite": self.is_finite, "risk": self.risk.level, "complexity": facts.weight(self.tree), "warnings": [*facts.warnings(self.tree), *self.risk.issues], "required_literal": self.required_literal, "literal_prefix": self.literal_prefix}
 
 
 @lru_cache(maxsize=1024)

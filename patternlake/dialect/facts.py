@@ -118,3 +118,40 @@ def never_set(node: N.Node) -> frozenset[int]:
     if isinstance(node, N.Look) and node.negated:
         return frozenset(n.index for n in N.walk(node) if isinstance(n, N.Group) and n.index is not None)
     return frozenset().union(*map(never_set, node.children()))
+
+
+#: What constructs weigh in a pattern's complexity (fixed values): alone, per branch, or as a factor of their child.
+WEIGHTS = {"atom": 1, "class": 2, "reference": 5, "branch": 1, "optional": 1, "open": 3, "look": 5, "bound": 10}
+
+
+def weight(node: N.Node) -> int:
+    """Complexity of a tree: repeats and look-around multiply what they hold."""
+    inner = sum(map(weight, node.children()))
+    if isinstance(node, N.Repeat):
+        if node.most is None and node.least < 2:
+            return WEIGHTS["open"] * inner
+        if (node.least, node.most) == (0, 1):
+            return inner + WEIGHTS["optional"]
+        return inner * (WEIGHTS["bound"] if node.most is None else node.most)
+    if isinstance(node, N.Look):
+        return WEIGHTS["look"] * inner
+    if isinstance(node, N.Alternation):
+        return inner + WEIGHTS["branch"] * (len(node.branches) - 1)
+    if isinstance(node, N.Group | N.Concat):
+        return inner
+    return WEIGHTS["class" if isinstance(node, N.Class) else "reference" if isinstance(node, N.Backref) else "atom"]
+
+
+def warnings(node: N.Node) -> tuple[str, ...]:
+    """What to look at: open repeats whose whole round is a repeat, and captures that only ``find`` can give."""
+    found = []
+    for n in N.walk(node):
+        if isinstance(n, N.Repeat) and n.most is None:
+            child = n.child
+            while isinstance(child, N.Group):
+                child = child.child
+            if isinstance(child, N.Repeat):
+                found.append("nested quantifiers may take long")
+    if stale := sorted(stale_groups(node)):
+        found.append(f"groups {', '.join(map(str, stale))} may keep an earlier round's capture outside find()")
+    return tuple(found)

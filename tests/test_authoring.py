@@ -70,6 +70,10 @@ def test_printers():
     assert tree(p).splitlines()[0] == "concat" and "capture 1 y" in tree(p) and s_expression(p).startswith("(concat (capture 1 y")
     assert dot(p).count("->") == statistics(p)["nodes"] - 1
     assert p.describe()["names"] == {"y": 1}
+    weight = lambda x: compile_pattern(x).describe()["complexity"]
+    assert [weight(x) for x in ("abc", "[a-c]d", "a|b|c", "(ab)+", "a?", "a{2,4}", "(?=ab)", r"(a)\1", "")] == [3, 3, 5, 6, 2, 4, 10, 6, 1]
+    assert compile_pattern(r"(?:\d+)+").describe()["warnings"] == ["nested quantifiers may take long"] and compile_pattern("a+b").describe()["warnings"] == []
+    assert "find()" in compile_pattern("(?:(a)|b)*").describe()["warnings"][0] and any("HIGH" in w for w in compile_pattern("a|a").describe()["warnings"])
 
 
 def test_simplify_keeps_matches(spark):
@@ -93,6 +97,7 @@ def test_unicode_columns(spark):
     df = spark.createDataFrame([("A",), ("é",), ("٣",), (" ",), ("_",), ("ab",), ("€",), (None,)], "c string")
     rows = df.select(U.general_category("c").alias("g"), U.is_letter("c").alias("l"), U.is_digit("c").alias("d"), U.is_alphanumeric("c").alias("n"), U.is_whitespace("c").alias("w"), U.matches_property("c", "Script=Latin").alias("s")).collect()
     assert [r.g for r in rows] == ["Lu", "Ll", "Nd", "Zs", "Pc", None, "Sc", None]
+    assert [r[0] for r in df.select(U.script("c")).collect()] == ["Latin", "Latin", "Arabic", "Common", "Common", None, "Common", None]
     assert [(r.l, r.d, r.n, r.w, r.s) for r in rows[:4]] == [(True, False, True, False, True), (True, False, True, False, True), (False, True, True, False, False), (False, False, False, True, False)]
 
 

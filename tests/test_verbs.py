@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from patternlake import functions as R
 from patternlake.dialect import PatternError, compile_pattern
+from patternlake.dialect.properties import BINARY
 
 MATCH = [
     (r"\w+@\w+\.\w+", "", "user@example.com", True),
@@ -284,6 +285,49 @@ def test_lines(spark):
         assert LINES.encode()[r.start : r.end].decode() == r.line
 
 
+PROPERTIES = [
+    (r"^\p{Emoji}$", "u", "\U0001f600", True), (r"^\p{Emoji}$", "u", "x", False), (r"^\p{ExtPict}$", "u", "\u2764", True), (r"^\p{Math}\p{Dash}\p{QMark}$", "u", "+\u2014\u201c", True),
+    (r"^\p{Diacritic}$", "u", "^", True), (r"^\p{Changes_When_NFKC_Casefolded}$", "u", "A", True), (r"^\p{IDC}+$", "u", "a_1", True), (r"^[\p{Sentence_Terminal}--[!]]$", "v", "!", False),
+    (r"^\p{scx=Deva}$", "u", "\u0964", True), (r"^\p{sc=Deva}$", "u", "\u0964", False), (r"^\p{Devanagari}$", "u", "\u0964", True), (r"^\P{Script_Extensions=Greek}$", "u", "\u03b1", False),
+    (r"^\p{RGI_Emoji}$", "v", "\U0001f468\u200d\U0001f469\u200d\U0001f467", True), (r"^\p{RGI_Emoji}$", "v", "\U0001f468\u200d\U0001f469x", False), (r"^\p{RGI_Emoji_Flag_Sequence}{2}$", "v", "\U0001f1e9\U0001f1ea\U0001f1eb\U0001f1f7", True),
+    (r"^[\p{Emoji_Keycap_Sequence}a]+$", "v", "1\ufe0f\u20e3a", True), (r"^\p{Emoji_Keycap_Sequence}$", "v", "1", False), (r"^\p{RGI_Emoji_Modifier_Sequence}$", "v", "\U0001f44d\U0001f3fd", True), (r"^\p{Basic_Emoji}$", "v", "\U0001f600", True),
+]
+
+
+def test_properties(spark):
+    got = evaluate(spark, [c[:3] for c in PROPERTIES], lambda p, f: R.is_match("t", p, f))
+    assert [c for c, g in zip(PROPERTIES, got, strict=True) if g != c[3]] == []
+    for name in BINARY:
+        compile_pattern(f"\\p{{{name}}}", "u")
+    for pattern, flags in ((r"\p{Nope}", ""), (r"\p{sc=Nope}", "u"), (r"\p{emoji}", "u"), (r"\P{RGI_Emoji}", "v"), (r"\p{RGI_Emoji}", "u"), (r"[^\p{RGI_Emoji}]", "v")):
+        with pytest.raises(PatternError):
+            compile_pattern(pattern, flags)
+    assert compile_pattern(r"\p{emoji}").java == compile_pattern(r"\p{Emoji}").java
+
+
+def test_columns_of_any_name(spark):
+    from patternlake.operators import explode_matches, match_counts
+
+    names = ["_found", "_m", "m", "found", "row", "match", "line", "_lines", "_starts", "start", "a.b c"]
+    df = spark.createDataFrame([("a1\nb\na2",)], "t string").selectExpr("t", *[f"'{k}' AS `{c}`" for k, c in enumerate(names)])
+    rows = explode_matches(df, "t", r"a(\d)")
+    assert rows.columns == ["_found", "_m", "m", "found", "row", "match_", "line", "_lines", "_starts", "start_", "a.b c", "ordinal", "match", "start", "end", "captures"]
+    assert [tuple(r) for r in rows.collect()] == [(*map(str, range(11)), 0, "a1", 0, 2, ["1"]), (*map(str, range(11)), 1, "a2", 5, 7, ["2"])]
+    lines = R.matching_lines(df, "t", r"\d")
+    assert lines.columns[-4:] == ["line_no", "start", "end", "line"] and "line_" in lines.columns and [(r.line_no, r.start, r.line_) for r in lines.collect()] == [(0, 0, "6"), (2, 5, "6")]
+    assert [tuple(r) for r in match_counts(df, "t", "a", ["a.b c", "line"]).collect()] == [("10", "6", 1, 1, 2)]
+
+
+def test_word_boundaries_beside_anything(spark):
+    cases = [(p, "", t) for p in (r"\bab\b", r"\b[a-c]+\b!", r"\b-x\b", r"(?:a|-)\b", r"\b\w+\b", r"x\b\b-", r"\b(?:ab)?-\b", r"[a-\u00e9]\b") for t in ("ab", "xab", "ab-x", "-x", "a-b", "\u00e9ab!", "abc! ab-", "x-", "")]
+    word = "[A-Za-z0-9_]"
+    plain = f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))"
+    import re
+
+    for (p, _, t), n in zip(cases, evaluate(spark, cases, lambda p, f: R.count("t", p, f)), strict=True):
+        assert n == len(re.findall(p.replace(r"\b", plain).replace(r"\w", word), t)), (p, t)
+
+
 ERRORS = {
     "?abc": "UnexpectedCharacter", "a**": "InvalidQuantifier", "a+*": "InvalidQuantifier", "(abc": "UnmatchedParenthesis", "abc)": "UnmatchedParenthesis", "[abc": "UnmatchedBracket", "*": "UnexpectedCharacter", "+abc": "UnexpectedCharacter",
     "\\": "UnexpectedEndOfPattern", "[z-a]": "InvalidCharacterClass", "a{5,3}": "InvalidQuantifier", "a{1,99999999999999999}": "InvalidQuantifier", "(?>a)": "UnexpectedCharacter", "a++": "InvalidQuantifier", "[[:foo:]]": "InvalidCharacterClass",
