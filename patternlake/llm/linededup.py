@@ -17,8 +17,10 @@ too much of the line.  Blank lines stay.
    verified on the words.  Contents of which a hash said wrongly that they are near the
    earliest of the key are grouped again by the words that are left of them, not by hashes.
 
-Only keys and places are shuffled in steps 1 to 4, and the texts once, to fetch the lines
-of step 3.  Hot lines and keys are aggregated before the shuffle or joined to one row.
+Only keys and places are shuffled in steps 1 to 4, and once the texts that hold lines of
+step 3.  Before each of these joins a filter of a checked size, one bit for a slot of hashes,
+leaves out most rows that have no partner.  Hot lines and keys are aggregated before the
+shuffle or joined to one row.
 
 Defined results: null and empty texts have one empty line; null ids come last; rows with
 equal (or null) ids are documents of their own, in the order of a 64-bit hash of their
@@ -34,9 +36,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternlake.llm.common import nested, table, unnested
-from patternlake.plans.lineage import cut
+from patternlake.plans.lineage import cut, release
 
 MIN_WORDS = 8
+#: Rows, of 64 slots, that a filter before a shuffle has at most.
+_FILTER_ROWS = 1 << 21
 
 
 def _spaced(text: Column) -> Column:
@@ -104,6 +108,25 @@ def _contents(df: DataFrame, min_words: int) -> DataFrame:
     return found.filter((F.col("times") > 1) | (F.col("n") >= min_words))
 
 
+def _probably(df: DataFrame, by: list[str], wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``df`` whose columns ``by`` may be among the ``keys`` of ``wanted``, which must be cut.
+
+    All that are, and of the others those that share a slot with one: one in sixteen while the
+    slots suffice for that, up to one in four.  Beyond that, ``df`` is left as it is; the join
+    that follows is exact anyway.
+    """
+    n = wanted.count()
+    if n > 16 * _FILTER_ROWS:
+        return df
+    slots = min(16 * n + 64, 64 * _FILTER_ROWS)
+    slot = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(slots))
+    word, bit = F.floor(F.col("slot") / 64), (F.col("slot") % 64).cast("int")
+    taken = wanted.select(slot(keys).alias("slot")).groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("mask"))
+    # Two numbers for each of _FILTER_ROWS words at most.
+    marked = df.withColumn("slot", slot(by)).join(F.broadcast(taken), word == F.col("word"))
+    return marked.filter(F.getbit("mask", bit) == 1).select(*df.columns)
+
+
 def _without(words: Column, i: Column) -> Column:
     return F.concat_ws(" ", F.slice(words, 1, i), F.slice(words, i + 2, F.size(words)))
 
@@ -115,15 +138,17 @@ def _dominated(df: DataFrame, contents: DataFrame, min_words: int) -> DataFrame:
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.max("n").alias("most")).filter("c > 1")
     shared = cut(shared.select("key", (F.col("least") < F.col("most")).alias("varied")))
     # Contents whose keys are shared by lines of one length only can't be one insertion apart.
-    near = keys.join(shared, "key").groupBy("h1").agg(F.max("varied").alias("varied"))
+    near = _probably(keys, ["key"], shared, ["key"]).join(shared, "key").groupBy("h1").agg(F.max("varied").alias("varied"))
     near = contents.join(near, "h1").select("h1", "h2", "place", "varied")
     # A document's own lines, so no more of them than its text has.
     wanted = near.groupBy(F.col("place.id").alias("w_id"), F.col("place.doc").alias("w_doc")).agg(F.collect_list(F.struct("place.line", "h1", "h2", "place", "varied")).alias("wanted"))
-    found = df.join(cut(wanted), (F.col("doc") == F.col("w_doc")) & F.col("id").eqNullSafe(F.col("w_id"))).select(F.split(_spaced(F.col("text")), "\n").alias("lines"), "wanted")
+    wanted = cut(wanted)
+    found = _probably(df, ["id", "doc"], wanted, ["w_id", "w_doc"]).join(wanted, (F.col("doc") == F.col("w_doc")) & F.col("id").eqNullSafe(F.col("w_id"))).select(F.split(_spaced(F.col("text")), "\n").alias("lines"), "wanted")
     found = found.select("lines", F.explode("wanted").alias("w")).select("w.h1", "w.h2", "w.place", "w.varied", _normal(F.get("lines", F.col("w.line"))).alias("normal"))
     # Repeated rows count once.
     same = (F.xxhash64("normal") == F.col("h1")) & (F.xxhash64(F.lit(1), "normal") == F.col("h2"))
     found = cut(found.filter(same).dropDuplicates(["h1", "h2"]).select("h1", "h2", "place", "varied", F.split("normal", " ").alias("words")))
+    release(shared, wanted)
 
     # 40-bit hashes: sums of some eight million words fit a long.  Sums over (place, word) tell
     # replacements, sums over words and over neighbouring pairs tell insertions.
@@ -148,7 +173,9 @@ def _dominated(df: DataFrame, contents: DataFrame, min_words: int) -> DataFrame:
     replaced = variants.select("h1", "i", F.col("keys.replaced").alias("key"))
     # Slim rows find the keys that two contents share; only those take places along.
     met = replaced.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b")
-    met = cut(replaced.join(cut(met.select("key")), "key", "left_semi"))
+    twice = cut(met.select("key"))
+    met = cut(_probably(replaced, ["key"], twice, ["key"]).join(twice, "key", "left_semi"))
+    release(twice)
     met = met.join(found.select("h1", "h2", "place"), "h1")
     first = met.groupBy("key").agg(F.min(F.struct("place", "h1", "h2")).alias("e"))
     # The earliest content of a key is one edit from all others of it.
@@ -170,7 +197,9 @@ def _dominated(df: DataFrame, contents: DataFrame, min_words: int) -> DataFrame:
     matched = matched.filter(_without(F.col("words"), F.col("i")) == F.concat_ws(" ", "e_words"))
     later = F.col("place") > F.col("e_place")
     matched = matched.select(F.when(later, F.col("h1")).otherwise(F.col("e1")).alias("h1"), F.when(later, F.col("h2")).otherwise(F.col("e2")).alias("h2"))
-    return cut(checked.unionByName(matched).distinct())
+    near = cut(checked.unionByName(matched).distinct())
+    release(found)
+    return near
 
 
 def _removed(df: DataFrame, min_words: int) -> DataFrame:
@@ -179,8 +208,9 @@ def _removed(df: DataFrame, min_words: int) -> DataFrame:
     gone = _dominated(df, contents, min_words).withColumn("gone", F.lit(True))
     judged = contents.join(gone, ["h1", "h2"], "left").filter("times > 1 OR gone")
     judged = cut(judged.select("h1", "h2", F.when(F.col("gone").isNull(), F.col("place")).alias("keep")))
+    release(contents)
     lines = _lines(df).select("id", "doc", "line", *_identity(F.col("normal")))
-    lost = lines.join(judged, ["h1", "h2"]).filter(F.col("keep").isNull() | (_place() != F.col("keep")))
+    lost = _probably(lines, ["h1", "h2"], judged, ["h1", "h2"]).join(judged, ["h1", "h2"]).filter(F.col("keep").isNull() | (_place() != F.col("keep")))
     return cut(lost.groupBy(F.col("id").alias("r_id"), F.col("doc").alias("r_doc")).agg(F.sort_array(F.collect_set("line")).alias("removed")))
 
 

@@ -48,8 +48,11 @@ def corpus():
     return [(i, "\n".join(x)) for i, x in docs.items()] + [(100, None), (101, ""), (None, " ".join(lines[6])), (102, "q " * 40_000 + "\n" + "q " * 40_001)]
 
 
-@pytest.mark.parametrize("min_words", [8, 4])
-def test_against_brute_force(spark, min_words):
+@pytest.mark.parametrize("min_words,filter_rows", [(8, 1 << 21), (4, 2), (8, 0)])
+def test_against_brute_force(spark, monkeypatch, min_words, filter_rows):
+    from patternlake.llm import linededup
+
+    monkeypatch.setattr(linededup, "_FILTER_ROWS", filter_rows)  # of the right size, crowded, and none
     docs = corpus()
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS line", "3 AS key")
     got = {(r.doc_id is None, r.doc_id or 0, int(x)) for r in removals(df, min_words=min_words).collect() for x in r.removed.split(",") if x}
