@@ -30,6 +30,8 @@ from patternlake.streaming import windowed_counts
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Queries whose tasks import this package.
+IN_PYTHON = {"pattern_table"}
 
 #: White space of the dialect in RE2.
 _S = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"

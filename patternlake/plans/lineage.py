@@ -80,8 +80,13 @@ def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
     return target.toString()
 
 
+_SHIPPED: set[str] = set()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Have the Python workers of every machine import this package, wherever the driver has it."""
+    if spark.sparkContext.applicationId in _SHIPPED:
+        return
     package = Path(__file__).resolve().parent.parent
     packed = io.BytesIO()
     with zipfile.ZipFile(packed, "w") as archive:
@@ -89,5 +94,5 @@ def ship_package(spark: SparkSession) -> None:
             archive.writestr(zipfile.ZipInfo(str(path.relative_to(package.parent))), path.read_bytes())
     data = packed.getvalue()
     name = f"{package.name}-{hashlib.sha256(data).hexdigest()[:16]}.zip"
-    if name not in spark.sparkContext._python_includes:
-        spark.sparkContext.addPyFile(shared_file(spark, name, data))
+    spark.sparkContext.addPyFile(shared_file(spark, name, data))
+    _SHIPPED.add(spark.sparkContext.applicationId)
