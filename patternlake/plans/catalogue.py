@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from patternlake import functions as R
-from patternlake.authoring import PATTERNS, Builder, Composer, Macros
+from patternlake.authoring import PATTERNS, Builder, Composer, Macros, escape
 from patternlake.authoring.library import extract_all, validates
 from patternlake.authoring.lint import complexity_columns, lint_report
 from patternlake.authoring.macros import COMMON
+from patternlake.authoring.printers import s_expression, statistics
 from patternlake.dialect import compile_pattern
 from patternlake.functions import sql as S
 from patternlake.functions import unicode as U
@@ -180,6 +181,9 @@ _counts("construct_escapes", r"\x2e\u000a\x41?", re2=r"\x2e\n\x41?")
 _counts("construct_braced_escape", r"\u{e9}\w", "u", re2=r"\x{e9}\w")
 _counts("construct_identity_escape", r"t\h\e", re2="the")
 
+_counts("escaped_literal", escape("s. "), re2=r"s\. ")
+_counts("flags_combined", "^ [t] he [ ] \\w+  # a line's first words", "imx", re2=r"(?im)^the \w+")
+
 # ---------------------------------------------------------------- throughput
 
 #: Patterns of published text-scan figures (fixed values).
@@ -266,6 +270,20 @@ _add("lint_report", lambda spark, sf_dir: lint_report(spark, _LINTED), _lint_sql
 _add("unicode_categories", _categories, rf"""SELECT c AS char, CASE {_CATEGORIES_SQL} ELSE 'Cn' END AS category, CASE {_SCRIPTS_SQL} END AS script, regexp_matches(c, '^\p{{L}}$') AS letter, regexp_matches(c, '^\p{{Nd}}$') AS digit FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '(?s).')) AS c FROM documents) WHERE c >= ' '""")
 _add("pattern_facts", lambda spark, sf_dir: spark.createDataFrame([(n, c.min_length, c.max_length, c.can_match_empty, c.group_count, c.required_literal, c.risk.level) for n, c in ((n, compile_pattern(p)) for n, p in PATTERNS.items())], "name string, min_length int, max_length int, can_match_empty boolean, groups int, required_literal string, risk string"), _FACTS)
 
+
+
+def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of constructs, group numbers by name and complexity of a few patterns."""
+    compiled = {name: compile_pattern(p) for name, p in (("date", r"(?<y>\d{4})-(?<m>\d\d)"), ("choice", "^(?:a|bc)+$"), ("quoted", "(['\"])(.*?)\\1"))}
+    rows = [(n, (s := statistics(c))["groups"], s["quantifiers"], s["anchors"], c.group_count, c.capture_index("m"), c.describe()["complexity"], s_expression(c).count("(")) for n, c in compiled.items()]
+    return spark.createDataFrame(rows, "name string, groups int, quantifiers int, anchors int, captures int, index_of_m int, complexity int, nodes_in_print int")
+
+
+_add("pattern_statistics", _statistics, """SELECT * FROM (VALUES ('date', 2, 1, 0, 2, 2, 13, 9), ('choice', 1, 1, 2, 0, NULL, 14, 10), ('quoted', 2, 1, 0, 2, NULL, 10, 7))
+v(name, groups, quantifiers, anchors, captures, index_of_m, complexity, nodes_in_print)""")  # worked out by hand
+_project("json_field", "events", "event_id", lambda: {"k": R.find_text(F.get_json_object("props", "$.k"), r"[1-9]\d*$"), "sevens": R.count(F.get_json_object("props", "$.k"), "7")},
+         "SELECT event_id, nullif(regexp_extract(k, '[1-9][0-9]*$'), '') AS k, len(regexp_extract_all(k, '7'))::BIGINT AS sevens FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events)")
+
 # ---------------------------------------------------------------- sources, joins, SQL, windows
 
 
