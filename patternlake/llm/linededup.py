@@ -174,7 +174,8 @@ def _dominated(df: DataFrame, contents: DataFrame, min_words: int) -> DataFrame:
     # Slim rows find the keys that two contents share; only those take places along.
     met = replaced.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b")
     twice = cut(met.select("key"))
-    met = cut(_probably(replaced, ["key"], twice, ["key"]).join(twice, "key", "left_semi"))
+    # An inner join, as the optimizer would move a semi-join below the filter.
+    met = cut(_probably(replaced, ["key"], twice, ["key"]).join(twice, "key"))
     release(twice)
     met = met.join(found.select("h1", "h2", "place"), "h1")
     first = met.groupBy("key").agg(F.min(F.struct("place", "h1", "h2")).alias("e"))

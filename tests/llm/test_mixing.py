@@ -61,6 +61,6 @@ def test_mix_keeps_columns_and_cuts_texts(spark):
 def test_cut_texts_keep_their_white_space(spark):
     text = " a b\nc  d\te\n\nf " * 20
     df = spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long")
-    for share in range(1, 12):
+    for share in (1, 6, 11):
         (row,) = mix(df, Mixture(share=(share, 12)), chars_col="n_chars").collect()
         assert text.startswith(row.text) and len(row.text.split()) == 120 * share // 12 and not row.text[-1].isspace() and row.n_chars == len(row.text)
