@@ -138,8 +138,8 @@ def _dominated(df: DataFrame, contents: DataFrame, min_words: int) -> DataFrame:
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"), F.max("n").alias("most")).filter("c > 1")
     shared = cut(shared.select("key", (F.col("least") < F.col("most")).alias("varied")))
     # Contents whose keys are shared by lines of one length only can't be one insertion apart.
-    near = _probably(keys, ["key"], shared, ["key"]).join(shared, "key").groupBy("h1").agg(F.max("varied").alias("varied"))
-    near = contents.join(near, "h1").select("h1", "h2", "place", "varied")
+    alike = cut(_probably(keys, ["key"], shared, ["key"]).join(shared, "key").groupBy("h1").agg(F.max("varied").alias("varied")))
+    near = _probably(contents, ["h1"], alike, ["h1"]).join(alike, "h1").select("h1", "h2", "place", "varied")
     # A document's own lines, so no more of them than its text has.
     wanted = near.groupBy(F.col("place.id").alias("w_id"), F.col("place.doc").alias("w_doc")).agg(F.collect_list(F.struct("place.line", "h1", "h2", "place", "varied")).alias("wanted"))
     wanted = cut(wanted)
@@ -148,7 +148,7 @@ def _dominated(df: DataFrame, contents: DataFrame, min_words: int) -> DataFrame:
     # Repeated rows count once.
     same = (F.xxhash64("normal") == F.col("h1")) & (F.xxhash64(F.lit(1), "normal") == F.col("h2"))
     found = cut(found.filter(same).dropDuplicates(["h1", "h2"]).select("h1", "h2", "place", "varied", F.split("normal", " ").alias("words")))
-    release(shared, wanted)
+    release(shared, alike, wanted)
 
     # 40-bit hashes: sums of some eight million words fit a long.  Sums over (place, word) tell
     # replacements, sums over words and over neighbouring pairs tell insertions.
@@ -206,9 +206,10 @@ def _dominated(df: DataFrame, contents: DataFrame, min_words: int) -> DataFrame:
 def _removed(df: DataFrame, min_words: int) -> DataFrame:
     """(r_id, r_doc, removed): sorted numbers of the lines that go, for documents that lose any."""
     contents = cut(_contents(df, min_words))
-    gone = _dominated(df, contents, min_words).withColumn("gone", F.lit(True))
-    judged = contents.join(gone, ["h1", "h2"], "left").filter("times > 1 OR gone")
-    judged = cut(judged.select("h1", "h2", F.when(F.col("gone").isNull(), F.col("place")).alias("keep")))
+    gone = _dominated(df, contents, min_words).select("h1", "h2", F.lit(None).cast(contents.schema["place"].dataType).alias("place"), F.lit(True).alias("gone"))
+    repeated = contents.filter("times > 1").select("h1", "h2", "place", F.lit(False).alias("gone"))
+    judged = repeated.unionByName(gone).groupBy("h1", "h2").agg(F.max("gone").alias("gone"), F.min("place").alias("place"))
+    judged = cut(judged.select("h1", "h2", F.when(~F.col("gone"), F.col("place")).alias("keep")))
     release(contents)
     lines = _lines(df).select("id", "doc", "line", *_identity(F.col("normal")))
     lost = _probably(lines, ["h1", "h2"], judged, ["h1", "h2"]).join(judged, ["h1", "h2"]).filter(F.col("keep").isNull() | (_place() != F.col("keep")))
