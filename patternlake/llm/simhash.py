@@ -24,9 +24,11 @@ says which, and decides how much work there is, never what is found).  Within th
 fingerprints of 256 bits are compared bit-sliced as above.  At the similarity they differ in
 39 bits on average; ``_WIDE_RADIUS`` is seven deviations above, so that fingerprints lose a link with
 a chance below 1e-11.  Blocks give stars, and components of stars hold all links.  The set of each
-text goes once to its component (or to each pair of chunks of a large one), where pairs within
-the radius are compared exactly, on the sets, unless links found before join them; stars of the
-exact links leave it.  So no pair is ever a row.
+text goes once to its component (to each pair of chunks of a hot one, and of components above
+``_LARGE`` nodes to each shingle that it shares there, so that chains of likeness can't make the
+work grow with the square of the corpus), where pairs within the radius are compared exactly,
+on the sets, unless links found before join them; stars of the exact links leave it.  So no
+pair is ever a row.
 
 Defined results: null and blank texts have fingerprint zero and link like any other, and to
 ``near_copies`` they are copies of one another; texts of fewer words than a shingle are one
@@ -55,6 +57,8 @@ _BUCKET = 2048
 #: Words of the fingerprints of ``near_copies``, and how many of their bits may differ.
 _WIDE, _WIDE_RADIUS = 4, 80
 _SAMPLE, _FREQUENT, _MOST_FREQUENT = 64, 4, 100_000
+#: Components above so many nodes are compared by shingle, not whole.
+_LARGE = 64 * _BUCKET
 _CHUNK = 200_000
 _SLICE_BYTES = 4 << 20
 
@@ -409,10 +413,21 @@ def _candidates(met: DataFrame, nodes: DataFrame) -> DataFrame:
     return cut(rows.repartition("block").sortWithinPartitions("block", "node").mapInArrow(run, "u long, v long").distinct())
 
 
-def _exact_links(roots: DataFrame, df: DataFrame, nodes: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+def _places(members: DataFrame, met: DataFrame) -> DataFrame:
+    """(key, node): where the sets of a component's nodes meet; all in one place, or, in large components, by shingle."""
+    large = cut(members.groupBy("root").count().filter(F.col("count") > _LARGE).select("root"))
+    if large.isEmpty():
+        return members.select(F.col("root").alias("key"), "node")
+    whole = members.join(large, "root", "left_anti").select(F.col("root").alias("key"), "node")
+    parted = cut(met.join(members.join(broadcast_if_small(large), "root"), "node").select(F.xxhash64("root", "key").alias("key"), "node"))
+    shared = parted.groupBy("key").count().filter("count > 1").select("key")
+    return whole.unionByName(parted.join(shared, "key"))
+
+
+def _exact_links(roots: DataFrame, met: DataFrame, df: DataFrame, nodes: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
     """(u, v): stars of the nodes of each component (node, root) whose sets are similar enough."""
-    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    blocks = _blocks(members.select(F.col("root").alias("key"), "node"), "node", most=_BUCKET // 2)
+    members = cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
+    blocks = _blocks(_places(members, met), "node", most=_BUCKET // 2)
     wanted = blocks.groupBy("node").agg(F.collect_list("block").alias("blocks"))
     wanted = cut(wanted.join(nodes.select("node", F.col("doc").alias("w_doc")), "node"))
     texts = df.join(broadcast_if_small(wanted), F.col("doc") == F.col("w_doc")).select("text", "node", "blocks")
@@ -455,7 +470,7 @@ def near_copies(df: DataFrame, *, shingle: int = 5, similarity: tuple[int, int]
     shared = cut(places.groupBy("key").count().filter("count > 1").select("key"))
     met = places.join(shared, "key", "left_semi").distinct()
     roots = components(_candidates(met, nodes)).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    links = _exact_links(roots, df, nodes, shingle, similarity)
+    links = _exact_links(roots, met, df, nodes, shingle, similarity)
     roots = components(links).withColumnRenamed("u", "node")
     member = cut(nodes.join(roots, "node", "left").select("node", "first", F.coalesce("v", "node").alias("root")))
     least = cut(member.groupBy("root").agg(F.min("first").alias("component_id")))

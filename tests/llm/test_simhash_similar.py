@@ -47,8 +47,9 @@ def corpus():
     return docs + [(900, None), (901, " \n"), (902, "few words"), (903, "Few\twords"), (904, "few other words"), (905, docs[0][1].upper())]
 
 
-@pytest.mark.parametrize("frequent,bucket", [(4, 2048), (1, 2048), (1, 3)])
-def test_against_brute_force_jaccard(spark, monkeypatch, frequent, bucket):
+@pytest.mark.parametrize("frequent,bucket,large", [(4, 2048, 1 << 17), (1, 3, 1 << 17), (1, 2048, 3), (4, 3, 1)])
+def test_against_brute_force_jaccard(spark, monkeypatch, frequent, bucket, large):
+    monkeypatch.setattr(simhash, "_LARGE", large)
     monkeypatch.setattr(simhash, "_SAMPLE", 4)
     monkeypatch.setattr(simhash, "_FREQUENT", frequent)
     monkeypatch.setattr(simhash, "_BUCKET", bucket)
