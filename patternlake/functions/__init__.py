@@ -1,8 +1,8 @@
 """Search verbs as columns.
 
 Every verb takes a text column and a pattern (text, with optional flag letters, or a
-compiled one) and returns a column of built-in expressions: nothing leaves the JVM.  Null
-texts give null.
+compiled one) and returns a column of built-in expressions: nothing leaves the JVM, but for
+``find`` of patterns whose groups those can't place (see there).  Null texts give null.
 """
 
 from patternlake.functions.lines import count_matching_lines, is_matching_line, lines, matching_lines
