@@ -207,7 +207,8 @@ def keep_good(df: DataFrame, labels: DataFrame, *, label_col: str = "quality", s
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", *COUNTS[:5], "base_failed", "kept", *COUNTS[5:])
 
 
 def _oracle() -> str:
