@@ -1,5 +1,9 @@
 import io
+import random
 import re
+import sys
+
+import pytest
 
 from patternlake.functions import sql as S
 from patternlake.operators import pattern_table_join, explode_matches, match_counts, pattern_anti_join, pattern_join, pattern_semi_join, top_matches
@@ -58,6 +62,73 @@ def test_operators(spark):
     assert pattern_semi_join(df, "t", {}).collect() == [] and pattern_join(df.filter("false"), "t", patterns).collect() == []
 
 
+def test_pattern_table_repeats_no_text_in_python(spark):
+    """A text with many patterns leaves the Python worker once, not once for each of them."""
+    words = [f"word{k:03d}" for k in range(300)]
+    df = spark.createDataFrame([(i, " ".join(words) + " ." * 300) for i in range(100)], "id long, t string").coalesce(1)
+    table = spark.createDataFrame([(w, f"\\b{w}[a-z]?\\b") for w in words] + [(f"{w} {n}", f"{w}{n}") for w in words[:50] for n in (".*word299", "(?= )")], "name string, pattern string")
+    got = pattern_table_join(df, "t", table)
+    assert len(got.select("id", "pattern_name").collect()) == 100 * 400
+    found = got.groupBy("pattern_name").count()
+    assert {r["count"] for r in found.collect()} == {100}
+    nodes, received = [found._jdf.queryExecution().executedPlan()], None
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "MapInArrow":
+            received = node.metrics().apply("pythonDataReceived").value()
+        for below in ("finalPhysicalPlan", "plan"):
+            if node.nodeName() in ("AdaptiveSparkPlan", "ShuffleQueryStage", "TableCacheQueryStage", "BroadcastQueryStage") and (node.nodeName() == "AdaptiveSparkPlan") == (below == "finalPhysicalPlan"):
+                nodes.append(getattr(node, below)())
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+    assert received < 4 * sum(len(r.t) for r in df.collect())
+
+
+@pytest.mark.parametrize("without", [[], ["ahocorasick"], ["regex"]])
+def test_pattern_table_equals_single_patterns(spark, without, monkeypatch):
+    """Around every place of a literal the table decides as the pattern itself does on the whole text."""
+    from pyspark.sql import functions as F
+
+    from patternlake import functions as R
+    from patternlake.operators import tables
+
+    near = [
+        "ab", r"\bab", r"ab\b", r"\bab[a-z]?\b", r"\Bab", r"ab\B", "[^a]ab", "ab[^b]", ".ab.", "ab.", r"\nab", r"ab\n", r"[\s\S]ab[\s\S]", "a?b?ab", "(?:b|ba)ab(?:a|ab){1,2}", r"(x|\b)ab(y|\b)(?:b\b)?", r"ab{2}\b",
+        "(?m)^ab", "(?m)ab$", "(?m)^.ab.$", "(?s).ab.", "aab|", "[a-c&&[^b]]ab", r"\W{2}ab", r"(?:\bab ?){2,3}", "aa", "aba", "ba{0,3}?ab", "\U0001f600ab", "ab[\U0001f600x]", "(?u)ab.", "a[b]a", "(?<n>ab)b", "(a)(b)",
+    ]
+    whole = ["^ab", "ab$", "ab+", "(?i)ab", "(?=a)ab", r"(a)b\1", "ab.*ab", r"(?u)ab\p{L}", "[ab]", r"\p{Lu}ab"]
+    patterns = []
+    for p in near + whole:
+        try:
+            tables.compile_pattern(p)
+            patterns.append(p)
+        except ValueError:  # not of the dialect
+            pass
+    assert len(patterns) > 35 and sum(not tables._entry(0, tables.compile_pattern(p))[1].whole for p in patterns) > 25
+    draw = random.Random(1)
+    texts = sorted({"".join(draw.choices("aaabbb \nx_A.\U0001f600\u00e9", k=draw.randint(0, 7))) for _ in range(1500)} | {"ab", "", "xab", "abx", "\nab\n"})
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string").coalesce(1)
+    table = spark.createDataFrame([(p, p) for p in patterns], "name string, pattern string")
+    want = {(r.id, p) for r in df.select("id", F.filter(F.array(*[F.when(R.is_match("t", p), F.lit(p)) for p in patterns]), lambda x: x.isNotNull()).alias("ps")).collect() for p in r.ps}
+    if not without:
+        assert {(r.id, r.pattern_name) for r in pattern_table_join(df, "t", table).collect()} == want
+        return
+    # Without a module: the worker's part as it runs there, in this process.
+    for name in without:
+        monkeypatch.setitem(sys.modules, name, None)
+    tables._matcher.cache_clear()
+    literals: dict[str, list[tuple]] = {}
+    for k, p in enumerate(patterns):
+        literal, entry = tables._entry(k, tables.compile_pattern(p))
+        literals.setdefault(literal, []).append(tuple(entry))
+    always = [e[0] for e in literals.pop("", [])]
+    search = tables._searcher(literals)
+    for i, t in enumerate(texts):
+        found, tried = search(t)
+        own = {k for k, p in enumerate(patterns) if (i, p) in want}
+        assert found <= own <= found | tried | {*always}
+    tables._matcher.cache_clear()
+
+
 def test_sql_functions(spark):
     S.register(spark, "t_words", "find_all", r"\w+'?")
     S.register(spark, "t_swap", "replace_all", r"(\w)(\d)", template="$2\\$1$$")
